@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
 from plumbline.operators.scaling import moments, standardise
+from plumbline.session import materialise
 
+# Neighbours are looked up by the cells of the first few columns, and checked on all.
 GRID_DIMENSIONS = 3
 
 
@@ -25,73 +27,83 @@ def _offsets(dims: int, all_dims: int) -> list[tuple[int, ...]]:
     reach = math.ceil(math.sqrt(all_dims))
     return [
         o for o in product(range(-reach, reach + 1), repeat=dims)
-        if sum(max(abs(k) - 1, 0) ** 2 for k in o) < all_dims + 1e-9
+        if sum(max(abs(k) - 1, 0) ** 2 for k in o) <= all_dims
     ]
 
 
 def density_noise(
     df: DataFrame, row_id: str, columns: list[str], eps: float = 0.5, min_samples: int = 5,
-    salts: int = 16,
+    points_per_task: int = 100_000,
 ) -> DataFrame:
     """``(row_id, is_core, is_outlier)`` for every row, on standardised columns.
 
     Equal points are first merged into one weighted point, so columns with few distinct
-    values cost what their distinct values cost. ``salts`` spreads the points of one cell
-    over that many join partitions.
+    values cost what their distinct values cost. Lookup cells that hold more points than
+    ``points_per_task`` are spread over several join keys.
     """
     d = len(columns)
     side = eps / math.sqrt(d) * (1 - 1e-12)
     zs = [f"z{i}" for i in range(d)]
     cells = [f"c{i}" for i in range(d)]
+    grid = cells[: min(d, GRID_DIMENSIONS)]
     scaled = standardise(df, moments(df, columns)).select(
         c(row_id).alias("row_id"), *[c(n).alias(z) for n, z in zip(columns, zs)]
     )
-    points = scaled.groupBy(*zs).agg(F.count(F.lit(1)).alias("w"))
-    points = points.select("*", *[F.floor(c(z) / side).alias(k) for z, k in zip(zs, cells)])
-    # Cell sizes come from partial sums; a crowded cell is one record per task.
-    crowds = points.groupBy(*cells).agg(F.sum("w").alias("crowd"))
-    points = points.join(crowds, cells).withColumn("dense", c("crowd") >= min_samples)
-    points = points.withColumn("salt", F.pmod(F.xxhash64(*zs), F.lit(salts)))
-
-    grid = cells[: min(d, GRID_DIMENSIONS)]
-    offsets = _offsets(len(grid), d)
-    thin = points.where(~c("dense"))
-    around = thin.select(
-        *[c(z).alias(f"t{z}") for z in zs], c("w").alias("tw"),
-        F.explode(F.array(*[
-            F.struct(*[(c(k) + step).alias(k) for k, step in zip(grid, o)]) for o in offsets
-        ])).alias("near"),
-    ).select("*", *[c("near")[k].alias(k) for k in grid]).drop("near")
-    lookups = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
-
+    points = materialise(_weighted_points(scaled, zs, cells, grid, side, min_samples, points_per_task),
+                         "density_points")
+    thin = points.where(~c("dense")).select(*zs, *grid)
     tzs = [f"t{z}" for z in zs]
-    met = lookups.join(points, [*grid, "salt"]).where(_gap(zs, tzs) <= eps * eps)
-    seen = met.groupBy(*tzs).agg(
-        F.sum("w").alias("near"), F.max("dense").alias("near_dense"),
-    ).withColumn("core", c("near") >= min_samples)
-    # Thin points that turned out core: at most min_samples - 1 points per cell.
-    judged = thin.join(
-        seen.select(*[c(t).alias(z) for t, z in zip(tzs, zs)], "core", "near_dense"), zs
+    steps = [
+        F.struct(*[(c(k) + step).alias(k) for k, step in zip(grid, o)])
+        for o in _offsets(len(grid), d)
+    ]
+    around = thin.select(
+        *[c(z).alias(t) for z, t in zip(zs, tzs)], F.inline(F.array(*steps))
     )
-    cores = judged.where(c("core")).select(*grid, *zs)
-    loose = around.join(judged.where(~c("core") & ~c("near_dense")).select(
-        *[c(z).alias(t) for z, t in zip(zs, tzs)]), tzs)
-    saved = (
-        loose.join(cores, grid).where(_gap(zs, tzs) <= eps * eps)
-        .select(*tzs).distinct().select(*[c(t).alias(z) for t, z in zip(tzs, zs)], F.lit(True).alias("saved"))
+    # Cells without points drop out here; crowded ones tell how many join keys they use.
+    taken = points.groupBy(*grid).agg(F.max("salts").alias("salts"))
+    lookups = around.join(taken, grid).select(
+        *tzs, *grid, F.explode(F.sequence(F.lit(0).cast("long"), c("salts") - 1)).alias("salt"))
+    seen = (
+        lookups.join(points.select(*zs, *grid, "salt", "w", "dense"), [*grid, "salt"])
+        .where(_gap(zs, tzs) <= eps * eps)
+        .groupBy(*tzs).agg(F.sum("w").alias("near"), F.max("dense").alias("near_dense"))
+        .select(*[c(t).alias(z) for z, t in zip(zs, tzs)], (c("near") >= min_samples).alias("core"), "near_dense")
     )
-    verdict = judged.join(saved, zs, "left").select(
-        *zs, "core",
-        (~c("core") & ~c("near_dense") & c("saved").isNull()).alias("noise"),
+    judged = materialise(thin.join(seen, zs), "density_thin")
+
+    # Thin points that are core: fewer than min_samples share a cell of side eps / sqrt(d).
+    cores = judged.where("core").select(*grid, *zs)
+    loose = judged.where(~c("core") & ~c("near_dense"))
+    saved = (
+        loose.select(*[c(z).alias(t) for z, t in zip(zs, tzs)], F.inline(F.array(*steps)))
+        .join(cores, grid).where(_gap(zs, tzs) <= eps * eps)
+        .select(*[c(t).alias(z) for z, t in zip(zs, tzs)]).distinct()
     )
-    # Rows find their verdict by point; a row without one sits in a crowded cell.
-    return scaled.join(verdict, zs, "left").select(
-        "row_id",
-        F.coalesce("core", F.lit(True)).alias("is_core"),
+    border = judged.where(~c("core")).join(saved.withColumn("saved", F.lit(True)), zs, "left").select(
+        *zs, (~c("near_dense") & c("saved").isNull()).alias("noise"))
+    # Rows that find no entry are core.
+    return scaled.join(border, zs, "left").select(
+        "row_id", c("noise").isNull().alias("is_core"),
         F.coalesce("noise", F.lit(False)).alias("is_outlier"),
     )
 
 
+def _weighted_points(
+    scaled: DataFrame, zs: list[str], cells: list[str], grid: list[str], side: float,
+    min_samples: int, points_per_task: int,
+) -> DataFrame:
+    """Distinct points with weight, cell, whether the cell settles them, and a join salt."""
+    merged = scaled.groupBy(*zs).agg(F.count(F.lit(1)).alias("w"))
+    placed = merged.select("*", *[F.floor(c(z) / side).alias(k) for z, k in zip(zs, cells)])
+    crowds = placed.groupBy(*cells).agg(F.sum("w").alias("crowd"), F.count(F.lit(1)).alias("members"))
+    blocks = crowds.groupBy(*grid).agg(F.sum("members").alias("members")).select(
+        *grid, F.ceil(c("members") / points_per_task).alias("salts"))
+    crowds = crowds.join(blocks, grid).select(*cells, "salts", (c("crowd") >= min_samples).alias("dense"))
+    return placed.join(crowds, cells).select(
+        *zs, *cells, "w", "dense", "salts", F.pmod(F.xxhash64(*zs), c("salts")).alias("salt"))
+
+
 def _gap(left: list[str], right: list[str]) -> Column:
     total = F.lit(0.0)
     for a, b in zip(left, right):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.config import AuditConfig
 from plumbline.functions.columns import c
 
-_SETTLE_ROWS = 10_000
+# Rows that one bounded aggregate may sort.
+_SETTLE_ROWS = 100_000
 
 
 def with_row_id(df: DataFrame, keys: list[str] | None = None, name: str = "row_id") -> DataFrame:
@@ -108,13 +109,16 @@ def _next_prefix(digests: DataFrame, open_: dict) -> tuple[dict, dict]:
 
 
 def _settle(digests: DataFrame, open_: dict) -> dict:
-    """The quota-th lowest digest of each label's last few rows."""
-    rows = digests.where(_mine(open_)).collect()
-    found = {}
+    """The quota-th lowest digest among each label's last few rows."""
+    quota = F.lit(None).cast("int")
     for value, (_, k) in open_.items():
-        mine = sorted(r.digest for r in rows if r.label == value)
-        found[value] = mine[k - 1] if k else ""
-    return found
+        quota = F.when(c("label").eqNullSafe(F.lit(value)), F.lit(k)).otherwise(quota)
+    rows = (
+        digests.where(_mine(open_)).groupBy("label")
+        .agg(F.sort_array(F.collect_list("digest")).alias("sorted"))
+        .select("label", F.get("sorted", quota - 1).alias("bound")).collect()
+    )
+    return {r.label: r.bound or "" for r in rows}
 
 
 def first_test_rows(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:

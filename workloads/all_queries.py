@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workloads import feature_queries, model_queries, profile_queries  # noqa: F401
+from workloads import feature_queries, group_queries, model_queries, profile_queries  # noqa: F401

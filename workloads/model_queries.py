@@ -9,6 +9,7 @@ from plumbline.operators import density, influence, kernel, models, outliers, sc
 from plumbline.operators.encoding import Design
 from plumbline.operators.impute import impute_median
 from plumbline.operators.models import LinearModel
+from plumbline.session import materialise
 from workloads.fixtures import events_num, orders_wide, table
 from workloads.registry import query
 
@@ -24,7 +25,7 @@ def _scaled_events(spark, sf_dir):
         "row_id", F.col("value").alias("x1"), F.col("k").alias("x2"),
         (F.col("event_type") == "purchase").cast("int").alias("label"))
     rows = split.hash_split(scaling.standard_scale(rows, ["x1", "x2"]), "row_id")
-    return _DESIGN.with_vector(rows)
+    return materialise(_DESIGN.with_vector(rows), "scaled_events")
 
 
 def _scaled_orders(spark, sf_dir):
@@ -33,7 +34,7 @@ def _scaled_orders(spark, sf_dir):
         F.col("signal_label").alias("label"), "race", "nationality", "occupation", "status", "age")
     rows = impute_median(rows, ["x1", "x2"])
     rows = split.hash_split(scaling.standard_scale(rows, ["x1", "x2"]), "row_id")
-    return _DESIGN.with_vector(rows)
+    return materialise(_DESIGN.with_vector(rows), "scaled_orders")
 
 
 def _halves(rows):
@@ -134,10 +135,10 @@ WITH {_ORDER_INFLUENCE}, t AS (SELECT greatest(avg(influence) + stddev_pop(influ
 SELECT row_id FROM d WHERE row_id NOT IN (SELECT row_id FROM infl, t WHERE influence > bound)
 """)
 def drop_influence_outliers(spark, sf_dir):
-    train, test = _halves(_scaled_orders(spark, sf_dir))
+    rows = _scaled_orders(spark, sf_dir)
+    train, test = _halves(rows)
     flagged = influence.influence_flags(influence.mean_influence(train, test, _ORDER_MODEL, _DESIGN), 1.0)
-    rows = _scaled_orders(spark, sf_dir).select("row_id")
-    return outliers.drop_listed(rows, flagged.where("is_outlier"), "row_id")
+    return outliers.drop_listed(rows.select("row_id"), flagged.where("is_outlier"), "row_id")
 
 
 _NOISE = """
