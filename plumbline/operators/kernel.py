@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import c
 from plumbline.operators.quantiles import number, quantiles
 from plumbline.operators.split import in_share, row_digest
+from plumbline.session import materialise
 
 # Fixed value: seed of the landmark sample.
 SAMPLE_SEED = 912
@@ -45,19 +46,26 @@ def kernel_pca_outliers(
     top = top[values[top] > 1e-10]
     axes = vectors[:, top] / np.sqrt(values[top])
 
+    shift, pull = (col_mean - mean) @ axes, axes.sum(axis=0)
+
+    def rebuild_gap(x: np.ndarray) -> np.ndarray:
+        """Squared distance, in feature space, to the centre less that along the axes."""
+        kx = np.exp(-gamma * _square_gaps(x, z))
+        row_mean = kx.mean(axis=1)
+        along = kx @ axes - row_mean[:, None] * pull - shift
+        return 1.0 - 2 * row_mean + mean - (along**2).sum(axis=1)
+
     @F.pandas_udf("double")
     def residual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             if not len(x):
                 yield pd.Series([], dtype=float)
                 continue
-            kx = np.exp(-gamma * _square_gaps(np.stack(x.to_numpy()), z))
-            row_mean = kx.mean(axis=1)
-            centred = kx - row_mean[:, None] - col_mean + mean
-            size = 1.0 - 2 * row_mean + mean
-            yield pd.Series(size - ((centred @ axes) ** 2).sum(axis=1))
+            rows = np.stack(x.to_numpy())
+            parts = [rebuild_gap(rows[i : i + 1000]) for i in range(0, len(rows), 1000)]
+            yield pd.Series(np.concatenate(parts))
 
-    scores = sample.select("row_id", residual("x").alias("score"))
+    scores = materialise(sample.select("row_id", residual("x").alias("score")), "kernel_scores")
     cut = quantiles(scores, ["score"], [1 - contamination])["score"][0]
     flagged = scores.withColumn("is_outlier", c("score") > F.lit(cut))
     return picked.select("row_id").join(flagged, "row_id", "left").withColumn(

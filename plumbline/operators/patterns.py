@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,68 +167,86 @@ def _conjunctions(
 
     A conjunction is frequent only if its parts are. A column has at most 1 / min_support
     frequent values, so the frequent items fit on the driver, and a row carries at most one
-    per column; only those are combined.
+    per column; only those are combined. A set of items travels as one number, whose digits
+    are the items in ascending order.
     """
     base = singles.collect()
     order = {n: i for i, n in enumerate(items.columns)}
     base.sort(key=lambda r: (order[r.col], r.val))
-    ids = {(r.col, r.val): i for i, r in enumerate(base)}
+    radix = len(base) + 1
+    code_type = "long" if radix**max_predicates < 2**62 else "decimal(38,0)"
+    if radix**max_predicates >= 10**38:
+        raise ValueError(f"{len(base)} frequent predicates cannot be combined {max_predicates} at a time")
     spots = []
     for name in items.columns:
-        mine = [(val, i) for (col, val), i in ids.items() if col == name]
+        mine = [(r.val, i) for i, r in enumerate(base, 1) if r.col == name]
         if mine:
             table = F.create_map(*[F.lit(x) for pair in mine for x in pair])
             spots.append(F.try_element_at(table, items.value(name, df.schema)))
-    schema = "set array<int>, n bigint, influence_sum double"
-    spark = df.sparkSession
-    level = [([i], r.n, r.influence_sum) for i, r in enumerate(base)]
-    everything = list(level)
+    level = {(i,): (r.n, r.influence_sum) for i, r in enumerate(base, 1)}
+    found = dict(level)
     rows = df.select("influence", F.array_compact(F.array(*spots)).alias("items")) if spots else None
     for size in range(2, max_predicates + 1):
-        if len(level) < 2:
+        candidates = _candidates(level, size)
+        if not candidates:
             break
-        frequent = {tuple(s) for s, _, _ in level}
-        sets = _row_sets(c("items"), size)
-        grown = (
-            rows.select("influence", F.explode(sets).alias("set"))
-            .where(_parts_frequent(c("set"), size, frequent))
-            .groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.sum("influence").alias("influence_sum"))
-            .where(c("n") >= F.lit(least))
-        )
+        codes = rows.select("influence", F.explode(_row_codes(c("items"), size, radix, code_type)).alias("code"))
+        if size > 2 and len(candidates) <= _MAX_LISTED:
+            codes = codes.where(c("code").isin([_code(s, radix) for s in candidates]))
         # A row holds at most one item per column, so no more than
         # (columns choose size) / min_support sets can be frequent.
-        level = [(list(r.set), r.n, r.influence_sum) for r in grown.collect()]
-        everything += level
-    pairs = F.array(*[F.struct(F.lit(r.col).alias("col"), F.lit(r.val).alias("val")) for r in base])
-    table = spark.createDataFrame(everything, schema)
-    if not base:
-        return table.select("n", "influence_sum",
-                            F.lit(None).cast("array<struct<col:string,val:string>>").alias("parts"))
-    return table.select(
-        "n", "influence_sum",
-        F.transform("set", lambda i: F.element_at(pairs, i + 1)).alias("parts"),
+        grown = codes.groupBy("code").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("influence").alias("influence_sum")
+        ).where(c("n") >= F.lit(least)).collect()
+        level = {_decode(int(r.code), radix): (r.n, r.influence_sum) for r in grown}
+        found |= level
+    part = "struct<col:string,val:string>"
+    return df.sparkSession.createDataFrame(
+        [(n, total, [(base[i - 1].col, base[i - 1].val) for i in ids]) for ids, (n, total) in found.items()],
+        f"n bigint, influence_sum double, parts array<{part}>",
     )
 
 
-def _row_sets(items: Column, size: int) -> Column:
-    """All ``size``-subsets of a row's items, each in ascending order."""
-    sets = F.transform(items, lambda i: F.array(i))
+# Candidate lists up to this length are checked row by row; longer ones are left to the count.
+_MAX_LISTED = 100_000
+
+
+def _code(ids: tuple[int, ...], radix: int) -> int:
+    total = 0
+    for i in ids:
+        total = total * radix + i
+    return total
+
+
+def _decode(code: int, radix: int) -> tuple[int, ...]:
+    ids = []
+    while code:
+        code, last = divmod(code, radix)
+        ids.append(last)
+    return tuple(reversed(ids))
+
+
+def _candidates(level: dict, size: int) -> set[tuple[int, ...]]:
+    """Sets of ``size`` items all of whose parts are frequent."""
+    tails: dict[tuple[int, ...], list[int]] = {}
+    for ids in level:
+        tails.setdefault(ids[:-1], []).append(ids[-1])
+    out = set()
+    for head, lasts in tails.items():
+        for a, b in combinations(sorted(lasts), 2):
+            grown = (*head, a, b)
+            if all(grown[:k] + grown[k + 1:] in level for k in range(size)):
+                out.add(grown)
+    return out
+
+
+def _row_codes(items: Column, size: int, radix: int, code_type: str) -> Column:
+    """Codes of all ``size``-subsets of a row's items (which come in ascending order)."""
+    codes = F.transform(items, lambda i: i.cast(code_type))
     for _ in range(size - 1):
-        sets = F.flatten(F.transform(sets, lambda s: F.transform(
-            F.filter(items, lambda i: i > F.element_at(s, -1)), lambda i: F.array_append(s, i))))
-    return sets
-
-
-def _parts_frequent(found: Column, size: int, frequent: set[tuple[int, ...]]) -> Column:
-    """Whether every subset one smaller is frequent; pairs of frequent items always are."""
-    if size == 2:
-        return F.lit(True)
-    known_sets = F.array(*[F.array(*[F.lit(i) for i in s]) for s in sorted(frequent)])
-    return F.forall(
-        F.transform(F.sequence(F.lit(1), F.lit(size)),
-                    lambda k: F.filter(found, lambda i: i != F.element_at(found, k))),
-        lambda part: F.array_contains(known_sets, part),
-    )
+        codes = F.flatten(F.transform(codes, lambda s: F.transform(
+            F.filter(items, lambda i: i > s % F.lit(radix)), lambda i: (s * F.lit(radix) + i).cast(code_type))))
+    return codes
 
 
 def score_pattern(df: DataFrame, pattern: dict[str, object]) -> DataFrame:

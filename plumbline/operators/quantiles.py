@@ -1,10 +1,10 @@
-"""Exact order statistics of many columns by narrowing brackets.
+"""Exact order statistics of many columns by narrowing intervals.
 
 A single exact percentile aggregate keeps every distinct value in one task. Instead, each
-wanted rank gets an open interval known to hold it. One scan counts the rows below, at and
-between two candidate values for all intervals at once, and summarises what lies between,
-which shrinks an interval a few hundred times. Once few enough rows remain, a bounded
-aggregate picks the exact value. Counts prove every step: the approximate summary only
+wanted rank gets an open interval known to hold it. A sketch of the rows inside proposes two
+values around the rank, and one grouped count over all columns proves how many rows lie
+below and at them, which shrinks the interval several hundred times. Once few enough rows
+remain, a bounded aggregate picks the exact value. The counts decide: the sketch only
 affects how many scans are needed.
 """
 
@@ -13,16 +13,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.config import AuditConfig
 from plumbline.functions.columns import c
 
-STEPS = 1024
-GRID = [i / STEPS for i in range(STEPS + 1)]
-ACCURACY = 10_000
-INTERVALS_PER_SCAN = 24
+# Size of a sketch, and the share of ranks around the wanted one that it is sure to cover.
+SKETCH_SIZE = 16_384
+MARGIN = 8e-4
+SKETCH_GROUPS = 256
+INTERVALS_PER_SCAN = 16
 
 
 @dataclass
@@ -33,11 +35,15 @@ class _Search:
     rank: int
     lo: float  # the value lies strictly between lo and hi
     hi: float
-    inside: int  # rows strictly between lo and hi
     below: int  # rows up to and including lo
-    guess: tuple[float, float] | None = None  # closer values, not proven yet
+    upto: int  # rows below hi
+    guess: tuple[float, float] | None = None
     value: float | None = None
 
+    @property
+    def inside(self) -> int:
+        return self.upto - self.below
+
 
 def number(name: str) -> Column:
     """Known numeric value as double: NULL for NaN or text that is no number."""
@@ -85,7 +91,7 @@ def order_statistics(
         for rank in sorted(set(wanted)):
             if not 0 <= rank < n:
                 raise ValueError(f"column {name!r} has {n} known values, so no rank {rank}")
-            s = _Search(name, rank, -math.inf, math.inf, n, 0, guess=(lo, hi))
+            s = _Search(name, rank, -math.inf, math.inf, 0, n)
             s.value = lo if rank == 0 else hi if rank == n - 1 else None
             todo.append(s)
     while True:
@@ -95,68 +101,149 @@ def order_statistics(
         todo = [s for s in todo if s.value is None]
         if not todo:
             return out
-        few = [s for s in todo if s.inside <= exact_rows]
         many = [s for s in todo if s.inside > exact_rows]
         if many:
-            for i in range(0, len(many), INTERVALS_PER_SCAN):
-                _shrink(df, many[i : i + INTERVALS_PER_SCAN])
+            _guess(df, many)
+            _count(df, many)
         else:
-            _settle(df, few)
+            _settle(df, todo)
 
 
-def _settle(df: DataFrame, searches: list[_Search]) -> None:
-    """Sort the few rows inside each interval and read off the ranks."""
+def _by_interval(searches: list[_Search]) -> list[list[tuple[tuple, list[_Search]]]]:
+    """Searches that share column and interval together, in blocks for one scan each."""
     shared: dict[tuple, list[_Search]] = {}
     for s in searches:
         shared.setdefault((s.column, s.lo, s.hi), []).append(s)
     groups = list(shared.items())
-    for i in range(0, len(groups), INTERVALS_PER_SCAN):
-        block = groups[i : i + INTERVALS_PER_SCAN]
-        lists = [
-            F.sort_array(F.collect_list(_between(number(name), lo, hi))).alias(f"l{j}")
-            for j, ((name, lo, hi), _) in enumerate(block)
-        ]
-        picks = [
-            F.array(*[F.element_at(c(f"l{j}"), s.rank - s.below + 1) for s in members]).alias(f"p{j}")
-            for j, (_, members) in enumerate(block)
-        ]
-        row = df.agg(*lists).select(*picks).first()
+    return [groups[i : i + INTERVALS_PER_SCAN] for i in range(0, len(groups), INTERVALS_PER_SCAN)]
+
+
+def _cells(df: DataFrame, marks: dict[str, list[float]]) -> DataFrame:
+    """``(i, b, x)``: known values of column i, and between which of its marks they lie.
+
+    Bucket b starts at mark b - 1. Marks are doubles, so an open or closed end is a mark at
+    the value itself or at the next larger double.
+    """
+    names = list(marks)
+    values = df.select(*[number(n).alias(f"x{i}") for i, n in enumerate(names)])
+    placed = Bucketizer(
+        splitsArray=[[-math.inf, *(marks[n] or [0.0]), math.inf] for n in names],
+        inputCols=[f"x{i}" for i in range(len(names))],
+        outputCols=[f"b{i}" for i in range(len(names))], handleInvalid="keep",
+    ).transform(values)
+    cells = [
+        F.struct(F.lit(i).alias("i"), c(f"b{i}").cast("int").alias("b"), c(f"x{i}").alias("x"))
+        for i in range(len(names))
+    ]
+    return placed.select(F.inline(F.array(*cells))).where(c("x").isNotNull())
+
+
+def _after(value: float) -> float:
+    return math.nextafter(value, math.inf)
+
+
+def _settle(df: DataFrame, searches: list[_Search]) -> None:
+    """Sort the few rows inside the intervals and read off the ranks.
+
+    Overlapping intervals of a column are joined; rows outside of all drop out first.
+    """
+    ranges: dict[str, list[list[_Search]]] = {}
+    for s in sorted(searches, key=lambda s: (s.lo, s.hi)):
+        mine = ranges.setdefault(s.column, [])
+        if mine and s.lo < max(m.hi for m in mine[-1]):
+            mine[-1].append(s)
+        else:
+            mine.append([s])
+    marks, spots, wanted = {}, [], {}
+    for i, (name, groups) in enumerate(ranges.items()):
+        ends = [(g[0].lo, max(m.hi for m in g)) for g in groups]
+        marks[name] = sorted({e for lo, hi in ends for e in (_after(lo), hi) if abs(lo) < math.inf or e == hi}
+                             - {math.inf})
+        starts = [-math.inf, *(marks[name] or [0.0])]
+        owner = [next((k for k, (lo, hi) in enumerate(ends) if (lo < e or lo == e == -math.inf) and e < hi), -1)
+                 for e in starts]
+        spots.append(F.element_at(F.array(*[F.lit(k) for k in owner]), c("b") + 1))
+        for k, group in enumerate(groups):
+            wanted[f"{i}:{k}"] = group
+    owner = F.lit(-1)
+    for i, spot in enumerate(spots):
+        owner = F.when(c("i") == i, spot).otherwise(owner)
+    positions = F.create_map(*[
+        x for key, group in wanted.items()
+        for x in (F.lit(key), F.array(*[F.lit(s.rank - group[0].below + 1) for s in group]))
+    ])
+    rows = (
+        _cells(df, marks).withColumn("r", owner).where(c("r") >= 0)
+        .groupBy(F.concat_ws(":", "i", "r").alias("key"))
+        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        .select("key", F.transform(positions[c("key")], lambda p: F.element_at("xs", p)).alias("found"))
+    )
+    for r in rows.collect():
+        for s, value in zip(wanted[r.key], r.found):
+            s.value = value
+
+
+def _guess(df: DataFrame, searches: list[_Search]) -> None:
+    """Two values around each rank, from a sketch of the rows inside its interval.
+
+    Sketches are merged in two steps, so no task receives those of all partitions.
+    """
+    for block in _by_interval(searches):
+        inside = df.select(
+            F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
+            *[_between(number(name), lo, hi).alias(f"x{j}") for j, ((name, lo, hi), _) in enumerate(block)],
+        )
+        size = F.lit(SKETCH_SIZE)
+        partial = inside.groupBy("g").agg(
+            *[F.kll_sketch_agg_double(f"x{j}", size).alias(f"k{j}") for j in range(len(block))])
+        merged = partial.agg(
+            *[F.kll_merge_agg_double(f"k{j}", size).alias(f"k{j}") for j in range(len(block))])
+        picks = []
         for j, (_, members) in enumerate(block):
-            for s, value in zip(members, row[f"p{j}"]):
-                s.value = value
-
-
-def _shrink(df: DataFrame, searches: list[_Search]) -> None:
-    """Count around every guess, and move each search to the part that holds its rank."""
-    aggs = []
-    for i, s in enumerate(searches):
-        x = _between(number(s.column), s.lo, s.hi)
-        a, b = s.guess or (s.lo, s.hi)
-        mid = _between(x, a, b)
-        aggs.append(F.struct(
-            F.count_if(x < F.lit(a)).alias("lt"), F.count_if(x == F.lit(a)).alias("at_a"),
-            F.count(mid).alias("mid"), F.count_if(x == F.lit(b)).alias("at_b"),
-            F.percentile_approx(mid, GRID, ACCURACY).alias("grid"),
-        ).alias(f"s{i}"))
-    row = df.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        seen = row[f"s{i}"]
-        a, b = s.guess or (s.lo, s.hi)
-        r = s.rank - s.below
-        to_a, to_mid = seen.lt + seen.at_a, seen.lt + seen.at_a + seen.mid
-        if r < seen.lt:
-            s.hi, s.inside, s.guess = a, seen.lt, None
-        elif r < to_a:
+            spots = [
+                min(max((s.rank - s.below + 0.5) / s.inside + side, 0.0), 1.0)
+                for s in members for side in (-MARGIN, MARGIN)
+            ]
+            picks.append(F.kll_sketch_get_quantile_double(
+                c(f"k{j}"), F.array(*[F.lit(p) for p in spots])).alias(f"q{j}"))
+        row = merged.select(*picks).first()
+        for j, (_, members) in enumerate(block):
+            for i, s in enumerate(members):
+                s.guess = (row[f"q{j}"][2 * i], row[f"q{j}"][2 * i + 1])
+
+
+def _count(df: DataFrame, searches: list[_Search]) -> None:
+    """Count the rows below and at all guesses, and move each search accordingly.
+
+    Buckets between consecutive guesses, and from a guess to the next larger double, make
+    "below" and "equal" exact; one small grouped count covers all columns.
+    """
+    marks = {
+        n: sorted({e for s in searches if s.column == n for g in s.guess for e in (g, _after(g))})
+        for n in sorted({s.column for s in searches})
+    }
+    counts = _cells(df, marks).groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"))
+    seen = {(r.i, r.b): r.n for r in counts.collect()}
+    under = {}  # rows below each mark
+    for i, n in enumerate(marks):
+        running = 0
+        for b, mark in enumerate(marks[n]):
+            running += seen.get((i, b), 0)
+            under[n, mark] = running
+    for s in searches:
+        a, b = s.guess
+        below_a, to_a = under[s.column, a], under[s.column, _after(a)]
+        below_b, to_b = under[s.column, b], under[s.column, _after(b)]
+        if s.rank < below_a:
+            s.hi, s.upto = a, below_a
+        elif s.rank < to_a:
             s.value = a
-        elif r < to_mid:
-            s.lo, s.hi, s.below, s.inside = a, b, s.below + to_a, seen.mid
-            cell = int((r - to_a + 0.5) / seen.mid * STEPS)
-            s.guess = (seen.grid[max(cell - 1, 0)], seen.grid[min(cell + 2, STEPS)])
-        elif r < to_mid + seen.at_b:
+        elif s.rank < below_b:
+            s.lo, s.below, s.hi, s.upto = a, to_a, b, below_b
+        elif s.rank < to_b:
             s.value = b
         else:
-            rest = s.inside - to_mid - seen.at_b
-            s.lo, s.below, s.inside, s.guess = b, s.below + to_mid + seen.at_b, rest, None
+            s.lo, s.below = b, to_b
 
 
 def quantiles(

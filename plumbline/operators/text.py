@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
+from plumbline.session import spread
 
 # A token is two or more letters, digits or underscores; at most 3,000 terms
 # enter the vocabulary; texts are reduced to two components.
@@ -36,60 +37,80 @@ class Vocabulary:
     idf: tuple[float, ...]
 
 
-def term_statistics(df: DataFrame, column: str) -> DataFrame:
-    """``(term, tf, df)``: occurrences and documents of each term, in one shuffle."""
-    found = df.select(tokens(c(column)).alias("t"))
-    uses = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    first = F.transform(F.array_distinct("t"),
-                        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    return (
-        found.select(F.inline(F.concat(uses, first)))
-        .groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+def top_terms(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> list[str]:
+    """The most frequent terms of the corpus, ties by term, in sorted order.
+
+    Counts are combined on the map side, so the commonest words travel once per task.
+    """
+    counts = (
+        df.select(F.explode(tokens(c(column))).alias("term"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     )
+    top = counts.orderBy(c("n").desc(), "term").limit(max_terms).select("term")
+    return sorted(r.term for r in top.collect())  # at most max_terms
 
 
-def vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """``(term, idf)`` of the most frequent terms of the corpus, ties by term.
+def count_vectors(df: DataFrame, column: str, terms: list[str], out: str) -> DataFrame:
+    """Add a sparse vector of term counts per row, without a shuffle."""
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol=f"_tok_{out}", outputCol=out)
+    return counter.transform(df.withColumn(f"_tok_{out}", tokens(c(column)))).drop(f"_tok_{out}")
+
+
+def _vocabulary(terms: list[str], counts: DataFrame, name: str) -> Vocabulary:
+    """idf = ln((1 + documents) / (1 + documents with the term)) + 1."""
+    if not terms:
+        return Vocabulary((), ())
+    seen = IDF(inputCol=name, outputCol="_").fit(counts)
+    idf = np.log((1.0 + seen.numDocs) / (1.0 + np.array(seen.docFreq, float))) + 1
+    return Vocabulary(tuple(terms), tuple(float(v) for v in idf))
 
-    idf = ln((1 + documents) / (1 + documents with the term)) + 1.
-    """
-    docs = df.count()
-    top = term_statistics(df, column).orderBy(c("tf").desc(), "term").limit(max_terms)
-    return top.select("term", (F.log((1.0 + docs) / (1.0 + c("df"))) + 1).alias("idf"))
 
+def fit_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> Vocabulary:
+    """Two passes over the texts: term counts, then document counts of the chosen terms."""
+    texts = spread(df.select(c(column)))
+    terms = top_terms(texts, column, max_terms)
+    return _vocabulary(terms, count_vectors(texts, column, terms, "n").select("n"), "n")
 
-def collect_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> Vocabulary:
-    rows = vocabulary(df, column, max_terms).orderBy("term").collect()  # at most max_terms
-    return Vocabulary(tuple(r.term for r in rows), tuple(r.idf for r in rows))
 
+def vocabulary_table(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> DataFrame:
+    """``(term, idf)`` of the vocabulary."""
+    vocab = fit_vocabulary(df, column, max_terms)
+    return df.sparkSession.createDataFrame(list(zip(vocab.terms, vocab.idf)), "term string, idf double")
 
-def tfidf(df: DataFrame, row_id: str, column: str, max_terms: int = MAX_TERMS) -> DataFrame:
+
+def _weights(lists: pa.ListArray, terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, term position and TF-IDF weight of every entry of a batch, rows of length one."""
+    size, width = len(lists), max(len(idf), 1)
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(size), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    row, at = row[at >= 0], at[at >= 0].astype(np.int64)
+    entry, tf = np.unique(row * width + at, return_counts=True)
+    row, at = entry // width, entry % width
+    weight = tf * idf[at]
+    length = np.sqrt(np.bincount(row, weight * weight, minlength=size))
+    return row, at, weight / length[row]
+
+
+def tfidf(
+    df: DataFrame, row_id: str, column: str, max_terms: int = MAX_TERMS, vocab: Vocabulary | None = None
+) -> DataFrame:
     """``(row_id, term, weight)``: TF-IDF weights, each text scaled to length one.
 
-    The vocabulary side is bounded by ``max_terms``, so it is broadcast; a text is counted
-    where it lies, and only its own few entries are combined.
+    Each text is counted where it lies, on Arrow batches; nothing is shuffled.
     """
-    vocab = vocabulary(df, column, max_terms)
-    counts = (
-        df.select(c(row_id).alias("row_id"), F.explode(tokens(c(column))).alias("term"))
-        .join(F.broadcast(vocab), "term")
-        .groupBy("row_id", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("raw"))
-    )
-    lengths = counts.groupBy("row_id").agg(F.sqrt(F.sum(c("raw") * c("raw"))).alias("length"))
-    return counts.join(lengths, "row_id").select(
-        "row_id", "term", (c("raw") / c("length")).alias("weight"))
+    vocab = vocab or fit_vocabulary(df, column, max_terms)
+    terms, idf = pa.array(vocab.terms, pa.string()), np.array(vocab.idf)
 
+    @F.arrow_udf("array<struct<term:string,weight:double>>")
+    def weigh(lists: pa.Array) -> pa.Array:
+        row, at, weight = _weights(lists, terms, idf)
+        entries = pa.StructArray.from_arrays(
+            [terms.take(pa.array(at)), pa.array(weight, pa.float64())], names=["term", "weight"])
+        ends = np.searchsorted(row, np.arange(len(lists) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
-def tfidf_vectors(df: DataFrame, column: str, vocab: Vocabulary, out: str) -> DataFrame:
-    """TF-IDF as a sparse vector per row, without a shuffle."""
-    df = df.withColumn(f"_tok_{out}", tokens(c(column)))
-    counter = CountVectorizerModel.from_vocabulary(
-        list(vocab.terms), inputCol=f"_tok_{out}", outputCol=f"_cnt_{out}")
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense(vocab.idf), inputCol=f"_cnt_{out}", outputCol=f"_idf_{out}")
-    unit = Normalizer(p=2.0, inputCol=f"_idf_{out}", outputCol=out)
-    done = unit.transform(weigh.transform(counter.transform(df)))
-    return done.drop(f"_tok_{out}", f"_cnt_{out}", f"_idf_{out}")
+    rows = spread(df.select(c(row_id).alias("row_id"), c(column).alias("text")))
+    return rows.select("row_id", F.inline(weigh(tokens(c("text")))))
 
 
 @dataclass(frozen=True)
@@ -103,22 +124,23 @@ def fit_text(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> TextMode
 
     The sign of a component makes its largest loading positive.
     """
-    vocab = collect_vocabulary(df, column, max_terms)
-    width = len(vocab.terms)
-    if not width:
-        return TextModel(vocab, np.zeros((0, COMPONENTS)))
-    rows = tfidf_vectors(df.select(c(column)), column, vocab, "v").select("v").persist()
+    texts = spread(df.select(c(column)))
+    terms = top_terms(texts, column, max_terms)
+    if not terms:
+        return TextModel(Vocabulary((), ()), np.zeros((0, COMPONENTS)))
+    counts = count_vectors(texts, column, terms, "n").select("n").persist()
     try:
-        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
-        svd = matrix.computeSVD(min(COMPONENTS, width), computeU=False)
+        vocab = _vocabulary(terms, counts, "n")
+        weigh = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol="n", outputCol="w")
+        rows = Normalizer(p=2.0, inputCol="w", outputCol="v").transform(weigh.transform(counts)).select("v")
+        svd = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeSVD(
+            min(COMPONENTS, len(terms)), computeU=False)
         v = svd.V.toArray()
     finally:
-        rows.unpersist()
+        counts.unpersist()
     lead = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
     v = v * np.where(lead < 0, -1.0, 1.0)
-    if v.shape[1] < COMPONENTS:
-        v = np.hstack([v, np.zeros((width, COMPONENTS - v.shape[1]))])
-    return TextModel(vocab, v)
+    return TextModel(vocab, np.pad(v, ((0, 0), (0, COMPONENTS - v.shape[1]))))
 
 
 def text_components(df: DataFrame, column: str, model: TextModel) -> DataFrame:
@@ -126,29 +148,17 @@ def text_components(df: DataFrame, column: str, model: TextModel) -> DataFrame:
 
     Tokens are found in the JVM; the product with the loadings runs on Arrow batches.
     """
-    spot = {t: i for i, t in enumerate(model.vocab.terms)}
-    idf = np.array(model.vocab.idf)
+    terms, idf = pa.array(model.vocab.terms, pa.string()), np.array(model.vocab.idf)
     loadings = model.loadings
 
-    @F.pandas_udf("array<double>")
-    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        terms = pd.Index(list(spot))
-        for lists in batches:
-            size = len(lists)
-            row = np.repeat(np.arange(size), lists.str.len().to_numpy())
-            flat = np.concatenate(lists.to_list()) if size else np.array([], object)
-            at = terms.get_indexer(flat) if len(flat) else np.array([], int)
-            row, at = row[at >= 0], at[at >= 0]
-            cell, tf = np.unique(row * len(idf) + at, return_counts=True)
-            row, at = cell // max(len(idf), 1), cell % max(len(idf), 1)
-            w = tf * idf[at]
-            length = np.sqrt(np.bincount(row, w * w, minlength=size))
-            length[length == 0] = 1.0
-            parts = [np.bincount(row, w * loadings[at, k], minlength=size) / length
-                     for k in range(loadings.shape[1])]
-            yield pd.Series(list(np.column_stack(parts)))
-
-    parts = project(tokens(c(column)))
+    @F.arrow_udf("array<double>")
+    def project(lists: pa.Array) -> pa.Array:
+        size = len(lists)
+        row, at, weight = _weights(lists, terms, idf)
+        parts = [np.bincount(row, weight * loadings[at, k], minlength=size) for k in range(COMPONENTS)]
+        flat = pa.array(np.column_stack(parts).ravel(), pa.float64())
+        return pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * COMPONENTS, pa.int32()), flat)
+
     kept = [c(n) for n in df.columns if n != column]
-    return df.select(*kept, parts.alias("_svd")).select(
+    return df.select(*kept, project(tokens(c(column))).alias("_svd")).select(
         *kept, *[c("_svd")[k].alias(f"{column}_svd_{k}") for k in range(COMPONENTS)])

@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from workloads import feature_queries, group_queries, model_queries, profile_queries  # noqa: F401
+from workloads import (  # noqa: F401
+    audit_queries,
+    feature_queries,
+    group_queries,
+    model_queries,
+    profile_queries,
+)

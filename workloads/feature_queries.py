@@ -9,6 +9,7 @@ from plumbline.operators import binning, encoding, impute, scaling, split, targe
 from plumbline.operators.profile import collect_roles
 from plumbline.operators.quantiles import number
 from plumbline.plans.features import encode_sensitive, one_hot_standardised
+from plumbline.session import spread
 from workloads.fixtures import events_num, orders_wide, table
 from workloads.registry import query
 
@@ -256,10 +257,10 @@ def tfidf(spark, sf_dir):
 
 @query(_TFIDF + "SELECT term, round(idf, 6) AS idf FROM idf")
 def text_vocabulary(spark, sf_dir):
-    return text.vocabulary(table(spark, sf_dir, "documents"), "text").select("term", F.round("idf", 6).alias("idf"))
+    return text.vocabulary_table(table(spark, sf_dir, "documents"), "text").select("term", F.round("idf", 6).alias("idf"))
 
 
 @query()
 def text_svd(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text.text_components(rows, "text", text.fit_text(rows, "text"))

@@ -32,7 +32,7 @@ def _scaled_orders(spark, sf_dir):
     rows = orders_wide(spark, sf_dir).select(
         "row_id", F.col("total").alias("x1"), F.col("balance").alias("x2"),
         F.col("signal_label").alias("label"), "race", "nationality", "occupation", "status", "age")
-    rows = impute_median(rows, ["x1", "x2"])
+    rows = impute_median(materialise(rows, "orders"), ["x1", "x2"])
     rows = split.hash_split(scaling.standard_scale(rows, ["x1", "x2"]), "row_id")
     return materialise(_DESIGN.with_vector(rows), "scaled_orders")
 
