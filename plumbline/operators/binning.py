@@ -35,6 +35,9 @@ class Bins:
         return F.when(inside, bin_)
 
     def label_of(self, x: Column, labels: list[str]) -> Column:
+        """Label of the value's bin; a constant column has no bins."""
+        if not labels:
+            return F.lit(None).cast("string")
         return F.element_at(F.array(*[F.lit(t) for t in labels]), self.index(x) + 1)
 
     def intervals(self, digits: int = 3) -> list[str]:

@@ -122,15 +122,13 @@ class Design:
 
     def with_indices(self, df: DataFrame) -> DataFrame:
         """Add the level position of every categorical term."""
-        cats = [t for t in self.terms if t.levels]
-        if not cats:
-            return df
-        texts = {t.index + "_t": c(t.column).cast("string") for t in cats}
-        model = StringIndexerModel.from_arrays_of_labels(
-            [list(t.levels) for t in cats], [t.index + "_t" for t in cats],
-            [t.index for t in cats], handleInvalid="keep",
-        )
-        return model.transform(df.withColumns(texts)).drop(*texts)
+        for t in self.terms:
+            if t.levels:
+                text = f"{t.index}_text"
+                indexer = StringIndexerModel.from_labels(
+                    list(t.levels), inputCol=text, outputCol=t.index, handleInvalid="keep")
+                df = indexer.transform(df.withColumn(text, c(t.column).cast("string"))).drop(text)
+        return df
 
     def with_vector(self, df: DataFrame, name: str = "features") -> DataFrame:
         """Add the feature vector for Spark ML, sparse where one-hot columns dominate."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,9 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 MAX_TERMS = 3000
 COMPONENTS = 2
 
+# The eigenvalue solver of the driver keeps state between calls: one fit at a time.
+_ONE_SOLVER = threading.Lock()
+
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of a whole text, in order."""
@@ -133,9 +137,9 @@ def fit_text(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> TextMode
         vocab = _vocabulary(terms, counts, "n")
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol="n", outputCol="w")
         rows = Normalizer(p=2.0, inputCol="w", outputCol="v").transform(weigh.transform(counts)).select("v")
-        svd = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeSVD(
-            min(COMPONENTS, len(terms)), computeU=False)
-        v = svd.V.toArray()
+        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
+        with _ONE_SOLVER:
+            v = matrix.computeSVD(min(COMPONENTS, len(terms)), computeU=False).V.toArray()
     finally:
         counts.unpersist()
     lead = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +89,15 @@ def flag_outliers(fitted: Fitted) -> DataFrame:
 def compare_f1(fitted: Fitted, flagged: DataFrame) -> DataFrame:
     """F1 on the same test rows after training on all rows and without either outlier set.
 
-    The first model is the one already fitted; all predictions are scored in one pass.
+    The first model is the one already fitted, the other two are fitted side by side, and
+    all predictions are scored in one pass.
     """
     design, kind = fitted.prepared.design, fitted.model.kind
     train = flagged.where(~c("is_test"))
-    stat = fit(outliers.drop_flagged(train, "stat_outlier"), kind, design)
-    infl = fit(outliers.drop_flagged(train, "infl_outlier"), kind, design)
+    refit = inheritable_thread_target(train.sparkSession)(
+        lambda flag: fit(outliers.drop_flagged(train, flag), kind, design))
+    with ThreadPoolExecutor(2) as pool:
+        stat, infl = pool.map(refit, ["stat_outlier", "infl_outlier"])
     scores = {"f1_orig": fitted.model, "f1_statistic": stat, "f1_influence": infl}
     return fitted.test.agg(*[
         F.round(binary_f1(c("label"), m.predict(design)), 4).alias(n) for n, m in scores.items()

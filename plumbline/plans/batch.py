@@ -37,6 +37,7 @@ ITEMS = {
     "group_fairness": "sensitive_feature", "influence_fairness": "positive_group",
 }
 
+ROW_ID = "_row_id"
 STATUS_SCHEMA = "dataset string, part string, status string, detail string"
 
 
@@ -89,7 +90,7 @@ def run_with_limit(spark: SparkSession, seconds: float, work: Callable[[], objec
         finally:
             spark.removeTag(tag)
 
-    thread = threading.Thread(target=inheritable_thread_target(tagged), daemon=True)
+    thread = threading.Thread(target=inheritable_thread_target(spark)(tagged), daemon=True)
     thread.start()
     thread.join(seconds)
     if thread.is_alive():
@@ -112,18 +113,19 @@ def audit_dataset(
     status: list[tuple[str, str, str, str]] = []
     try:
         df = load(spark, entry) if load else load_table(spark, entry.location, number=entry.file_number)
-        df = with_row_id(df) if entry.row_id is None else with_row_id(df, [entry.row_id])
-        body = df.drop("row_id") if entry.row_id is None else df.drop("row_id", entry.row_id)
+        body = df.drop(entry.row_id) if entry.row_id else df
         profile = profile_audit(body)
         pick_target(body, collect_roles(body), entry.target)
+        table = with_row_id(df, [entry.row_id] if entry.row_id else None, ROW_ID)
+        if entry.row_id:
+            table = table.drop(entry.row_id)
     except Exception as error:
         return None, [(entry.location, "load", "failed", _short(error))]
-    table = df if entry.row_id is None else df.drop(entry.row_id)
     kind = model_type(entry.model)
     parts = {
         "profile": lambda: profile,
-        "quality": lambda: quality_audit(table, "row_id", entry.target, kind, cfg),
-        "fairness": lambda: fairness_audit(table, "row_id", entry.target, kind, cfg),
+        "quality": lambda: quality_audit(table, ROW_ID, entry.target, kind, cfg),
+        "fairness": lambda: fairness_audit(table, ROW_ID, entry.target, kind, cfg),
     }
 
     def one(name: str) -> DataFrame | None:
@@ -142,7 +144,8 @@ def audit_dataset(
         return None
 
     with ThreadPoolExecutor(len(parts)) as pool:
-        reports = [r for r in pool.map(one, parts) if r is not None]
+        done = pool.map(inheritable_thread_target(spark)(one), parts)
+        reports = [r for r in done if r is not None]
     if not reports:
         return None, status
     report = reduce(DataFrame.unionByName, reports)
@@ -163,7 +166,7 @@ def batch_audit(
     """
     with ThreadPoolExecutor(max(1, at_once)) as pool:
         results = list(pool.map(
-            inheritable_thread_target(lambda e: audit_dataset(spark, e, cfg, load)), entries))
+            inheritable_thread_target(spark)(lambda e: audit_dataset(spark, e, cfg, load)), entries))
     reports = [r for r, _ in results if r is not None]
     empty = spark.createDataFrame(
         [], "dataset string, platform string, section string, item string, metric string, value string")

@@ -48,7 +48,7 @@ def logistic_fit(spark, sf_dir):
 @query()
 def svm_fit(spark, sf_dir):
     train, _ = _halves(_scaled_orders(spark, sf_dir))
-    return _weights(spark, models.fit(train, "svm", _DESIGN, tolerance=1e-6))
+    return _weights(spark, models.fit(train, "svm", _DESIGN))
 
 
 def _weights(spark, model):
