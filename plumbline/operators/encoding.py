@@ -66,18 +66,21 @@ def _doubles(values: list[float]) -> Column:
 class Term:
     """A numeric column, or the levels of a categorical one, inside the design matrix.
 
-    A categorical term reads ``index``, the 0-based position of the row's level.
+    A categorical term reads ``index``, the 0-based position of the row's level. ``title``
+    names its features; the column itself must have a plain name, as Spark ML asks for.
     """
 
     column: str
     levels: tuple[str, ...] = ()
     skip: int = 0  # leading levels left out
+    title: str | None = None
 
     @property
     def names(self) -> list[str]:
+        title = self.title or self.column
         if not self.levels:
-            return [self.column]
-        return [f"{self.column}_{v}" for v in self.levels[self.skip:]]
+            return [title]
+        return [f"{title}_{v}" for v in self.levels[self.skip:]]
 
     @property
     def index(self) -> str:

@@ -62,8 +62,6 @@ def count_vectors(df: DataFrame, column: str, terms: list[str], out: str) -> Dat
 
 def _vocabulary(terms: list[str], counts: DataFrame, name: str) -> Vocabulary:
     """idf = ln((1 + documents) / (1 + documents with the term)) + 1."""
-    if not terms:
-        return Vocabulary((), ())
     seen = IDF(inputCol=name, outputCol="_").fit(counts)
     idf = np.log((1.0 + seen.numDocs) / (1.0 + np.array(seen.docFreq, float))) + 1
     return Vocabulary(tuple(terms), tuple(float(v) for v in idf))
@@ -73,6 +71,8 @@ def fit_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> Vo
     """Two passes over the texts: term counts, then document counts of the chosen terms."""
     texts = spread(df.select(c(column)))
     terms = top_terms(texts, column, max_terms)
+    if not terms:
+        return Vocabulary((), ())
     return _vocabulary(terms, count_vectors(texts, column, terms, "n").select("n"), "n")
 
 

@@ -38,6 +38,7 @@ ITEMS = {
 }
 
 ROW_ID = "_row_id"
+CANCEL_ATTEMPTS = 120
 STATUS_SCHEMA = "dataset string, part string, status string, detail string"
 
 
@@ -82,19 +83,24 @@ def run_with_limit(spark: SparkSession, seconds: float, work: Callable[[], objec
     box: dict[str, object] = {}
 
     def tagged() -> None:
-        spark.addTag(tag)
+        spark.sparkContext.addJobTag(tag)
         try:
             box["value"] = work()
         except BaseException as error:  # handed to the caller below
             box["error"] = error
         finally:
-            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
 
     thread = threading.Thread(target=inheritable_thread_target(spark)(tagged), daemon=True)
     thread.start()
     thread.join(seconds)
     if thread.is_alive():
-        spark.interruptTag(tag)
+        # The thread may be between two jobs, so cancelling goes on until one fails it.
+        for _ in range(CANCEL_ATTEMPTS):
+            spark.sparkContext.cancelJobsWithTag(tag)
+            thread.join(0.5)
+            if not thread.is_alive():
+                break
         raise Expired(f"not done after {seconds:g} seconds")
     if "error" in box:
         raise box["error"]

@@ -18,12 +18,17 @@ from plumbline.operators.impute import PLACEHOLDER, modes
 from plumbline.operators.profile import Roles, collect_roles
 from plumbline.operators.quantiles import medians, number
 from plumbline.operators.target import binary_label, label_from_class
-from plumbline.operators.text import fit_text, text_components
+from plumbline.operators.text import COMPONENTS, fit_text, text_components
 
-# Feature columns carry a prefix, so they never clash with the raw columns next to them.
+# Feature columns stand next to the raw columns, under plain names of their own.
 PREFIX = "f_"
 
 
+def feature_columns(df: DataFrame) -> dict[str, str]:
+    """Name of the feature column of each raw column."""
+    return {n: f"{PREFIX}{i}" for i, n in enumerate(df.columns)}
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Raw columns with gaps filled, feature columns, ``label`` and ``features`` in one table."""
@@ -57,77 +62,86 @@ def build_features(
     plain = [n for n in roles.categorical if n not in sensitive]
     texts = [n for n in roles.text if n not in sensitive]
 
-    clean = normalise_missing(df, [n for n in raw.columns])
+    clean = normalise_missing(df, raw.columns)
     label = (
         label_from_class(target, positive) if positive is not None
         else binary_label(clean, target, roles)
     )
-    known_numbers = [n for n in roles.numeric]
-    middle = medians(clean, known_numbers)
-    cleaned = clean.select(*[
-        F.coalesce(number(n), F.lit(middle[n])).cast(
-            clean.schema[n].dataType if _keeps_type(clean.schema[n].dataType, middle[n]) else "double"
-        ).alias(n) if n in middle and middle[n] is not None
-        else F.coalesce(c(n).cast("string"), F.lit(PLACEHOLDER)).alias(n) if n in plain
-        else F.coalesce(c(n), F.lit("")).alias(n) if n in texts
-        else c(n)
-        for n in clean.columns
-    ]).withColumn("label", label)
-
-    data = cleaned.withColumns({PREFIX + n: number(n) for n in numeric})
-    features = [PREFIX + n for n in numeric]
+    cleaned = _fill_gaps(clean, roles.numeric, plain, texts).withColumn("label", label)
+
+    spot = feature_columns(df)
+    data = cleaned.withColumns({spot[n]: number(n) for n in numeric})
+    features = [spot[n] for n in numeric]
     if mode == "fairness" and features:
         data = scaling.clamp(data, scaling.winsor_bounds(data, features))
         data = scaling.standardise(data, scaling.moments(data, features))
-    groups = [PREFIX + n for n in plain]
-    data = data.withColumns({PREFIX + n: c(n) for n in plain})
+    data = data.withColumns({spot[n]: c(n) for n in plain})
     if sensitive:
-        data, encoded = _encode_sensitive(data, sensitive, roles)
-        groups = encoded + groups
-    components = []
+        data = _encode_sensitive(data, {n: spot[n] for n in sensitive}, roles)
+    components = {}
     for n in texts:
         model = fit_text(cleaned, n)
-        data = text_components(data.withColumn(PREFIX + n, c(n)), PREFIX + n, model)
-        components += [f"{PREFIX}{n}_svd_0", f"{PREFIX}{n}_svd_1"]
+        data = text_components(data.withColumn(spot[n], c(n)), spot[n], model)
+        components |= {f"{spot[n]}_svd_{k}": f"{n}_svd_{k}" for k in range(COMPONENTS)}
+    groups = {spot[n]: n for n in [*sensitive, *plain]}
     if not one_hot_encode:
-        return Prepared(data, row_id, roles, features, groups, components, sensitive)
+        return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive)
 
-    levels = categories(data, groups, cfg.max_categories)
-    terms = [Term(n, tuple(levels[n])) for n in groups]
-    terms += [Term(n) for n in [*features, *components]]
+    levels = categories(data, list(groups), cfg.max_categories)
+    terms = [Term(k, tuple(levels[k]), title=n) for k, n in groups.items()]
+    terms += [Term(spot[n], title=n) for n in numeric]
+    terms += [Term(k, title=n) for k, n in components.items()]
     design = Design(tuple(terms))
     if not len(design):
         raise ValueError("no usable feature column")
     data = design.with_vector(design.with_indices(data))
-    return Prepared(data, row_id, roles, features, groups, components, sensitive, design)
-
-
-def _keeps_type(dtype: T.DataType, value: float) -> bool:
-    return isinstance(dtype, T.IntegralType) and float(value).is_integer()
-
-
-def _encode_sensitive(df: DataFrame, sensitive: list[str], roles: Roles) -> tuple[DataFrame, list[str]]:
-    """Groups of sensitive columns: decades for ages, tenths for other numbers, else values."""
-    ages = [n for n in sensitive if n in roles.numeric and roles.sensitive[n] == "age"]
-    others = [n for n in sensitive if n in roles.numeric and n not in ages]
-    values = [n for n in sensitive if n not in roles.numeric]
-    out = {PREFIX + n: age_group(number(n)) for n in ages}
+    return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive, design)
+
+
+def _fill_gaps(df: DataFrame, numeric: list[str], plain: list[str], texts: list[str]) -> DataFrame:
+    """Medians for numbers, a placeholder category, and empty texts, in one projection."""
+    middle = medians(df, numeric)
+    out = []
+    for f in df.schema.fields:
+        name, x = f.name, c(f.name)
+        if name in middle:
+            if isinstance(f.dataType, T.IntegralType) and middle[name].is_integer():
+                x = F.coalesce(x, F.lit(int(middle[name])).cast(f.dataType))
+            else:
+                x = F.coalesce(number(name), F.lit(middle[name]))
+        elif name in plain:
+            x = F.coalesce(x.cast("string"), F.lit(PLACEHOLDER))
+        elif name in texts:
+            x = F.coalesce(x, F.lit(""))
+        out.append(x.alias(name))
+    return df.select(*out)
+
+
+def _encode_sensitive(df: DataFrame, names: dict[str, str], roles: Roles) -> DataFrame:
+    """Add groups of sensitive columns, under the given names.
+
+    Ages become decades, other numbers tenths, and other values stay, with gaps filled.
+    """
+    ages = [n for n in names if n in roles.numeric and roles.sensitive[n] == "age"]
+    others = [n for n in names if n in roles.numeric and n not in ages]
+    values = [n for n in names if n not in roles.numeric]
+    out = {names[n]: age_group(number(n)) for n in ages}
     if others:
         for n, bins in quantile_bins(df, others, 10).items():
             labels = range_labels(bins, isinstance(df.schema[n].dataType, T.IntegralType))
-            out[PREFIX + n] = bins.label_of(number(n), labels)
+            out[names[n]] = bins.label_of(number(n), labels)
     found = modes(df, values)
     for n in values:
-        out[PREFIX + n] = F.coalesce(c(n).cast("string"), F.lit(found[n]))
-    return df.withColumns(out), [PREFIX + n for n in sensitive]
+        out[names[n]] = F.coalesce(c(n).cast("string"), F.lit(found[n]))
+    return df.withColumns(out)
 
 
 def encode_sensitive(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
     """Replace sensitive columns by their groups."""
     roles = collect_roles(df, target, extra_sensitive=columns)
-    encoded, names = _encode_sensitive(df, columns, roles)
-    swap = dict(zip(columns, names))
-    return encoded.select(*[c(swap[n]).alias(n) if n in swap else c(n) for n in df.columns])
+    spot = feature_columns(df)
+    encoded = _encode_sensitive(df, {n: spot[n] for n in columns}, roles)
+    return encoded.select(*[c(spot[n]).alias(n) if n in columns else c(n) for n in df.columns])
 
 
 def one_hot_standardised(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def first_bytes(spark: SparkSession, path: str, size: int = SNIFFED_BYTES) -> by
 
 
 def guess_encoding(sample: bytes) -> str:
-    """Encoding by byte-order mark, else UTF-8 if the bytes allow it, else Windows-1252."""
+    """Encoding by byte-order mark, else UTF-8 if the bytes allow it, else Latin-1."""
     for mark, name in ((codecs.BOM_UTF8, "UTF-8"), (codecs.BOM_UTF16_LE, "UTF-16"), (codecs.BOM_UTF16_BE, "UTF-16")):
         if sample.startswith(mark):
             return name
@@ -39,7 +39,7 @@ def guess_encoding(sample: bytes) -> str:
         codecs.getincrementaldecoder("utf-8")().decode(sample, final=False)
         return "UTF-8"
     except UnicodeDecodeError:
-        return "windows-1252"
+        return "ISO-8859-1"
 
 
 def guess_delimiter(text: str) -> str:

@@ -17,8 +17,8 @@ def _frame(spark, columns, parts=4):
     return spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(parts)
 
 
-@pytest.mark.parametrize("exact_rows", [5, 60, 100_000])
-@pytest.mark.parametrize("parts", [1, 4, 64])
+@pytest.mark.parametrize("exact_rows", [20, 100_000])
+@pytest.mark.parametrize("parts", [1, 32])
 def test_same_as_numpy_whatever_the_limit(spark, exact_rows, parts):
     rng = np.random.default_rng(1)
     n = 3000
