@@ -13,6 +13,9 @@ from plumbline.operators.patterns import Items, predicate
 UNKNOWN_GROUP = "nan"
 INFLUENCE_RATIO = 3.0
 
+# Groups of one column that may be gathered into one map value.
+MAX_MAPPED_GROUPS = 10_000
+
 
 def _long_groups(df: DataFrame, sensitive: list[str], keep: list[Column]) -> DataFrame:
     """One row per row and sensitive column, with its group as text."""
@@ -70,16 +73,19 @@ def fairness_records(
         _spread("selection_rate").alias("DPD"),
         F.greatest(_spread("tpr"), _spread("fpr")).alias("EOD"),
         _spread("ppv").alias("PPV_diff"),
-        F.max("ppv").alias("_best"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "ppv")))).alias("PPV_by_group"),
+        F.max("ppv").alias("best"), F.count(F.lit(1)).alias("groups"),
     )
-    return gaps.select(
+    # A map is built only where it stays small; ``predictive_parity`` has rows for any number.
+    small = gaps.where(c("groups") <= MAX_MAPPED_GROUPS).select("feature")
+    maps = rates.join(small, "feature", "left_semi").groupBy("feature").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "ppv")))).alias("PPV_by_group"))
+    return gaps.join(maps, "feature", "left").select(
         c("feature").alias("sensitive_feature"),
         "DPD", (F.abs("DPD") <= cfg.dpd_tol).alias("DPD_fair"),
         "EOD", (F.abs("EOD") <= cfg.eod_tol).alias("EOD_fair"),
         "PPV_diff", (F.abs("PPV_diff") <= cfg.ppv_tol).alias("PPV_fair"),
         "PPV_by_group",
-        F.transform_values("PPV_by_group", lambda _, v: c("_best") - v <= cfg.ppv_tol)
+        F.transform_values("PPV_by_group", lambda _, v: c("best") - v <= cfg.ppv_tol)
         .alias("PPV_group_fairness"),
     )
 

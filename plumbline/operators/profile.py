@@ -33,6 +33,13 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def short_key(name: str, dtype: T.DataType) -> Column:
+    """The value for comparisons: long texts are replaced by a digest, so they do not travel."""
+    if not isinstance(dtype, T.StringType):
+        return c(name)
+    return F.when(F.length(c(name)) > LONG_TEXT_WARNING, F.md5(c(name))).otherwise(c(name))
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Plain data size of a row: fixed widths plus the bytes of its strings."""
     total = F.lit(0).cast("long")
@@ -52,19 +59,23 @@ def _value_bytes(value: Column, dtype: T.DataType) -> Column:
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    """Rows ``(metric, value)``: size, missing cells, exact duplicates and data volume.
+    """Rows ``(metric, value)``: size, missing cells, duplicates and data volume.
 
-    One shuffle: rows are grouped on all their values, and each group carries its size.
+    One shuffle: rows are grouped on all their values (long texts by their digest), and each
+    group carries its size.
     """
     n_cols = len(df.columns)
-    fields = df.schema.fields
-    missing = sum((known(f.name, f.dataType).isNull().cast("long") for f in fields), F.lit(0))
-    groups = df.groupBy(*[c(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    missing = sum(
+        (known(f.name, f.dataType).isNull().cast("long") for f in df.schema.fields), F.lit(0).cast("long"))
+    keys = [short_key(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
+    rows = df.select(*keys, missing.alias("_missing"), _row_bytes(df).alias("_bytes"))
+    groups = rows.groupBy(*[f"k{i}" for i in range(n_cols)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_missing").alias("_missing"), F.sum("_bytes").alias("_bytes"))
     totals = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(c("_n") * missing), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("dups"),
-        F.coalesce(F.sum(c("_n") * _row_bytes(df)), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"),
     )
     cells = c("rows") * n_cols
 
@@ -91,7 +102,8 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Counts of rows, distinct rows and repeats over the given columns (NULLs are equal)."""
     names = df.columns if columns is None else columns
-    groups = df.groupBy(*[c(n) for n in names]).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [short_key(n, df.schema[n].dataType).alias(f"k{i}") for i, n in enumerate(names)]
+    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -99,6 +111,27 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
+def _profile_frequencies(df: DataFrame) -> DataFrame:
+    """Value frequencies in which a long text is its digest, length, size and number flag.
+
+    Only texts that raise a length alert anyway are shortened, so no report shows a digest.
+    """
+    cells = []
+    for f in df.schema.fields:
+        text = known(f.name, f.dataType).cast("string")
+        long = F.length(text) > LONG_TEXT_WARNING
+        cells.append(F.struct(
+            F.when(long, F.md5(text)).otherwise(text).alias("value"),
+            F.when(long, F.length(text)).alias("length"),
+            F.when(long, F.octet_length(text)).alias("size"),
+            # Other texts fail the pattern at their first letter, before any parsing.
+            F.when(long, text.rlike(r"^[-+0-9.eE \t]+$") & to_number(text).isNotNull()).alias("number"),
+        ).alias(f.name))
+    cell = df.select(*cells).unpivot([], [c(f.name) for f in df.schema.fields], "col", "cell")
+    return cell.select("col", "cell.*").groupBy("col", "value", "length", "size", "number").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def column_facts(df: DataFrame) -> DataFrame:
     """One row per column with the counts that roles, statistics and alerts build on.
 
@@ -106,19 +139,21 @@ def column_facts(df: DataFrame) -> DataFrame:
     ``clean_known`` leave out missing markers; ``castable`` counts numbers among them.
     """
     fields = df.schema.fields
-    freq = value_frequencies(df)
-    value, n = c("value"), c("n")
-    clean = without_marker(value)
-    facts = freq.groupBy("col").agg(
+    value, n, long = c("value"), c("n"), c("length").isNotNull()
+    clean = F.when(long, value).otherwise(without_marker(value))
+    is_number = F.when(long, c("number")).otherwise(to_number(value).isNotNull())
+    length = F.coalesce(c("length"), F.length(value))
+    size = F.coalesce(c("size"), F.octet_length(value)).cast("long")
+    facts = _profile_frequencies(df).groupBy("col").agg(
         F.sum(n).alias("rows"),
         F.count(value).alias("distinct"),
         F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("missing"),
         F.count(clean).alias("clean_distinct"),
         F.coalesce(F.sum(F.when(clean.isNotNull(), n)), F.lit(0)).alias("clean_known"),
-        F.coalesce(F.sum(F.when(to_number(clean).isNotNull(), n)), F.lit(0)).alias("castable"),
-        F.count_if(value.isNotNull() & to_number(value).isNotNull()).alias("numeric_values"),
-        F.max(F.length(value)).alias("max_len"),
-        F.coalesce(F.sum(F.octet_length(value).cast("long") * n), F.lit(0)).alias("text_bytes"),
+        F.coalesce(F.sum(F.when(clean.isNotNull() & is_number, n)), F.lit(0)).alias("castable"),
+        F.count_if(value.isNotNull() & is_number).alias("numeric_values"),
+        F.max(length).alias("max_len"),
+        F.coalesce(F.sum(size * n), F.lit(0)).alias("text_bytes"),
         F.min(value).alias("sample"),
     )
     # The schema side is as small as the schema; the left join keeps columns of empty tables.

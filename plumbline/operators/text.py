@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
-from plumbline.session import spread
 
 # A token is two or more letters, digits or underscores; at most 3,000 terms
 # enter the vocabulary; texts are reduced to two components.
@@ -69,7 +68,7 @@ def _vocabulary(terms: list[str], counts: DataFrame, name: str) -> Vocabulary:
 
 def fit_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> Vocabulary:
     """Two passes over the texts: term counts, then document counts of the chosen terms."""
-    texts = spread(df.select(c(column)))
+    texts = df.select(c(column))
     terms = top_terms(texts, column, max_terms)
     if not terms:
         return Vocabulary((), ())
@@ -113,7 +112,7 @@ def tfidf(
         ends = np.searchsorted(row, np.arange(len(lists) + 1))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
-    rows = spread(df.select(c(row_id).alias("row_id"), c(column).alias("text")))
+    rows = df.select(c(row_id).alias("row_id"), c(column).alias("text"))
     return rows.select("row_id", F.inline(weigh(tokens(c("text")))))
 
 
@@ -128,7 +127,7 @@ def fit_text(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> TextMode
 
     The sign of a component makes its largest loading positive.
     """
-    texts = spread(df.select(c(column)))
+    texts = df.select(c(column))
     terms = top_terms(texts, column, max_terms)
     if not terms:
         return TextModel(Vocabulary((), ()), np.zeros((0, COMPONENTS)))

@@ -23,7 +23,7 @@ from plumbline.operators.split import with_row_id
 from plumbline.operators.target import pick_target
 from plumbline.plans.audits import fairness_audit, profile_audit, quality_audit
 from plumbline.session import materialise
-from plumbline.sources.readers import load_table
+from plumbline.sources.readers import extension, load_table, pick_file
 from plumbline.sources.sinks import tidy
 
 # Defaults of a manifest entry.
@@ -118,7 +118,7 @@ def audit_dataset(
     """
     status: list[tuple[str, str, str, str]] = []
     try:
-        df = load(spark, entry) if load else load_table(spark, entry.location, number=entry.file_number)
+        df = load(spark, entry) if load else _load(spark, entry)
         body = df.drop(entry.row_id) if entry.row_id else df
         profile = profile_audit(body)
         pick_target(body, collect_roles(body), entry.target)
@@ -158,6 +158,13 @@ def audit_dataset(
     return report.select(F.lit(entry.location).alias("dataset"), F.lit(entry.platform).alias("platform"), "*"), status
 
 
+def _load(spark: SparkSession, entry: Entry) -> DataFrame:
+    """The dataset; text formats are parsed once and kept as Parquet for the many passes."""
+    path = pick_file(spark, entry.location, entry.file_number)
+    df = load_table(spark, path)
+    return df if extension(path) == ".parquet" else materialise(df, "input")
+
+
 def _short(error: BaseException) -> str:
     return f"{type(error).__name__}: {error}".splitlines()[0][:500]
 

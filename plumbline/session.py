@@ -26,19 +26,19 @@ def scratch_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
-    Cuts lineage, survives lost executors, and later steps still prune columns. A small
-    input is spread over the cores first, as several passes follow.
+    Cuts lineage, survives lost executors, and later steps still prune columns.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    spread(df).write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a small input among all cores before expensive work.
+def spread(table: DataFrame) -> DataFrame:
+    """Share the rows of a small scanned table among all cores.
 
-    A table read in at least as many pieces as there are cores stays as it is.
+    For a table as read, before any join or aggregate. Read in at least as many pieces as
+    there are cores, it stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

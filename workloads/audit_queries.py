@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import models
-from plumbline.plans.audits import fairness_audit, quality_audit
+from plumbline.operators import models, outliers
+from plumbline.plans.audits import fairness_audit, fit_audit, flag_outliers, quality_audit
 from plumbline.plans.batch import Entry, batch_audit, roll_up
+from plumbline.session import materialise
 from plumbline.sources.sinks import tidy
 from workloads.fixtures import doc_labels, events_num, orders_wide
 from workloads.model_queries import SCALED_ORDERS, _DESIGN, _halves, _scaled_orders
@@ -79,6 +80,11 @@ infl AS (SELECT p.*, -(p - label) * (x1 * (c * g1 - b * g2) + x2 * (a * g2 - b *
 bound AS (SELECT greatest(avg(influence) + stddev_pop(influence), 0) AS bound FROM infl WHERE NOT is_test),
 f AS MATERIALIZED (SELECT infl.*, NOT is_test AND influence > bound AS inf FROM infl, bound)"""
 
+def _two_numbers(spark, sf_dir):
+    rows = orders_wide(spark, sf_dir).select("row_id", "total", "balance", "signal_label")
+    return materialise(rows, "orders")
+
+
 _F1 = "2.0::DOUBLE * count_if(label = 1 AND {p}) / (count_if(label = 1) + count_if({p}))"
 
 
@@ -92,8 +98,7 @@ SELECT round({_F1.format(p='a')}, 4) AS f1_orig, round({_F1.format(p='s')}, 4) A
   round({_F1.format(p='i')}, 4) AS f1_influence FROM said
 """)
 def f1_comparison(spark, sf_dir):
-    rows = orders_wide(spark, sf_dir).select("row_id", "total", "balance", "signal_label")
-    return quality_audit(rows, "row_id", "signal_label")["f1_report"]
+    return quality_audit(_two_numbers(spark, sf_dir), "row_id", "signal_label")["f1_report"]
 
 
 @query(f"""
@@ -103,12 +108,12 @@ SELECT CAST(count_if(inf) AS BIGINT) AS influence_outliers_count, round(count_if
   CAST(count_if(inf AND st) AS BIGINT) AS overlap_count FROM f
 """)
 def audit_outliers(spark, sf_dir):
-    rows = orders_wide(spark, sf_dir).select("row_id", "total", "balance", "signal_label")
-    return quality_audit(rows, "row_id", "signal_label")["outlier_summary"]
+    fitted = fit_audit(_two_numbers(spark, sf_dir), "row_id", "signal_label", "logistic", "quality")
+    return outliers.outlier_summary(flag_outliers(fitted), "infl_outlier", "stat_outlier")
 
 
 def _audited_orders(spark, sf_dir):
-    return orders_wide(spark, sf_dir).drop("pred", "target", "priority")
+    return materialise(orders_wide(spark, sf_dir).drop("pred", "target", "priority"), "orders")
 
 
 def _report(found: dict, section_items: dict):
@@ -142,7 +147,7 @@ def fairness_report_svm(spark, sf_dir):
 def batch_roll_up(spark, sf_dir):
     tables = {
         "orders": lambda: _audited_orders(spark, sf_dir),
-        "documents": lambda: doc_labels(spark, sf_dir).drop("pred", "toxic"),
+        "documents": lambda: materialise(doc_labels(spark, sf_dir).drop("pred", "toxic"), "documents"),
         "events": lambda: events_num(spark, sf_dir).drop("user_id"),
     }
     entries = [
