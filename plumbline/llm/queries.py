@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, mixing
+from plumbline.llm import chat, fingerprints, mixing, neighbours, packing, simhash, tokens
+from plumbline.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,3 +64,50 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return fingerprints.edit_report(docs).drop("signature", "edited_signature")
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    blocks = materialise(tokens.write_blocks(docs), "token-blocks")
+    return tokens.named_counts(blocks)
+
+
+@query()
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+@query(r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(role, ' '), ''), 'unknown') AS who, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, who AS speaker FROM said),
+views AS (
+  SELECT said.*, speaker, who = speaker AS own,
+    CASE WHEN who = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user|>' || who || ': ' END AS head
+  FROM said JOIN speakers ON said.conv_id IS NOT DISTINCT FROM speakers.conv_id),
+sized AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM views),
+placed AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start"
+  FROM sized)
+SELECT conv_id, speaker, turn, CASE WHEN own THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN NOT own THEN who END AS name, segment, "start", "start" + length(head) AS mask_start,
+  CASE WHEN own THEN length(segment) - length(head) ELSE 0 END AS mask_length
+FROM placed
+""")
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
