@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprints, mixing, neighbours, packing, simhash, tokens
+from plumbline.llm import chat, fingerprints, language, mixing, neighbours, packing, quality, simhash, tokens
 from plumbline.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,20 @@ FROM placed
 """)
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query()
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = language.remainder(F.col("doc_id")) == 1
+    model = language.fit(docs, ~held_out)
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    judged = quality.judge(docs, model, F.col("source"), F.col("lang"))
+    return judged.select("doc_id", "good", "site_posterior", "posterior", "keep")
