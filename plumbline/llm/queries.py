@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fingerprints, language, mixing, neighbours, packing, quality, simhash, tokens
+from plumbline.llm import chat, fingerprints, language, mixing, neighbours, packing, quality, repeats, simhash, tokens
 from plumbline.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,12 @@ def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     judged = quality.judge(docs, model, F.col("source"), F.col("lang"))
     return judged.select("doc_id", "good", "site_posterior", "posterior", "keep")
+
+
+@query()
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return left.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
