@@ -16,10 +16,9 @@ from plumbline.llm.common import present
 from plumbline.session import materialise
 
 SAMPLE_ROWS = 8_000
-WORDS = 1 << 16
 SHAPES = 10
 KEEP = 0.5
-_ROUNDS = 120
+_ROUNDS = 300
 _STRENGTH_MOST = 1e6
 _SHIFT_MOST = 2.0
 _STRIP = ".,!?;:\"'()[]{}"
@@ -33,11 +32,13 @@ def shape(text: str, words: list[str]) -> np.ndarray:
     upper, digits = int(kinds[65:91].sum()), int(kinds[48:58].sum())
     lower = int(kinds[97:123].sum()) + int(kinds[128:].sum())
     blank = int(kinds[9:14].sum() + kinds[32])
-    symbols = chars - upper - lower - digits - blank if len(data) else 0
-    n = max(1, len(words))
+    symbols = max(0, len(data) - upper - lower - digits - blank)
+    # Shares of short texts are drawn to what is usual, so that a single mark says little.
+    chars, n = chars + 40, len(words) + 5
+    symbols, upper, lower = symbols + 1, upper + 1, lower + 30
     again = sum(a == b for a, b in zip(words, words[1:])) / n
     commonest = Counter(words).most_common(1)[0][1] / n if words else 0.0
-    lengths = sum(map(len, words)) / n
+    lengths = (sum(map(len, words)) + 25) / n
     return np.array([
         1.0, min(1.0, 4 * again), min(1.0, 3 * max(0.0, commonest - 0.1)) if n > 20 else 0.0, min(1.0, 5 * symbols / chars),
         min(1.0, max(0.0, symbols / chars - 0.06) * 20), min(1.0, 2 * upper / max(1, upper + lower)), min(1.0, 2 * digits / chars),
@@ -49,21 +50,21 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Shape numbers and the hashed set of lower-cased words of a whole text."""
     words = (text or "").split()
     seen = {w.lower().strip(_STRIP) for w in set(words)}
-    hashed = np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in seen), np.uint32, len(seen)) % WORDS)
-    return shape(text or "", words), hashed.astype(np.int32)
+    return shape(text or "", words), np.unique([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in seen]).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Head:
-    """A logistic classifier on shape numbers and hashed words; ``base`` alone if it could not be fitted."""
+    """A logistic classifier on shape numbers and telling words; ``base`` alone if it could not be fitted."""
 
     base: float
     weights: np.ndarray | None
+    words: np.ndarray
 
     def logit(self, shapes: np.ndarray, hashed: np.ndarray) -> float:
         if self.weights is None:
             return float(np.log(self.base / (1 - self.base)))
-        return float(shapes @ self.weights[:SHAPES] + self.weights[SHAPES:][hashed].sum())
+        return float(shapes @ self.weights[:SHAPES] + self.weights[SHAPES:][np.isin(self.words, hashed)].sum())
 
 
 @dataclass(frozen=True)
@@ -80,32 +81,48 @@ class Evidence:
         return float((1 - bad[0]) * (1 - bad[1]))
 
 
+def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
+    """Words whose documents differ from the rest in the label beyond chance.
+
+    G squared against independence must exceed 2 ln(words): about one of all words would by chance.
+    """
+    n, positive = len(y), y.sum()
+    seen = np.bincount(columns, minlength=words).astype(float)
+    hits = np.bincount(columns, y[rows], words)
+    g = np.zeros(words)
+    for count, total, share in ((hits, positive, seen), (seen - hits, n - positive, seen),
+                                (positive - hits, positive, n - seen), (n - positive - seen + hits, n - positive, n - seen)):
+        expected = total * share / n
+        g += 2 * count * np.log(np.maximum(count, 1e-300) / np.maximum(expected, 1e-300))
+    return np.flatnonzero(g > 2 * np.log(max(2, words)))
+
+
 def _fit_head(shapes: np.ndarray, hashed: list[np.ndarray], truth: np.ndarray) -> Head:
-    """Logistic regression with a small ridge, by Adam over all sampled rows."""
+    """Logistic regression with a small ridge on shapes and telling words, by Adam over all sampled rows."""
     known = np.flatnonzero(~np.isnan(truth))
     y = truth[known]
     if not len(y) or y.min() == y.max():
-        base = 1e-3 if not len(y) or y.max() == 0 else 1 - 1e-3
-        return Head(base, None)
+        return Head(1e-3 if not len(y) or y.max() == 0 else 1 - 1e-3, None, np.empty(0, np.int64))
     x = shapes[known]
-    sizes = np.array([len(hashed[i]) for i in known])
-    rows, columns = np.repeat(np.arange(len(known)), sizes), np.concatenate([hashed[i] for i in known] or [np.empty(0, int)])
-    frequent = np.bincount(columns, minlength=WORDS)
-    use = (frequent >= 3)[columns]
-    rows, columns = rows[use], columns[use]
-    w = np.zeros(SHAPES + WORDS)
+    rows = np.repeat(np.arange(len(known)), [len(hashed[i]) for i in known])
+    ids, columns = np.unique(np.concatenate([hashed[i] for i in known]), return_inverse=True)
+    telling = _telling(rows, columns, y, len(ids))
+    place = np.full(len(ids), -1)
+    place[telling] = np.arange(len(telling))
+    use = place[columns] >= 0
+    rows, columns = rows[use], place[columns[use]]
+    w = np.zeros(SHAPES + len(telling))
     w[0] = np.log(y.mean() / (1 - y.mean()))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for step in range(1, _ROUNDS + 1):
         z = x @ w[:SHAPES] + np.bincount(rows, w[SHAPES:][columns], len(known))
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(known)
-        g = np.concatenate([x.T @ r, np.bincount(columns, r[rows], WORDS)])
-        g[1:] += 1e-6 * w[1:]
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(known)
+        g = np.concatenate([x.T @ r, np.bincount(columns, r[rows], len(telling))])
+        g[1:] += 1e-5 * w[1:]
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         rate = 0.3 * (1 - step / (_ROUNDS + 1))
         w -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-5)
-    return Head(float(y.mean()), w)
+    return Head(float(y.mean()), w, ids[telling])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Evidence:
@@ -124,11 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
             found = [features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).cast(pa.float64()), batch.column(2).cast(pa.float64()),
-                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([h for _, h in found], pa.list_(pa.int32()))],
+                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([h for _, h in found], pa.list_(pa.int64()))],
                 names=["quality", "toxic", "shapes", "hashed"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").mapInArrow(
-        run, "quality double, toxic double, shapes array<double>, hashed array<int>").toArrow()
+        run, "quality double, toxic double, shapes array<double>, hashed array<long>").toArrow()
     quality = np.array(rows["quality"].to_pylist(), float)
     toxic = np.array(rows["toxic"].to_pylist(), float)
     shapes = np.array(rows["shapes"].to_pylist(), float).reshape(-1, SHAPES)
