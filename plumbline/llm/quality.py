@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import present
 from plumbline.session import materialise
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 20_000
 SHAPES = 10
 KEEP = 0.5
 _ROUNDS = 300
@@ -146,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").mapInArrow(
         run, "quality double, toxic double, shapes array<double>, hashed array<long>").toArrow()
-    quality = np.array(rows["quality"].to_pylist(), float)
-    toxic = np.array(rows["toxic"].to_pylist(), float)
-    shapes = np.array(rows["shapes"].to_pylist(), float).reshape(-1, SHAPES)
-    hashed = [np.array(h, int) for h in rows["hashed"].to_pylist()]
+    quality, toxic = (rows[name].to_numpy().astype(float) for name in ("quality", "toxic"))
+    shapes = rows["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
+    lists = rows["hashed"].combine_chunks()
+    hashed = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
     return Evidence(_fit_head(shapes, hashed, np.where(np.isnan(quality), np.nan, quality == 0)), _fit_head(shapes, hashed, toxic))
 
 
