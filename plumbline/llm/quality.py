@@ -114,9 +114,11 @@ def _fit_head(shapes: np.ndarray, hashed: list[np.ndarray], truth: np.ndarray) -
     w = np.zeros(SHAPES + len(telling))
     w[0] = np.log(y.mean() / (1 - y.mean()))
     first, second = np.zeros_like(w), np.zeros_like(w)
+    # Half way between counting every row alike and every class alike.
+    weight = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     for step in range(1, _ROUNDS + 1):
         z = x @ w[:SHAPES] + np.bincount(rows, w[SHAPES:][columns], len(known))
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(known)
+        r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(known)
         g = np.concatenate([x.T @ r, np.bincount(columns, r[rows], len(telling))])
         g[1:] += 1e-5 * w[1:]
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
