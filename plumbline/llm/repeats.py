@@ -3,10 +3,10 @@
 The texts are cut into shards. Every window of ``length`` bytes has an anchor, the least hash of the
 16-byte strings inside it; equal windows have equal anchors, so neighbouring windows of one anchor
 form a unit, and only units whose anchor stands in several documents can repeat. Those units meet in
-buckets by anchor. In a bucket every shard's units become a Burrows-Wheeler transform; the
-transforms are merged by refining their interleave one byte at a time, and after ``length`` rounds
-the blocks of the interleave are the repeated intervals: all windows of equal bytes side by side,
-whatever document, shard or unit they come from.
+buckets by anchor. In a bucket the units of every shard that share a longer anchor with another unit become a Burrows-Wheeler
+transform; the transforms are merged by refining their interleave one byte at a time, and after
+``length`` rounds the blocks of the interleave are the repeated intervals: all windows of equal bytes
+side by side, whatever document, shard or unit they come from.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,13 @@ from plumbline.llm.common import partitions
 
 LENGTH = 50
 _GRAM = 16
+_FINE_GRAM = 32
 _CHUNK = 1 << 15
-_SHARD_BYTES = (8 << 20, 128 << 20)
+_SHARD_BYTES = (4 << 20, 128 << 20)
 _BUCKET_BYTES = (32 << 20, 512 << 20)
-_MERGED_SHARDS = 64
-_SORT_BYTES = 1 << 17
+_MERGED_SHARDS = 4
+_SORT_BYTES = 1 << 16
+_MERGE_BYTES = 1 << 19
 _NOBODY = np.iinfo(np.int64).max
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
@@ -50,14 +53,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x * _M3
 
 
-def _anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """The least hash of the grams inside every window of ``length`` bytes."""
-    span = length - _GRAM + 1
+def _anchors(data: np.ndarray, length: int, gram: int = _GRAM) -> np.ndarray:
+    """The least hash of the ``gram``-byte strings inside every window of ``length`` bytes."""
+    span = length - gram + 1
     out = np.empty(max(0, len(data) - length + 1), np.uint64)
     for at in range(0, len(out), _CHUNK):
         part = data[at:at + _CHUNK + length - 1]
         words = _words(part)
-        least = _mix(words[:-8] ^ _mix(words[8:] ^ _M2))
+        grams = len(part) - gram + 1
+        least = _mix(words[gram - 8:gram - 8 + grams] ^ _M2)
+        for j in range(gram - 16, -1, -8):
+            least = _mix(words[j:j + grams] ^ least)
         width = 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
@@ -80,12 +86,12 @@ class Units:
         return Units(self.first[which], self.count[which], self.anchor[which], self.row[which])
 
 
-def _units(data: np.ndarray, starts: np.ndarray, length: int) -> Units:
+def _units(data: np.ndarray, starts: np.ndarray, length: int, gram: int = _GRAM) -> Units:
     """Units of texts laid end to end; ``starts`` has one more entry than there are texts.
 
-    A unit has at most length - 15 windows, as many as one place of an anchor can have.
+    A unit has at most length - gram + 1 windows, as many as one place of an anchor can have.
     """
-    least = _anchors(data, length)
+    least = _anchors(data, length, gram)
     windows = np.maximum(0, np.diff(starts) - length + 1)
     rows = np.flatnonzero(windows)
     if not len(rows):
@@ -101,7 +107,7 @@ def _units(data: np.ndarray, starts: np.ndarray, length: int) -> Units:
     row = rows[np.searchsorted(begin, edges, side="right") - 1] if len(edges) else edges
     inside = (edges < starts[row] + windows[row]) & (edges >= begin[0])
     edges, ends, row = edges[inside], ends[inside], row[inside]
-    most = length - _GRAM + 1
+    most = length - gram + 1
     pieces = -(-(ends - edges) // most)
     first = np.repeat(edges, pieces) + most * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     count = np.minimum(most, np.repeat(ends, pieces) - first)
@@ -173,7 +179,7 @@ def merge_transforms(transforms: list[np.ndarray], counts: list[int], rounds: in
     shard = np.repeat(np.arange(len(sizes), dtype=kind), sizes)
     ended = int(np.sum(counts))
     terminators = np.repeat(np.arange(len(sizes), dtype=kind), counts)
-    block = np.zeros(len(symbols), np.int64)
+    block = np.zeros(len(symbols), np.int32)
     for _ in range(rounds):
         read = np.empty(len(symbols), np.uint8)
         read[np.argsort(shard, kind="stable")] = symbols
@@ -183,7 +189,7 @@ def merge_transforms(transforms: list[np.ndarray], counts: list[int], rounds: in
         new = np.ones(len(block), bool)
         new[1:] = (read[1:] != read[:-1]) | (last[1:] != last[:-1])
         new[:ended] = True
-        block = np.cumsum(new) - 1
+        block = np.cumsum(new, dtype=np.int32) - 1
     return shard, block
 
 
@@ -214,6 +220,62 @@ def _interval_owners(strings: list[bytes], owner: np.ndarray, group: np.ndarray,
     return per_place[keep]
 
 
+def _alone(anchor: np.ndarray) -> np.ndarray:
+    """Which of the sorted anchors stand there once."""
+    out = np.ones(len(anchor), bool)
+    out[1:] &= anchor[1:] != anchor[:-1]
+    out[:-1] &= anchor[1:] != anchor[:-1]
+    return out
+
+
+def _window_owners(strings: list[bytes], owner: np.ndarray, source: np.ndarray, length: int) -> np.ndarray:
+    """For every window of all strings, end to end, the least owner; ``source`` is each string's shard.
+
+    Equal windows share the least hash of their longer grams: the strings are cut once more, into runs
+    of windows with one longer anchor. Equal runs are one, with their least owner; a run whose
+    anchor no other run has is settled. The rest are merged in parts by that anchor, each of about half
+    a megabyte, which bounds what a task holds.
+    """
+    counts = np.fromiter((len(s) - length + 1 for s in strings), np.int64, len(strings))
+    owners = np.repeat(owner, counts)
+    if not len(strings):
+        return owners
+    begin = np.cumsum(counts) - counts
+    data, starts = _lay(strings)
+    gram = min(_FINE_GRAM, length - 8) // 8 * 8
+    runs = _units(data, starts, length, gram)
+    by, groups = _distinct(runs.anchor, _hashes(data, runs.first, runs.count + length - 1, 2 * length - gram))
+    runs = runs.take(by)
+    least = np.minimum.reduceat(owner[runs.row], groups)
+    members = np.diff(np.append(groups, len(by)))
+    one = runs.take(groups)
+    result = np.repeat(least, one.count)
+    result_at = np.cumsum(one.count) - one.count
+    open_ = np.flatnonzero(~_alone(one.anchor))
+    parts = int(max(1, -(-(one.count[open_] + length - 1).sum() // _MERGE_BYTES)))
+    part = _bucket_of(one.anchor[open_], parts)
+    raw = data.tobytes()
+    for p in range(parts):
+        mine = open_[part == p]
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(source[one.row[mine]], kind="stable")]
+        u = one.take(mine)
+        ends = u.first + u.count + length - 1
+        shards = max(1, min(len(mine), max(_MERGED_SHARDS, int((ends - u.first).sum()) // _SORT_BYTES)))
+        group = np.arange(len(mine)) * shards // len(mine)
+        texts = [raw[s:e] for s, e in zip(u.first.tolist(), ends.tolist())]
+        result[_ranges(result_at[mine], u.count)] = _interval_owners(texts, least[mine], group, length)
+    place = _ranges(begin[runs.row] + runs.first - starts[runs.row], runs.count)
+    owners[place] = result[_ranges(np.repeat(result_at, members), runs.count)]
+    return owners
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for every pair, end to end."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 # --- the three steps that Spark deals out ----------------------------------------------------------
 
 
@@ -306,13 +368,13 @@ def _send_units(length: int, buckets: int):
         one = units.take(groups)
         bucket = _bucket_of(one.anchor, buckets)
         by = np.argsort(bucket, kind="stable")
-        raw = data.tobytes()
+        raw, pack = data.tobytes(), zstandard.ZstdCompressor(level=1).compress
         rows = []
         for b, i in _split(bucket[by], by):
             first, count = one.first[i], one.count[i]
             strings = b"".join(raw[s:e] for s, e in zip(first.tolist(), (first + count + length - 1).tolist()))
-            rows.append((b, key[0].as_py(), one.anchor[i].tobytes(), least[i].tobytes(), i.astype(np.int32).tobytes(),
-                         count.astype(np.uint8).tobytes(), strings))
+            rows.append((b, key[0].as_py(), one.anchor[i].tobytes(), pack(least[i].tobytes()), pack(i.astype(np.int32).tobytes()),
+                         pack(count.astype(np.uint8).tobytes()), pack(strings)))
         return _table(rows, names, types)
 
     names = ["bucket", "shard", "anchors", "owners", "numbers", "counts", "strings"]
@@ -324,14 +386,17 @@ def _merge_bucket(length: int):
     """Step 4, a bucket: the least document of every window, told to the shards that need to know."""
 
     def run(table: pa.Table) -> pa.Table:
-        def flat(name, kind):
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def flat(name):
+            return b"".join(map(unpack, table[name].to_pylist()))
 
-        anchor, owner, number, count = flat("anchors", "<u8"), flat("owners", "<i8"), flat("numbers", "<i4"), flat("counts", np.uint8)
-        count = count.astype(np.int64)
-        raw = b"".join(table["strings"].to_pylist())
+        lists = table["anchors"].to_pylist()
+        anchor, count = np.frombuffer(b"".join(lists), "<u8"), np.frombuffer(flat("counts"), np.uint8).astype(np.int64)
+        owner, number = np.frombuffer(flat("owners"), "<i8"), np.frombuffer(flat("numbers"), "<i4")
+        raw = flat("strings")
         data = np.frombuffer(raw, np.uint8)
-        source = np.repeat(np.arange(table.num_rows), [len(x) for x in table["counts"].to_pylist()])
+        source = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in lists])
         size = count + length - 1
         first = np.cumsum(size) - size
         by, groups = _distinct(anchor, _hashes(data, first, size, 2 * length - _GRAM))
@@ -340,21 +405,13 @@ def _merge_bucket(length: int):
         least = np.minimum.reduceat(owner[by], groups)
         one = by[groups]
         # Units whose anchor no other unit has are settled; the others' windows are merged.
-        a = anchor[one]
-        alone = np.ones(len(one), bool)
-        alone[1:] &= a[1:] != a[:-1]
-        alone[:-1] &= a[1:] != a[:-1]
+        alone = _alone(anchor[one])
         offset = np.full(len(one), -1, np.int64)
-        owners = np.empty(0, np.int64)
         meet = np.flatnonzero(~alone)
-        if len(meet):
-            meet = meet[np.argsort(source[one[meet]], kind="stable")]
-            text = int(size[one[meet]].sum())
-            shards = max(1, min(len(meet), max(min(_MERGED_SHARDS, table.num_rows), -(-text // _SORT_BYTES))))
-            group = np.arange(len(meet)) * shards // len(meet)
-            strings = [raw[s:e] for s, e in zip(first[one[meet]].tolist(), (first + size)[one[meet]].tolist())]
-            owners = _interval_owners(strings, least[meet], group, length)
-            offset[meet] = np.cumsum(count[one[meet]]) - count[one[meet]]
+        offset[meet] = np.cumsum(count[one[meet]]) - count[one[meet]]
+        owners = _window_owners(
+            [raw[s:e] for s, e in zip(first[one[meet]].tolist(), (first + size)[one[meet]].tolist())],
+            least[meet], source[one[meet]], length)
         # Every unit's windows: first the settled ones as one run each, then runs of equal owners.
         rows_of = np.split(np.arange(len(anchor)), np.flatnonzero(np.diff(source)) + 1)
         rows = []
