@@ -16,7 +16,6 @@ class AuditConfig:
     top_k: int = 5
     max_predicates: int = 1
     dpd_tol: float = 0.1
-    dpl_tol: float = 0.1
     eod_tol: float = 0.1
     ppv_tol: float = 0.1
     d_tol: float = 0.2

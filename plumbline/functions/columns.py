@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +45,21 @@ def known(name: str, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(c(name)), c(name)) if is_float(dtype) else c(name)
 
 
-def display_title(name: str) -> str:
-    """Column name as a heading: separators to spaces, words capitalised."""
-    return re.sub(r"[_\-.]", " ", name).title()
-
-
-def safe_file_name(name: str) -> str:
-    """Column name with the characters file systems refuse replaced by ``_``."""
-    return re.sub(r'[ <>:"/\\|?*]', "_", name)
+def without_clashes(df: DataFrame, reserved: tuple[str, ...], prefix: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed that an audit's own columns would overwrite, and {new: old}.
+
+    Names are compared without regard to case, as Spark does; ``prefix`` reserves all names with it.
+    """
+    taken = {n.lower() for n in df.columns}
+    old: dict[str, str] = {}
+    for name in df.columns:
+        low = name.lower()
+        if low in reserved or (prefix and low.startswith(prefix)):
+            k = 1
+            while f"{low} ({k})" in taken or f"{low} ({k})" in reserved:
+                k += 1
+            new = f"raw {name}" if f"raw {low}" not in taken else f"raw {name} ({k})"
+            taken.add(new.lower())
+            old[new] = name
+    back = {v: k for k, v in old.items()}
+    return df.select(*[c(n).alias(back.get(n, n)) for n in df.columns]), old

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c, columns_of_type
+from plumbline.operators.gramian import gram_sums
 from plumbline.operators.profile import value_frequencies
 from plumbline.operators.quantiles import number, quantiles
 
-_PAIRS_PER_SCAN = 200
-
 
 def describe_columns(df: DataFrame) -> DataFrame:
     """Per column: known count, distinct values, most frequent value, and for numbers the
@@ -45,19 +43,32 @@ def describe_columns(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(col_a, col_b, corr)`` of all pairs of numeric columns, over rows where both are known."""
+    """``(col_a, col_b, corr)`` of all pairs of numeric columns, over rows where both are known.
+
+    Every value goes in with a flag that it is known, gaps as zero: the sums of products of values,
+    squares and flags hold every pair's moments, so all pairs cost one scan.
+    """
     names = columns or columns_of_type(df, "number")
-    pairs = list(combinations_with_replacement(names, 2))
-    parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_SCAN):
-        block = pairs[start : start + _PAIRS_PER_SCAN]
-        one = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(block)])
-        lines = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), c(f"r{i}").alias("corr"))
-            for i, (x, y) in enumerate(block) for a, b in sorted({(x, y), (y, x)})
-        ]
-        parts.append(one.select(F.inline(F.array(*lines))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    if not names:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    x = [F.when(~F.isnan(number(n)), number(n)) for n in names]
+    shift = np.array([v or 0.0 for v in df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()])
+    d = len(names)
+
+    def with_flags(rows: np.ndarray) -> np.ndarray:
+        values, flags = rows[:, :d], rows[:, d:]
+        values = (values - shift) * flags
+        return np.concatenate([values, values**2, flags], axis=1)
+
+    cells = [F.coalesce(v, F.lit(0.0)) for v in x] + [v.isNotNull().cast("double") for v in x]
+    _, _, s = gram_sums(df, cells, np.zeros(2 * d), with_flags)
+    v, q, f = slice(0, d), slice(d, 2 * d), slice(2 * d, 3 * d)
+    n, sa, qa, ab = s[f, f], s[v, f], s[q, f], s[v, v]
+    with np.errstate(all="ignore"):
+        cov = ab - sa * sa.T / n
+        var = qa - sa * sa / n
+        corr = cov / np.sqrt(var * var.T)
+    np.fill_diagonal(corr, np.where(np.diag(var) > 0, 1.0, np.nan))
+    rows = [(a, b, None if n[i, j] < 2 or not np.isfinite(corr[i, j]) else float(corr[i, j]))
+            for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")

@@ -13,9 +13,6 @@ from plumbline.operators.patterns import Items, predicate
 UNKNOWN_GROUP = "nan"
 INFLUENCE_RATIO = 3.0
 
-# Groups of one column that may be gathered into one map value.
-MAX_MAPPED_GROUPS = 10_000
-
 
 def _long_groups(df: DataFrame, sensitive: list[str], keep: list[Column]) -> DataFrame:
     """One row per row and sensitive column, with its group as text."""
@@ -63,30 +60,23 @@ def fairness_records(
     df: DataFrame, sensitive: list[str], label: str, prediction: str,
     cfg: AuditConfig = AuditConfig(),
 ) -> DataFrame:
-    """One row per sensitive column: parity gaps, flags, and precision per group as a map.
+    """One row per sensitive column: parity gaps and flags.
 
     DPD is the spread of selection rates, EOD the larger spread of true and false positive
-    rates, PPV_diff the spread of precision.
+    rates, PPV_diff the spread of precision. Precision per group, with its flag, is one row per
+    group (``predictive_parity``), so it is complete for any number of groups.
     """
     rates = group_rates(group_confusion(df, sensitive, label, prediction))
     gaps = rates.groupBy("feature").agg(
         _spread("selection_rate").alias("DPD"),
         F.greatest(_spread("tpr"), _spread("fpr")).alias("EOD"),
         _spread("ppv").alias("PPV_diff"),
-        F.max("ppv").alias("best"), F.count(F.lit(1)).alias("groups"),
     )
-    # A map is built only where it stays small; ``predictive_parity`` has rows for any number.
-    small = gaps.where(c("groups") <= MAX_MAPPED_GROUPS).select("feature")
-    maps = rates.join(small, "feature", "left_semi").groupBy("feature").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "ppv")))).alias("PPV_by_group"))
-    return gaps.join(maps, "feature", "left").select(
+    return gaps.select(
         c("feature").alias("sensitive_feature"),
         "DPD", (F.abs("DPD") <= cfg.dpd_tol).alias("DPD_fair"),
         "EOD", (F.abs("EOD") <= cfg.eod_tol).alias("EOD_fair"),
         "PPV_diff", (F.abs("PPV_diff") <= cfg.ppv_tol).alias("PPV_fair"),
-        "PPV_by_group",
-        F.transform_values("PPV_by_group", lambda _, v: c("best") - v <= cfg.ppv_tol)
-        .alias("PPV_group_fairness"),
     )
 
 
@@ -126,7 +116,8 @@ def _effect(n1: Column, m1: Column, s1: Column, n2: Column, m2: Column, s2: Colu
     delta = m1 - m2
     freedom = F.greatest(n1 + n2 - 2, F.lit(1))
     pooled = F.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / freedom)
-    d = F.when(pooled > 0, delta / pooled).otherwise(F.lit(0.0))
+    # A group without rows, or without others, has no effect size and is not fair.
+    d = F.when((n1 > 0) & (n2 > 0), F.when(pooled > 0, delta / pooled).otherwise(F.lit(0.0)))
     ratio = F.try_divide(delta, m2)
     return [
         m1.alias("mean_positive_group"), m2.alias("mean_other"), delta.alias("inf_mean_diff"),
@@ -145,7 +136,7 @@ def influence_effects(
     """
     aggs, rows = [], []
     for i, (name, value) in enumerate(groups):
-        inside = items.predicate(name, value) if items else predicate(name, value)
+        inside = items.predicate(name, value, df.schema) if items else predicate(name, value, df.schema)
         for side, mask in (("a", inside), ("b", ~inside)):
             x = F.when(mask, c("influence"))
             aggs += [F.count(x).alias(f"{side}n{i}"), F.avg(x).alias(f"{side}m{i}"),

@@ -93,7 +93,13 @@ class LogisticInfluence:
             h = self.hessian()
             return np.linalg.solve(h + RIDGE * np.eye(len(h)), gradient)
         return conjugate_gradients(
-            lambda v: self.hessian_times(v) + RIDGE * v, gradient, max_steps=4 * len(gradient))
+            lambda v: self.hessian_times(v) + RIDGE * v, gradient, self.hessian_diagonal() + RIDGE,
+            max_steps=10 * len(gradient))
+
+    def hessian_diagonal(self) -> np.ndarray:
+        rows = self.train.select(c(self.features).alias("x"), self.curvature().alias("w"))
+        found = rows.agg(Summarizer.metrics("normL2").summary(c("x"), c("w")).alias("s")).first()
+        return found.s["normL2"].toArray() ** 2
 
     def score(self, direction: Sequence[float]) -> Column:
         return -self.residual() * self.design.dot(direction)
@@ -127,22 +133,31 @@ class SvmInfluence:
         return -self.pull() * self.design.dot(direction)
 
 
-def conjugate_gradients(times, b: np.ndarray, max_steps: int, tolerance: float = 1e-10) -> np.ndarray:
-    """Solve A x = b for a positive definite A known only by its products."""
+def conjugate_gradients(
+    times, b: np.ndarray, diagonal: np.ndarray, max_steps: int, tolerance: float = 1e-10
+) -> np.ndarray:
+    """Solve A x = b for a positive definite A known only by its products and its diagonal.
+
+    Unknowns are scaled by the diagonal, so columns of very different size cost no extra passes.
+    Raises if the residual has not come down to ``tolerance`` times the right side.
+    """
+    scale = 1 / np.sqrt(np.maximum(diagonal, np.finfo(float).tiny))
     x = np.zeros_like(b)
-    r = b.copy()
+    r = scale * b
     p, rr = r.copy(), float(r @ r)
-    goal = tolerance**2 * float(b @ b)
+    goal = tolerance**2 * rr
     for _ in range(max_steps):
         if rr <= goal:
-            break
-        ap = times(p)
+            return scale * x
+        ap = scale * times(scale * p)
         step = rr / float(p @ ap)
         x += step * p
         r -= step * ap
         rr, last = float(r @ r), rr
         p = r + (rr / last) * p
-    return x
+    if rr > goal:
+        raise RuntimeError(f"conjugate gradients did not converge in {max_steps} steps (residual {np.sqrt(rr):.2g})")
+    return scale * x
 
 
 def influence_of(

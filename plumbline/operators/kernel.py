@@ -1,7 +1,9 @@
 """Kernel PCA outliers: rows a radial-basis PCA rebuilds badly.
 
-The components are fitted on a bounded sample of landmark rows; every row is then scored
-where it lies, against the broadcast landmarks.
+The kernel is written as an inner product of random Fourier features, so the components come from
+one sum of outer products over every sampled row, added up as a tree; no row is left out of the fit
+and no table of landmarks is broadcast. The number of features sets how close the products are to
+the kernel.
 """
 
 from __future__ import annotations
@@ -14,55 +16,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
+from plumbline.operators.gramian import gram_sums
 from plumbline.operators.quantiles import number, quantiles
-from plumbline.operators.split import in_share, row_digest
+from plumbline.operators.split import in_share
 from plumbline.session import materialise
 
-# Fixed value: seed of the landmark sample.
+# Fixed value: seed of the sample and of the random features.
 SAMPLE_SEED = 912
-MAX_LANDMARKS = 2000
+FEATURES = 1024
+
+
+def fourier_features(width: int, gamma: float, features: int = FEATURES):
+    """A map of rows whose inner products are close to exp(-gamma · squared distance)."""
+    rng = np.random.default_rng(SAMPLE_SEED)
+    turn = rng.standard_normal((width, features // 2)) * np.sqrt(2 * gamma)
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        phase = x @ turn
+        return np.concatenate([np.cos(phase), np.sin(phase)], axis=1) / np.sqrt(features // 2)
+
+    return apply
 
 
 def kernel_pca_outliers(
     df: DataFrame, row_id: str, columns: list[str], frac: float = 1.0,
-    contamination: float = 0.05, components: int = 10, landmarks: int = MAX_LANDMARKS,
+    contamination: float = 0.05, components: int = 10, features: int = FEATURES,
 ) -> DataFrame:
     """``(row_id, score, is_outlier)``: the worst share of the sampled rows is flagged.
 
-    Rows outside the sampled share are kept, with no score and no flag.
+    The fit covers every sampled row without a gap. Rows outside the sampled share, or with a gap,
+    are kept, with no score and no flag. The score is the squared distance, in feature space, to
+    the mean less that along the components.
     """
+    values = [number(n) for n in columns]
     picked = df.select(
-        c(row_id).alias("row_id"), F.array(*[number(n) for n in columns]).alias("x"),
+        c(row_id).alias("row_id"), F.array(*values).alias("x"),
         in_share(c(row_id), frac, SAMPLE_SEED).alias("sampled"),
     )
-    sample = picked.where(c("sampled") & ~F.exists("x", lambda v: v.isNull()))
-    first = sample.orderBy(row_digest(c("row_id"), SAMPLE_SEED)).limit(min(landmarks, MAX_LANDMARKS))
-    z = np.array([r.x for r in first.select("x").collect()], float)
-    gamma = 1.0 / len(columns)
-    k = np.exp(-gamma * _square_gaps(z, z))
-    col_mean, mean = k.mean(axis=0), k.mean()
-    values, vectors = np.linalg.eigh(k - col_mean - col_mean[:, None] + mean)
-    top = np.argsort(values)[::-1][:components]
-    top = top[values[top] > 1e-10]
-    axes = vectors[:, top] / np.sqrt(values[top])
-
-    shift, pull = (col_mean - mean) @ axes, axes.sum(axis=0)
-
-    def rebuild_gap(x: np.ndarray) -> np.ndarray:
-        """Squared distance, in feature space, to the centre less that along the axes."""
-        kx = np.exp(-gamma * _square_gaps(x, z))
-        row_mean = kx.mean(axis=1)
-        along = kx @ axes - row_mean[:, None] * pull - shift
-        return 1.0 - 2 * row_mean + mean - (along**2).sum(axis=1)
+    sample = picked.where(c("sampled") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    embed = fourier_features(len(columns), 1.0 / len(columns), features)
+    each = [F.get("x", F.lit(i)) for i in range(len(columns))]
+    n, sums, products = gram_sums(sample, each, np.zeros(len(columns)), embed)
+    centre = sums / max(n, 1.0)
+    spread, axes = np.linalg.eigh(products / max(n, 1.0) - np.outer(centre, centre))
+    top = np.argsort(spread)[::-1][:components]
+    axes = axes[:, top[spread[top] > 1e-10]]
 
     @F.pandas_udf("double")
     def residual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            if not len(x):
-                yield pd.Series([], dtype=float)
-                continue
-            rows = np.stack(x.to_numpy())
-            parts = [rebuild_gap(rows[i : i + 1000]) for i in range(0, len(rows), 1000)]
+            parts = [np.empty(0)]
+            for at in range(0, len(x), 1000):
+                gap = embed(np.stack(x.to_numpy()[at:at + 1000])) - centre
+                parts.append((gap**2).sum(axis=1) - ((gap @ axes) ** 2).sum(axis=1))
             yield pd.Series(np.concatenate(parts))
 
     scores = materialise(sample.select("row_id", residual("x").alias("score")), "kernel_scores")
@@ -70,8 +76,3 @@ def kernel_pca_outliers(
     flagged = scores.withColumn("is_outlier", c("score") > F.lit(cut))
     return picked.select("row_id").join(flagged, "row_id", "left").withColumn(
         "is_outlier", F.coalesce(c("is_outlier"), F.lit(False)))
-
-
-def _square_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    gaps = (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T
-    return np.maximum(gaps, 0.0)

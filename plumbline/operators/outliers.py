@@ -6,16 +6,18 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
+from plumbline.operators.gramian import moments_of
 from plumbline.operators.quantiles import number
 
 # Fixed value: ridge added to the covariance.
 RIDGE = 1e-6
 
-_PAIRS_PER_SCAN = 200
+_EXPRESSION_COLUMNS = 12
 
 
 def chi_squared_quantile(spark: SparkSession, p: float, df: int) -> float:
@@ -27,36 +29,26 @@ def chi_squared_quantile(spark: SparkSession, p: float, df: int) -> float:
 
 
 def mean_and_covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Means and sample covariances over rows where all columns are known."""
-    d = len(columns)
-    complete = F.lit(True)
-    for n in columns:
-        complete = complete & number(n).isNotNull()
-    rows = df.where(complete).select(*[number(n).alias(f"x{i}") for i, n in enumerate(columns)])
-    aggs = {f"m{i}": F.avg(f"x{i}") for i in range(d)}
-    for i in range(d):
-        for j in range(i, d):
-            aggs[f"c{i}_{j}"] = F.covar_samp(f"x{i}", f"x{j}")
-    names = list(aggs)
-    seen: dict[str, float] = {}
-    for start in range(0, len(names), _PAIRS_PER_SCAN):
-        block = names[start : start + _PAIRS_PER_SCAN]
-        seen |= rows.agg(*[aggs[n].alias(n) for n in block]).first().asDict()
-    mean = np.array([seen[f"m{i}"] for i in range(d)], float)
-    cov = np.empty((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = seen[f"c{i}_{j}"] or 0.0
+    """Means and sample covariances over rows where all columns are known, in one scan."""
+    _, mean, cov = moments_of(df, [number(n) for n in columns])
     return mean, cov
 
 
 def squared_distance(columns: list[str], mean: np.ndarray, precision: np.ndarray) -> Column:
-    """Quadratic form around the mean.
+    """Quadratic form around the mean; NULL where a column is unknown.
 
-    Written as a sum of d squares (triangular factor of the precision), so the expression
-    grows with d² / 2 products and stays inside generated code.
+    A few columns are a sum of squares in generated code. More are a matrix product per Arrow
+    batch, as an expression would grow with the square of their number.
     """
     root = np.linalg.cholesky(precision).T  # precision = rootᵀ · root
+    if len(columns) > _EXPRESSION_COLUMNS:
+        @F.pandas_udf("double")
+        def distance(rows: pd.Series) -> pd.Series:
+            x = np.stack([np.array(r, float) for r in rows]) if len(rows) else np.empty((0, len(mean)))
+            found = (((x - mean) @ root.T) ** 2).sum(axis=1)
+            return pd.Series(found).where(~np.isnan(found), None)
+
+        return distance(F.array(*[number(n) for n in columns]))
     diffs = [number(n) - F.lit(float(m)) for n, m in zip(columns, mean)]
     total = F.lit(0.0)
     for i in range(len(columns)):

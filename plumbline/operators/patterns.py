@@ -8,7 +8,6 @@ the number of patterns.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,9 +19,20 @@ from plumbline.functions.columns import c, is_numeric, known
 from plumbline.operators.binning import Bins, quantile_bins
 from plumbline.operators.quantiles import number
 
-INTERVAL = re.compile(
-    r"^\s*([\[(])\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)\s*,\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)\s*([\])])\s*$"
-)
+
+def parse_interval(text: str) -> tuple[bool, float, float, bool] | None:
+    """``(1.5, 3]`` as (left end included, left, right, right end included); None if it is not one."""
+    text = text.strip()
+    if len(text) < 5 or text[0] not in "[(" or text[-1] not in "])":
+        return None
+    ends = text[1:-1].split(",")
+    if len(ends) != 2:
+        return None
+    try:
+        lo, hi = (float(e) for e in ends)
+    except ValueError:
+        return None
+    return text[0] == "[", lo, hi, text[-1] == "]"
 
 
 @dataclass(frozen=True)
@@ -38,25 +48,25 @@ class Items:
             return self.bins[name].label_of(number(name), self.bins[name].intervals())
         return known(name, schema[name].dataType).cast("string")
 
-    def predicate(self, name: str, value: str) -> Column:
+    def predicate(self, name: str, value: str, schema: T.StructType) -> Column:
         """The rows that match one predicate, with exact edges for intervals."""
         if name in self.bins:
             labels = self.bins[name].intervals()
             if value in labels:
                 return F.coalesce(self.bins[name].index(number(name)) == labels.index(value), F.lit(False))
-        return predicate(name, value)
+        return predicate(name, value, schema)
 
 
-def predicate(name: str, value: object) -> Column:
-    """A column predicate: an interval such as ``(1.5, 3]`` or equality as text."""
-    found = INTERVAL.match(value) if isinstance(value, str) else None
+def predicate(name: str, value: object, schema: T.StructType) -> Column:
+    """A column predicate: an interval such as ``(1.5, 3]`` of a numeric column, or equality as text."""
+    found = parse_interval(value) if isinstance(value, str) and is_numeric(schema[name].dataType) else None
     if not found:
         text = "" if value is None else str(value)
         return F.coalesce(c(name).cast("string") == F.lit(text), F.lit(False))
-    left, lo, hi, right = found.groups()
-    x, lo, hi = number(name), F.lit(float(lo)), F.lit(float(hi))
-    above = x >= lo if left == "[" else x > lo
-    below = x <= hi if right == "]" else x < hi
+    left, lo, hi, right = found
+    x = number(name)
+    above = x >= F.lit(lo) if left else x > F.lit(lo)
+    below = x <= F.lit(hi) if right else x < F.lit(hi)
     return F.coalesce(above & below, F.lit(False))
 
 
@@ -135,6 +145,8 @@ def top_patterns(
     summed influence (``abs_sum``) or by the summed sizes (``sum_abs``). At most two
     predicates appear in the output columns; ``pattern`` shows all of them.
     """
+    if max_predicates > 1 and min_support <= 0:
+        raise ValueError("conjunctions need a min_support above 0, which bounds the frequent predicates")
     items = items or pattern_items(df, exclude, bins=bins)
     sums = df.agg(
         F.count(F.lit(1)).alias("n"), F.sum("influence").alias("s"), F.sum(F.abs("influence")).alias("a")
@@ -253,7 +265,7 @@ def score_pattern(df: DataFrame, pattern: dict[str, object]) -> DataFrame:
     """Support, responsibility and interestingness of one pattern, relative to signed influence."""
     match = F.lit(True)
     for name, value in pattern.items():
-        match = match & predicate(name, value)
+        match = match & predicate(name, value, df.schema)
     sums = df.agg(
         F.count_if(match).alias("n"), F.count(F.lit(1)).alias("rows"),
         F.sum(F.when(match, c("influence"))).alias("part"), F.sum("influence").alias("total"),

@@ -58,18 +58,24 @@ def _value_bytes(value: Column, dtype: T.DataType) -> Column:
     return F.lit(widths.get(dtype.typeName(), 8)).cast("long")
 
 
+def _row_digest(keys: list[Column]) -> list[Column]:
+    """Two independent 64-bit hashes of a row's values; each value counts with its NULL flag."""
+    parts = [x for k in keys for x in (k, k.isNull())]
+    return [F.xxhash64(F.lit(1), *parts).alias("_one"), F.xxhash64(F.lit(2), *reversed(parts)).alias("_two")]
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows ``(metric, value)``: size, missing cells, duplicates and data volume.
 
-    One shuffle: rows are grouped on all their values (long texts by their digest), and each
-    group carries its size.
+    One shuffle of 16 bytes a row: rows are grouped on a digest of all their values, and each group
+    carries its size.
     """
     n_cols = len(df.columns)
     missing = sum(
         (known(f.name, f.dataType).isNull().cast("long") for f in df.schema.fields), F.lit(0).cast("long"))
     keys = [short_key(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
-    rows = df.select(*keys, missing.alias("_missing"), _row_bytes(df).alias("_bytes"))
-    groups = rows.groupBy(*[f"k{i}" for i in range(n_cols)]).agg(
+    rows = df.select(*_row_digest(keys), missing.alias("_missing"), _row_bytes(df).alias("_bytes"))
+    groups = rows.groupBy("_one", "_two").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_missing").alias("_missing"), F.sum("_bytes").alias("_bytes"))
     totals = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
@@ -103,7 +109,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """Counts of rows, distinct rows and repeats over the given columns (NULLs are equal)."""
     names = df.columns if columns is None else columns
     keys = [short_key(n, df.schema[n].dataType).alias(f"k{i}") for i, n in enumerate(names)]
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.select(*_row_digest(keys)).groupBy("_one", "_two").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -392,7 +398,3 @@ def null_or_empty_counts(df: DataFrame) -> DataFrame:
         flags.append(F.count_if(empty).alias(f.name))
     one = df.agg(*flags)
     return one.unpivot([], [c(n) for n in df.columns], "col", "null_or_empty")
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]

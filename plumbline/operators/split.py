@@ -37,6 +37,9 @@ def in_share(row_id: Column, share: float, seed: int) -> Column:
     return F.substring(row_digest(row_id, seed), 1, 8) < F.lit(f"{bound:08x}")
 
 
+MAX_CLASSES = 1000
+
+
 def sample_share(df: DataFrame, row_id: str, share: float, seed: int = 42) -> DataFrame:
     """Repeatable sample of the rows."""
     return df.where(in_share(c(row_id), share, seed))
@@ -56,15 +59,20 @@ def stratified_split(
     prefixes, four digits at a time, so no label is ever sorted as a whole.
     """
     digests = df.select(c(label).alias("label"), row_digest(c(row_id), cfg.seed).alias("digest"))
-    totals = digests.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(totals) > 1000:
-        raise ValueError(f"label {label!r} has {len(totals)} classes")
+    totals = digests.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(totals) > MAX_CLASSES:
+        raise ValueError(f"label {label!r} has more than {MAX_CLASSES} classes")
     is_test = F.lit(False)
     open_ = {r.label: ("", int(r.n * cfg.test_size + 0.5)) for r in totals}
     bounds = {}
     if sum(r.n for r in totals) <= _SETTLE_ROWS:
         bounds, open_ = _settle(digests, open_), {}
     while open_:
+        # Rows of equal id share a whole digest: all of them go to the side of the first.
+        bounds.update({k: v[0] for k, v in open_.items() if len(v[0]) == 32})
+        open_ = {k: v for k, v in open_.items() if len(v[0]) < 32}
+        if not open_:
+            break
         open_, found = _next_prefix(digests, open_)
         bounds.update(found)
         small = {k: v[:2] for k, v in open_.items() if v[2] <= _SETTLE_ROWS}
@@ -87,8 +95,6 @@ def _mine(open_: dict) -> Column:
 def _next_prefix(digests: DataFrame, open_: dict) -> tuple[dict, dict]:
     """Extend each label's prefix by four digits: the bucket where its quota runs out."""
     digits = len(next(iter(open_.values()))[0]) + 4
-    if digits > 32:
-        raise ValueError("row ids repeat too often for an exact split")
     buckets = (
         digests.where(_mine(open_))
         .groupBy("label", F.substring("digest", 1, digits).alias("prefix"))

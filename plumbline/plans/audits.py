@@ -66,7 +66,7 @@ def fit_audit(
     """Features, split and model. The prepared table is written once and read by all steps."""
     kind = model_type(model)
     prepared = build_features(df, row_id, target, mode, cfg=cfg, **options)
-    data = materialise(stratified_split(prepared.data, row_id, "label", cfg), f"features_{mode}")
+    data = materialise(stratified_split(prepared.data, prepared.row_id, "label", cfg), f"features_{mode}")
     return Fitted(prepared, data, fit(data.where(~c("is_test")), kind, prepared.design), cfg)
 
 
@@ -128,18 +128,31 @@ def fairness_audit(
     """
     fitted = fit_audit(df, row_id, target, model, "fairness", cfg, **options)
     prepared = fitted.prepared
-    raw = [n for n in df.columns if n not in (row_id, target)]
+    raw = prepared.raw
     mined = fitted.influence().select(*[c(n) for n in raw], "influence")
     items = pattern_items(mined, [])
     wide = tuple(n for n in prepared.roles.text if n in raw)
     found = top_patterns(mined, [], cfg.min_support, cfg.top_k, cfg.max_predicates, wide=wide, items=items)
     top = found.collect()  # at most top_k rows
-    out = {"top_patterns": df.sparkSession.createDataFrame(top, found.schema)}
+    given = prepared.given_names
+    shown = df.sparkSession.createDataFrame(top, found.schema)
+    out = {"top_patterns": _given_names(shown, given, "pattern_col_1", "pattern_col_2")}
     if prepared.sensitive:
         judged = fitted.test.withColumn("prediction", fitted.model.predict(prepared.design))
-        out["group_fairness"] = groups.fairness_records(
-            judged, prepared.sensitive, "label", "prediction", cfg)
+        args = judged, prepared.sensitive, "label", "prediction"
+        out["group_fairness"] = _given_names(groups.fairness_records(*args, cfg), given, "sensitive_feature")
+        precision = _given_names(groups.predictive_parity(*args, cfg.ppv_tol), given, "feature")
+        out["precision_by_group"] = precision.withColumn("group", F.concat_ws(" = ", "feature", "grp"))
     if top:
         pairs = [(r.pattern_col_1, r.pattern_val_1) for r in top]
-        out["influence_fairness"] = groups.influence_effects(mined, pairs, cfg.d_tol, items)
+        effects = groups.influence_effects(mined, pairs, cfg.d_tol, items)
+        out["influence_fairness"] = _given_names(effects, given, "group_col")
     return out
+
+
+def _given_names(df: DataFrame, given: dict[str, str], *columns: str) -> DataFrame:
+    """Show renamed raw columns under the names they came with."""
+    if not given:
+        return df
+    names = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+    return df.withColumns({n: F.coalesce(F.try_element_at(names, c(n)), c(n)) for n in columns})

@@ -34,7 +34,7 @@ DEFAULT_TIMEOUT = 3600
 ITEMS = {
     "overview": "metric", "column_types": "column_type", "columns": "col", "alerts": "col",
     "f1_report": None, "outlier_summary": None, "top_patterns": "pattern",
-    "group_fairness": "sensitive_feature", "influence_fairness": "positive_group",
+    "group_fairness": "sensitive_feature", "precision_by_group": "group", "influence_fairness": "positive_group",
 }
 
 ROW_ID = "_row_id"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.config import AuditConfig
-from plumbline.functions.columns import c
+from plumbline.functions.columns import c, without_clashes
 from plumbline.functions.missing import normalise_missing
 from plumbline.operators import scaling
 from plumbline.operators.binning import age_group, quantile_bins, range_labels
@@ -20,8 +20,12 @@ from plumbline.operators.quantiles import medians, number
 from plumbline.operators.target import binary_label, label_from_class
 from plumbline.operators.text import COMPONENTS, fit_text, text_components
 
-# Feature columns stand next to the raw columns, under plain names of their own.
+# Feature columns stand next to the raw columns, under plain names of their own. Raw columns of
+# reserved names are renamed before anything is prepared, so none can pass for the target.
 PREFIX = "f_"
+RESERVED = (
+    "label", "features", "is_test", "influence", "prediction", "stat_outlier", "infl_outlier", "d2", "is_outlier",
+)
 
 
 def feature_columns(df: DataFrame) -> dict[str, str]:
@@ -41,6 +45,11 @@ class Prepared:
     text: list[str]  # text component columns
     sensitive: list[str]  # raw names
     design: Design = field(repr=False, default=Design(()))
+    raw: list[str] = field(default_factory=list)  # raw columns as named here, without id and target
+    given_names: dict[str, str] = field(default_factory=dict)  # renamed raw columns: {here: as given}
+
+    def given(self, name: str) -> str:
+        return self.given_names.get(name, name)
 
 
 def build_features(
@@ -55,7 +64,11 @@ def build_features(
     """
     if mode not in ("quality", "fairness"):
         raise ValueError(f"unknown mode {mode!r}, choose quality or fairness")
-    raw = df.drop(row_id)
+    df, given = without_clashes(df, RESERVED, PREFIX)
+    here = {old: new for new, old in given.items()}
+    row_id, target = here.get(row_id, row_id), here.get(target, target)
+    raw = df.drop(c(row_id))
+    own = [n for n in raw.columns if n != target]
     roles = collect_roles(raw, target, **role_options)
     sensitive = list(roles.sensitive) if mode == "fairness" else []
     numeric = [n for n in roles.numeric if n not in sensitive]
@@ -85,7 +98,7 @@ def build_features(
         components |= {f"{spot[n]}_svd_{k}": f"{n}_svd_{k}" for k in range(COMPONENTS)}
     groups = {spot[n]: n for n in [*sensitive, *plain]}
     if not one_hot_encode:
-        return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive)
+        return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive, raw=own, given_names=given)
 
     levels = categories(data, list(groups), cfg.max_categories)
     terms = [Term(k, tuple(levels[k]), title=n) for k, n in groups.items()]
@@ -95,7 +108,7 @@ def build_features(
     if not len(design):
         raise ValueError("no usable feature column")
     data = design.with_vector(design.with_indices(data))
-    return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive, design)
+    return Prepared(data, row_id, roles, features, list(groups), list(components), sensitive, design, own, given)
 
 
 def _fill_gaps(df: DataFrame, numeric: list[str], plain: list[str], texts: list[str]) -> DataFrame:

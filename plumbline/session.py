@@ -23,22 +23,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This application's own scratch folder; its file system deletes it when the application ends."""
+    folder = f"{scratch_root(spark).rstrip('/')}/plumbline/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
-    Cuts lineage, survives lost executors, and later steps still prune columns.
+    Cuts lineage, survives lost executors, and later steps still prune columns. Results may be
+    read lazily, so the tables stay until the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Share the rows of a small scanned table among all cores.
-
-    For a table as read, before any join or aggregate. Read in at least as many pieces as
-    there are cores, it stays as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -7,6 +7,8 @@ import csv
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import c
 
@@ -43,11 +45,22 @@ def guess_encoding(sample: bytes) -> str:
 
 
 def guess_delimiter(text: str) -> str:
-    """Delimiter of delimited text; without a clear one, the commoner of ``;`` and ``,``."""
-    try:
-        return csv.Sniffer().sniff(text, delimiters="".join(DELIMITERS)).delimiter
-    except csv.Error:
-        return ";" if text.count(";") > text.count(",") else ","
+    """The delimiter that cuts the most lines into the same number of fields; a comma if none does.
+
+    Each candidate parses the whole sample, quotes included; the best has the largest share of lines
+    with its commonest field count, and among equals the most fields.
+    """
+    lines = text.splitlines(keepends=True)
+    if len(lines) > 1 and not lines[-1].endswith(("\n", "\r")):
+        lines = lines[:-1]  # the sample may end inside a line
+
+    def fit(sep: str) -> tuple[float, int]:
+        widths = [len(row) for row in csv.reader(lines, delimiter=sep) if row]
+        common = max(set(widths), key=widths.count, default=1)
+        return (widths.count(common) / len(widths), common) if common > 1 else (0.0, 0)
+
+    best = max(DELIMITERS, key=fit)
+    return best if fit(best)[1] else ","
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
@@ -77,35 +90,101 @@ def pick_file(spark: SparkSession, path: str, number: int = 1) -> str:
     return files[number - 1]
 
 
+def table_files(spark: SparkSession, path: str) -> tuple[list[str], str]:
+    """All files of a dataset and their common format."""
+    files = list_files(spark, path)
+    if not files:
+        raise ValueError(f"{path}: no file with a supported format ({', '.join(FORMATS)})")
+    kinds = {extension(f) for f in files}
+    if len(kinds) > 1:
+        raise ValueError(f"{path}: files of several formats ({', '.join(sorted(map(str, kinds)))}); choose one by number")
+    return files, kinds.pop() or ""
+
+
 def load_table(
-    spark: SparkSession, path: str, fmt: str | None = None, number: int = 1,
-    schema=None, multiline_json: bool = True,
+    spark: SparkSession, path: str, fmt: str | None = None, number: int | None = None,
+    schema=None, multiline_json: bool | None = None, sep: str | None = None,
+    encoding: str | None = None, corrupt_column: str | None = None,
 ) -> DataFrame:
-    """Load a file, or one file of a folder, by its extension.
+    """Load a file, or a folder of part files as one table, by extension.
 
-    Delimited text gets its delimiter and encoding from its first bytes; the rows are read
-    by the cluster. Pass a schema to spare the extra pass that infers types. JSON may be an
-    array of records (read whole per file) or, with ``multiline_json=False``, one per line.
+    ``number`` picks one file of a folder instead (from 1; 0 is the last). Delimited text gets what
+    ``sep`` and ``encoding`` leave open from its content; the rows are read by the cluster. Pass
+    a schema to spare the pass that infers types. JSON is an array of records if it begins with a
+    bracket, which is read whole per file, and one record per line otherwise. ``corrupt_column``
+    adds the raw text of records that do not fit the columns.
     """
-    chosen = path if fmt else pick_file(spark, path, number)
-    fmt = fmt or FORMATS.get(extension(chosen) or "")
-    if fmt == "parquet":
-        return spark.read.parquet(chosen)
-    if fmt == "json":
+    if fmt:
+        files, kind = [path], fmt
+    elif number is None:
+        files, ext = table_files(spark, path)
+        kind = FORMATS.get(ext, "")
+    else:
+        files = [pick_file(spark, path, number)]
+        kind = FORMATS.get(extension(files[0]) or "", "")
+    if kind == "parquet":
+        return spark.read.parquet(*files)
+    if kind == "json":
+        if multiline_json is None:
+            multiline_json = first_bytes(spark, a_file(spark, files[0])).lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"[")
         reader = spark.read.schema(schema) if schema else spark.read
-        return reader.json(chosen, multiLine=multiline_json)
-    if fmt == "csv":
-        return read_delimited(spark, chosen, schema)
-    raise ValueError(f"{path}: unsupported format {fmt!r}")
-
-
-def read_delimited(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Delimited text with a header; malformed rows keep what could be read of them."""
-    sample = first_bytes(spark, path)
-    encoding = guess_encoding(sample)
-    sep = guess_delimiter(sample.decode(encoding, errors="replace"))
-    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", True)
-    return reader.csv(path, header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", escape='"', quote='"')
+        if corrupt_column:
+            reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        return reader.json(files, multiLine=multiline_json)
+    if kind == "csv":
+        return read_delimited(spark, files, schema, sep, encoding, corrupt_column)
+    raise ValueError(f"{path}: unsupported format {kind!r}")
+
+
+def a_file(spark: SparkSession, path: str) -> str:
+    """The path itself, or the first data file of a written folder."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(location).isFile():
+        return path
+    inside = [s for s in fs.listStatus(location) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
+    if not inside:
+        raise ValueError(f"{path}: no data file")
+    return min(s.getPath().toString() for s in inside)
+
+
+def _text_facts(spark: SparkSession, files: list[str]) -> tuple[bool, bool]:
+    """Whether all bytes are UTF-8, and whether any line ends inside quotes, over whole files."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    row = spark.read.text(files).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open"),
+    ).first()
+    return row.utf8, row.open
+
+
+def read_delimited(
+    spark: SparkSession, files: list[str] | str, schema=None, sep: str | None = None,
+    encoding: str | None = None, corrupt_column: str | None = None,
+) -> DataFrame:
+    """Delimited text with a header.
+
+    One pass over all lines tells whether quoted values hold line breaks (then files are read
+    whole, else split) and whether the text is UTF-8 throughout; if not, and no encoding was given,
+    it is Latin-1. The delimiter comes from the start of the first file.
+    """
+    files = [files] if isinstance(files, str) else files
+    sample = first_bytes(spark, a_file(spark, files[0]))
+    guessed = encoding or guess_encoding(sample)
+    breaks = True
+    if not guessed.upper().startswith("UTF-16"):
+        utf8, breaks = _text_facts(spark, files)
+        if not encoding and guessed == "UTF-8" and not utf8:
+            guessed = "ISO-8859-1"
+    sep = sep or guess_delimiter(sample.decode(guessed, errors="replace"))
+    options = dict(header=True, sep=sep, encoding=guessed, escape='"', quote='"', multiLine=breaks, mode="PERMISSIVE")
+    if schema is None:
+        schema = spark.read.csv(files, inferSchema=True, **options).schema
+    if corrupt_column:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt_column
+    return spark.read.schema(schema).csv(files, **options)
 
 
 def attach_target(features: DataFrame, target: DataFrame, key: str, name: str) -> DataFrame:

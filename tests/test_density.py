@@ -33,3 +33,10 @@ def test_constant_column_and_few_rows(spark):
     assert {r.is_outlier for r in density_noise(df, "id", ["x"]).collect()} == {True}
     df = spark.createDataFrame([(i, 1.0) for i in range(5)], "id long, x double")
     assert {r.is_outlier for r in density_noise(df, "id", ["x"]).collect()} == {False}
+
+
+def test_rows_with_gaps_are_neither(spark):
+    rows = [(i, float(i % 3) / 100, 0.0) for i in range(12)] + [(50, 3.0, None), (51, None, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    found = {r.row_id: (r.is_core, r.is_outlier) for r in density_noise(df, "id", ["x", "y"]).collect()}
+    assert found[50] == (None, False) and found[51] == (None, False) and found[0] == (True, False)

@@ -67,12 +67,12 @@ def test_ties_go_by_pattern(spark):
 ])
 def test_predicates(spark, value, want):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 2.0, 3.0, None)], "x double")
-    assert sorted(r.x for r in df.where(patterns.predicate("x", value)).collect()) == want
+    assert sorted(r.x for r in df.where(patterns.predicate("x", value, df.schema)).collect()) == want
 
 
 def test_negated_predicate_keeps_unknown_values(spark):
     df = spark.createDataFrame([("a",), (None,)], "x string")
-    assert df.where(~patterns.predicate("x", "a")).count() == 1
+    assert df.where(~patterns.predicate("x", "a", df.schema)).count() == 1
 
 
 def test_effect_size_edges(spark):
@@ -80,7 +80,24 @@ def test_effect_size_edges(spark):
     one = fairness.influence_effects(df, [("k", "a"), ("k", "none")]).collect()
     # A group of one has no deviation: no effect size.
     assert (one[0].cohen_d, one[0].mean_positive_group, one[0].mean_other) == (0.0, 1.0, 3.0)
-    assert one[1].cohen_d == 0.0 and one[1].mean_positive_group is None
+    # A group without rows has none either, and is no evidence of fairness.
+    assert one[1].cohen_d is None and one[1].mean_positive_group is None and not one[1].cohen_fair
+
+
+def test_text_that_looks_like_an_interval(spark):
+    df = spark.createDataFrame([("(1, 2]", 5.0), ("(1, 2]", 6.0), ("x", 0.0), ("x", 1.0)], "k string, influence double")
+    found = fairness.influence_effects(df, [("k", "(1, 2]")]).first()
+    assert found.mean_positive_group == 5.5 and found.mean_other == 0.5 and not found.cohen_fair
+    top = patterns.top_patterns(df, [], 0.1, 1).first()
+    assert (top.pattern_val_1, top.support) == ("(1, 2]", 0.5)
+    assert patterns.parse_interval("[-1e3, .5)") == (True, -1000.0, 0.5, False)
+    assert patterns.parse_interval("(a, 2]") is None and patterns.parse_interval("(1, 2, 3]") is None
+
+
+def test_conjunctions_need_a_support(spark):
+    df = spark.createDataFrame([("a", "b", 1.0)], "k string, l string, influence double")
+    with pytest.raises(ValueError):
+        patterns.top_patterns(df, [], 0.0, 5, max_predicates=2)
 
 
 def test_effects_by_value_equal_direct_effects(spark, rows):
@@ -95,6 +112,13 @@ def test_no_predicted_positive_counts_as_zero(spark):
     df = spark.createDataFrame(rows, "g string, y int, p int")
     rec = fairness.fairness_records(df, ["g"], "y", "p").first()
     assert rec.DPD == 1.0 and rec.EOD == 1.0 and rec.PPV_diff == 1.0
-    assert rec.PPV_by_group == {"a": 0.0, "b": 1.0, "nan": 0.0}
-    assert rec.PPV_group_fairness == {"a": False, "b": True, "nan": False}
+    rows = fairness.predictive_parity(df, ["g"], "y", "p").collect()
+    assert {r.grp: (r.ppv, r.fair) for r in rows} == {"a": (0.0, False), "b": (1.0, True), "nan": (0.0, False)}
     assert fairness.group_metric(df, "g", n=fairness.F.count(c("y"))).count() == 3
+
+
+def test_precision_of_very_many_groups(spark):
+    df = spark.range(10_001).selectExpr("concat('g', id) AS g", "1 AS y", "cast(id % 2 AS int) AS p")
+    rows = fairness.predictive_parity(df, ["g"], "y", "p")
+    assert rows.count() == 10_001 and rows.where("ppv is null or fair is null").count() == 0
+    assert fairness.fairness_records(df, ["g"], "y", "p").first().PPV_diff == 1.0

@@ -25,6 +25,45 @@ def test_fallback_delimiter():
     assert readers.guess_encoding("caf\u00e9 x".encode("latin-1")) == "ISO-8859-1"
 
 
+def test_content_beyond_the_sample(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes("id,name\n".encode() + b"".join(f"{i},plain\n".encode() for i in range(2000)) + "2000,caf\u00e9\n".encode("latin-1"))
+    last = readers.load_table(spark, str(path)).where("id = 2000").first()
+    assert last.name == "caf\u00e9"
+    assert readers.load_table(spark, str(path), sep=",", encoding="ISO-8859-1").count() == 2001
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,name\n1,"two\nlines"\n2,"say ""a, b"""\n3,x\n')
+    rows = readers.load_table(spark, str(tmp_path / "q.csv")).orderBy("id").collect()
+    assert [(r.id, r.name) for r in rows] == [(1, "two\nlines"), (2, 'say "a, b"'), (3, "x")]
+
+
+def test_records_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,name\n1,x\n2,y,z\n3,w\n")
+    rows = readers.load_table(spark, str(tmp_path / "bad.csv"), corrupt_column="_bad").orderBy("id").collect()
+    assert [(r.id, r._bad) for r in rows] == [(1, None), (2, "2,y,z"), (3, None)]
+
+
+def test_folders_are_whole_tables(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "concat('n', id) AS name").repartition(4)
+    for fmt in ("csv", "json", "parquet"):
+        df.write.option("header", True).format(fmt).save(str(tmp_path / fmt))
+        assert readers.load_table(spark, str(tmp_path / fmt)).agg({"id": "sum"}).first()[0] == 499_500
+        assert readers.load_table(spark, str(tmp_path / fmt), number=1).count() < 1000
+    (tmp_path / "mixed").mkdir()
+    for name in ("a.csv", "b.json"):
+        (tmp_path / "mixed" / name).write_text('{"k": 1}')
+    with pytest.raises(ValueError):
+        readers.load_table(spark, str(tmp_path / "mixed"))
+
+
+def test_json_lines_and_arrays(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"k": 1}\n{"k": 2}\n')
+    (tmp_path / "a.json").write_text(' [{"k": 1},\n {"k": 2}]')
+    assert [readers.load_table(spark, str(tmp_path / n)).count() for n in ("l.json", "a.json")] == [2, 2]
+
+
 def test_json_parquet_and_file_choice(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"k": 1}, {"k": 2}]')
     (tmp_path / "notes.txt").write_text("no table")

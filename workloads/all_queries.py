@@ -6,4 +6,5 @@ from workloads import (  # noqa: F401
     group_queries,
     model_queries,
     profile_queries,
+    source_queries,
 )

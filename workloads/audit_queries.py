@@ -88,7 +88,7 @@ def _two_numbers(spark, sf_dir):
 _F1 = "2.0::DOUBLE * count_if(label = 1 AND {p}) / (count_if(label = 1) + count_if({p}))"
 
 
-@query(f"""
+_F1_SQL = f"""
 WITH {_AUDIT},
 {newton_sql('trim', 'f', 'NOT is_test AND NOT st', '(SELECT 1 / (s1 * s1) FROM sc)', '(SELECT 1 / (s2 * s2) FROM sc)')},
 {newton_sql('cut', 'f', 'NOT is_test AND NOT inf', '(SELECT 1 / (s1 * s1) FROM sc)', '(SELECT 1 / (s2 * s2) FROM sc)')},
@@ -96,11 +96,24 @@ said AS (SELECT label, base.w1 * z1 + base.w2 * z2 + base.b > 0 AS a, trim.w1 *
   cut.w1 * z1 + cut.w2 * z2 + cut.b > 0 AS i FROM f, base, trim, cut WHERE is_test)
 SELECT round({_F1.format(p='a')}, 4) AS f1_orig, round({_F1.format(p='s')}, 4) AS f1_statistic,
   round({_F1.format(p='i')}, 4) AS f1_influence FROM said
-""")
+"""
+
+
+@query(_F1_SQL)
 def f1_comparison(spark, sf_dir):
     return quality_audit(_two_numbers(spark, sf_dir), "row_id", "signal_label")["f1_report"]
 
 
+@query(_F1_SQL)
+def f1_with_reserved_names(spark, sf_dir):
+    """The same audit when the raw columns carry the names the audit itself uses."""
+    rows = _two_numbers(spark, sf_dir)
+    renamed = rows.select(
+        F.col("row_id").alias("is_test"), F.col("total").alias("Label"), F.col("balance").alias("features"),
+        F.col("signal_label").alias("prediction"))
+    return quality_audit(renamed, "is_test", "prediction")["f1_report"]
+
+
 @query(f"""
 WITH {_AUDIT}
 SELECT CAST(count_if(inf) AS BIGINT) AS influence_outliers_count, round(count_if(inf) * 100.0::DOUBLE / count(*), 4) AS influence_outliers_pct,
@@ -133,14 +146,14 @@ def quality_report(spark, sf_dir):
 def fairness_report(spark, sf_dir):
     found = fairness_audit(_audited_orders(spark, sf_dir), "row_id", "signal_label")
     return _report(found, {"top_patterns": "pattern", "group_fairness": "sensitive_feature",
-                           "influence_fairness": "positive_group"})
+                           "precision_by_group": "group", "influence_fairness": "positive_group"})
 
 
 @query()
 def fairness_report_svm(spark, sf_dir):
     found = fairness_audit(_audited_orders(spark, sf_dir), "row_id", "signal_label", "svm")
     return _report(found, {"top_patterns": "pattern", "group_fairness": "sensitive_feature",
-                           "influence_fairness": "positive_group"})
+                           "precision_by_group": "group", "influence_fairness": "positive_group"})
 
 
 @query()

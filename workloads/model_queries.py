@@ -74,6 +74,14 @@ def influence_logistic(spark, sf_dir):
     return scored.select("row_id", F.round(F.col("influence") * 1e6, 4).alias("influence_ppm"))
 
 
+@query(f"WITH {SCALED_EVENTS}, {logistic_influence_sql(0.3, -0.2, -1.4)} SELECT row_id, round(influence * 1e6, 4) AS influence_ppm FROM infl")
+def influence_by_conjugate_gradients(spark, sf_dir):
+    train, test = _halves(_scaled_events(spark, sf_dir))
+    cfg = AuditConfig(max_dense_features=1)
+    scored = influence.mean_influence(train, test, _EVENT_MODEL, _DESIGN, cfg=cfg)
+    return scored.select("row_id", F.round(F.col("influence") * 1e6, 4).alias("influence_ppm"))
+
+
 @query(f"WITH {SCALED_EVENTS}, {logistic_influence_sql(0.3, -0.2, -1.4)} SELECT row_id, round(influence * 1e6, 4) AS influence_ppm FROM infl ORDER BY influence DESC, row_id LIMIT 5")
 def top_influential(spark, sf_dir):
     train, test = _halves(_scaled_events(spark, sf_dir))
@@ -124,6 +132,37 @@ def mahalanobis(spark, sf_dir):
     return done.select("row_id", F.round("d2", 6).alias("d2"), "is_outlier")
 
 
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _cholesky_sql(names: list[str]) -> str:
+    """Squared distance by the triangular factor of the covariance, one scalar a line."""
+    d = len(names)
+    cov = ", ".join(f"covar_samp({names[i]}, {names[j]}){' + 1e-6::DOUBLE' if i == j else ''} AS c{i}{j}" for i in range(d) for j in range(i + 1))
+    means = ", ".join(f"avg({n}) AS m{i}" for i, n in enumerate(names))
+    steps, last = [f"k AS (SELECT {cov}, {means} FROM t)"], "k"
+    for j in range(d):
+        for i in range(j, d):
+            done = " ".join(f"- l{i}{q} * l{j}{q}" for q in range(j))
+            value = f"sqrt(c{j}{j} {done})" if i == j else f"(c{i}{j} {done}) / l{j}{j}"
+            steps.append(f"k{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {last})")
+            last = f"k{i}{j}"
+    steps.append(f"y0 AS (SELECT t.*, {last}.*, ({names[0]} - m0) / l00 AS z0 FROM t, {last})")
+    for i in range(1, d):
+        done = " ".join(f"- l{i}{q} * z{q}" for q in range(i))
+        steps.append(f"y{i} AS (SELECT *, ({names[i]} - m{i} {done}) / l{i}{i} AS z{i} FROM y{i - 1})")
+    return ", ".join(steps) + f", dist AS (SELECT *, {' + '.join(f'z{i} * z{i}' for i in range(d))} AS d2 FROM y{d - 1})"
+
+
+@query(f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _WIDE)} FROM lineitem), {_cholesky_sql(_WIDE)}
+SELECT l_orderkey, l_linenumber, round(d2, 5) AS d2 FROM dist
+""")
+def mahalanobis_four_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_WIDE)
+    return outliers.mahalanobis(rows, _WIDE).select("l_orderkey", "l_linenumber", F.round("d2", 5).alias("d2"))
+
+
 @query(f"WITH {SCALED_EVENTS}, {_MAHALANOBIS} SELECT row_id FROM maha WHERE NOT d2 > -2 * ln(0.01::DOUBLE)")
 def drop_statistic_outliers(spark, sf_dir):
     done = outliers.mahalanobis(_scaled_events(spark, sf_dir), ["x1", "x2"], AuditConfig().alpha)
@@ -155,6 +194,40 @@ def dbscan_noise(spark, sf_dir):
     return density.density_noise(rows, "row_id", ["value", "k"])
 
 
+_DENSITY_COLUMNS = ["p_size", "p_retailprice", "p_name_length", "p_key_rest"]
+
+
+def _part_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("p_name_length"),
+        (F.col("p_partkey") % 7).alias("p_key_rest"))
+
+
+def _noise_sql(names: list[str], eps: str) -> str:
+    """Noise by comparing all pairs of parts on standardised columns."""
+    facts = ", ".join(f"avg({n}) AS m{i}, stddev_pop({n}) AS s{i}" for i, n in enumerate(names))
+    # A constant column is divided by one, as in the scaling operator.
+    z = ", ".join(f"({n} - m{i}) / (CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END) AS x{i}" for i, n in enumerate(names))
+    near = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(names))) + f" <= {eps}::DOUBLE"
+    return f"""
+WITH n AS (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice::DOUBLE AS p_retailprice, length(p_name)::DOUBLE AS p_name_length, (p_partkey % 7)::DOUBLE AS p_key_rest FROM part),
+s AS (SELECT {facts} FROM n), d AS MATERIALIZED (SELECT p_partkey, {z} FROM n, s),
+near AS MATERIALIZED (SELECT a.p_partkey, count(*) >= 5 AS core FROM d a JOIN d b ON {near} GROUP BY a.p_partkey),
+cores AS (SELECT d.* FROM d JOIN near USING (p_partkey) WHERE core),
+touched AS (SELECT DISTINCT a.p_partkey FROM d a JOIN cores b ON {near})
+SELECT near.p_partkey AS row_id, core AS is_core, NOT core AND touched.p_partkey IS NULL AS is_outlier FROM near LEFT JOIN touched USING (p_partkey)"""
+
+
+@query(_noise_sql(_DENSITY_COLUMNS[:3], "0.25"))
+def dbscan_noise_three_columns(spark, sf_dir):
+    return density.density_noise(_part_numbers(spark, sf_dir), "p_partkey", _DENSITY_COLUMNS[:3])
+
+
+@query(_noise_sql(_DENSITY_COLUMNS, "0.25"))
+def dbscan_noise_four_columns(spark, sf_dir):
+    return density.density_noise(_part_numbers(spark, sf_dir), "p_partkey", _DENSITY_COLUMNS)
+
+
 @query(f"""
 WITH {SCALED_EVENTS}, {_MAHALANOBIS}, {logistic_influence_sql(0.3, -0.2, -1.4)},
 t AS (SELECT greatest(avg(influence) + stddev_pop(influence), 0) AS bound FROM infl),
