@@ -6,8 +6,6 @@ import threading
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -81,17 +79,19 @@ def vocabulary_table(df: DataFrame, column: str, max_terms: int = MAX_TERMS) ->
     return df.sparkSession.createDataFrame(list(zip(vocab.terms, vocab.idf)), "term string, idf double")
 
 
-def _weights(lists: pa.ListArray, terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, term position and TF-IDF weight of every entry of a batch, rows of length one."""
-    size, width = len(lists), max(len(idf), 1)
-    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(size), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    row, at = row[at >= 0], at[at >= 0].astype(np.int64)
-    entry, tf = np.unique(row * width + at, return_counts=True)
-    row, at = entry // width, entry % width
-    weight = tf * idf[at]
-    length = np.sqrt(np.bincount(row, weight * weight, minlength=size))
-    return row, at, weight / length[row]
+def _with_weights(df: DataFrame, column: str, vocab: Vocabulary, out: str) -> DataFrame:
+    """Add the TF-IDF weights of a text, scaled to length one, as a struct of indices and values."""
+    if not vocab.terms:
+        return df.withColumn(out, F.struct(
+            F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
+    counts = count_vectors(df, column, list(vocab.terms), f"_n_{out}")
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol=f"_n_{out}", outputCol=f"_w_{out}")
+    scaled = Normalizer(p=2.0, inputCol=f"_w_{out}", outputCol=f"_v_{out}").transform(weigh.transform(counts))
+    vector = F.unwrap_udt(c(f"_v_{out}"))
+    # A vector without gaps is stored dense, without indices.
+    indices = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    return scaled.withColumn(out, F.struct(indices.alias("indices"), vector["values"].alias("values"))).drop(
+        f"_n_{out}", f"_w_{out}", f"_v_{out}")
 
 
 def tfidf(
@@ -99,21 +99,15 @@ def tfidf(
 ) -> DataFrame:
     """``(row_id, term, weight)``: TF-IDF weights, each text scaled to length one.
 
-    Each text is counted where it lies, on Arrow batches; nothing is shuffled.
+    Each text is counted where it lies, in the JVM; nothing is shuffled.
     """
     vocab = vocab or fit_vocabulary(df, column, max_terms)
-    terms, idf = pa.array(vocab.terms, pa.string()), np.array(vocab.idf)
-
-    @F.arrow_udf("array<struct<term:string,weight:double>>")
-    def weigh(lists: pa.Array) -> pa.Array:
-        row, at, weight = _weights(lists, terms, idf)
-        entries = pa.StructArray.from_arrays(
-            [terms.take(pa.array(at)), pa.array(weight, pa.float64())], names=["term", "weight"])
-        ends = np.searchsorted(row, np.arange(len(lists) + 1))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-
+    terms = F.lit(list(vocab.terms)) if vocab.terms else F.array().cast("array<string>")
     rows = df.select(c(row_id).alias("row_id"), c(column).alias("text"))
-    return rows.select("row_id", F.inline(weigh(tokens(c("text")))))
+    weights = _with_weights(rows, "text", vocab, "w").select(
+        "row_id", F.explode(F.arrays_zip("w.indices", "w.values")).alias("e"))
+    return weights.where(c("e")["values"] > 0).select(
+        "row_id", F.get(terms, c("e")["indices"]).alias("term"), c("e")["values"].alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -149,19 +143,17 @@ def fit_text(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> TextMode
 def text_components(df: DataFrame, column: str, model: TextModel) -> DataFrame:
     """Replace a text column by ``<column>_svd_0`` and ``<column>_svd_1``.
 
-    Tokens are found in the JVM; the product with the loadings runs on Arrow batches.
+    Weights and their products with the loadings stay in the JVM.
     """
-    terms, idf = pa.array(model.vocab.terms, pa.string()), np.array(model.vocab.idf)
-    loadings = model.loadings
+    kept = [c(n) for n in df.columns if n != column]
+    weighted = _with_weights(df, column, model.vocab, "_tfidf")
+    w = c("_tfidf")
 
-    @F.arrow_udf("array<double>")
-    def project(lists: pa.Array) -> pa.Array:
-        size = len(lists)
-        row, at, weight = _weights(lists, terms, idf)
-        parts = [np.bincount(row, weight * loadings[at, k], minlength=size) for k in range(COMPONENTS)]
-        flat = pa.array(np.column_stack(parts).ravel(), pa.float64())
-        return pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * COMPONENTS, pa.int32()), flat)
+    def along(k: int) -> Column:
+        if not model.vocab.terms:
+            return F.lit(0.0)
+        pull = F.lit([float(x) for x in model.loadings[:, k]])
+        parts = F.zip_with(w["indices"], w["values"], lambda i, v: v * F.get(pull, i))
+        return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
 
-    kept = [c(n) for n in df.columns if n != column]
-    return df.select(*kept, project(tokens(c(column))).alias("_svd")).select(
-        *kept, *[c("_svd")[k].alias(f"{column}_svd_{k}") for k in range(COMPONENTS)])
+    return weighted.select(*kept, *[along(k).alias(f"{column}_svd_{k}") for k in range(COMPONENTS)])

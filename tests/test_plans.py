@@ -37,3 +37,13 @@ def test_split_needs_no_shuffle(spark, sf_dir):
 
     plan = _plan(hash_split(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey"))
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_rows_are_dealt_round_robin(spark, sf_dir, name):
+    assert "RoundRobin" not in _plan(entry.queries()[name](spark, sf_dir))
+
+
+def test_text_weights_stay_in_the_jvm(spark, sf_dir):
+    plan = _plan(entry.queries()["tfidf"](spark, sf_dir))
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
