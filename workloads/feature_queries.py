@@ -8,6 +8,7 @@ from plumbline.functions.missing import normalise_missing
 from plumbline.operators import binning, encoding, impute, scaling, split, target, text
 from plumbline.operators.profile import collect_roles
 from plumbline.operators.quantiles import number
+from plumbline.plans import features
 from plumbline.plans.features import encode_sensitive, one_hot_standardised
 from workloads.fixtures import events_num, orders_wide, table
 from workloads.registry import query
@@ -263,3 +264,46 @@ def text_vocabulary(spark, sf_dir):
 def text_svd(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return text.text_components(rows, "text", text.fit_text(rows, "text"))
+
+
+def _prepared(spark, sf_dir, mode: str, columns: list[str]):
+    rows = orders_wide(spark, sf_dir).select("row_id", *columns, "signal_label")
+    done = features.build_features(rows, "row_id", "signal_label", mode, one_hot_encode=False)
+    spot = features.feature_columns(rows)
+    return done.data.select("row_id", *[F.col(spot[n]).alias(n) for n in columns], "label")
+
+
+_MAJORITY = "CAST(signal_label = (SELECT signal_label FROM orders_wide GROUP BY 1 ORDER BY count(*) DESC, CAST(signal_label AS VARCHAR) LIMIT 1) AS INTEGER) AS label"
+
+
+@query(f"""
+SELECT row_id, coalesce(total, (SELECT quantile_cont(total, 0.5) FROM orders_wide)) AS total,
+  coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM orders_wide)) AS balance,
+  coalesce({_clean('status')}, '<MISSING>') AS status, {_MAJORITY}
+FROM orders_wide
+""")
+def features_quality(spark, sf_dir):
+    """Quality features before one-hot: medians, categories as they are, majority label."""
+    return _prepared(spark, sf_dir, "quality", ["total", "balance", "status"])
+
+
+def _clamped(name: str) -> str:
+    return f"""{name}_r AS (SELECT {name} AS x, row_number() OVER (ORDER BY {name}) - 1 AS r, count(*) OVER () AS n FROM filled),
+{name}_b AS (SELECT max(CASE WHEN r = CAST(floor(0.01::DOUBLE * n) AS BIGINT) THEN x END) AS lo,
+  max(CASE WHEN r = n - 1 - CAST(floor(0.01::DOUBLE * n) AS BIGINT) THEN x END) AS hi FROM {name}_r),
+{name}_c AS (SELECT row_id, least(greatest({name}, lo), hi) AS {name} FROM filled, {name}_b),
+{name}_s AS (SELECT row_id, round(({name} - (SELECT avg({name}) FROM {name}_c)) / (SELECT stddev_pop({name}) FROM {name}_c), 8) AS {name} FROM {name}_c)"""
+
+
+@query(f"""
+WITH filled AS (SELECT row_id, coalesce(total, (SELECT quantile_cont(total, 0.5) FROM orders_wide)) AS total,
+  coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM orders_wide)) AS balance, age, race, {_MAJORITY} FROM orders_wide),
+{_clamped('total')}, {_clamped('balance')}
+SELECT row_id, total_s.total, balance_s.balance, race, CASE WHEN age >= 90 THEN '90-99' ELSE
+  CAST(age // 10 * 10 AS VARCHAR) || '-' || CAST(age // 10 * 10 + 9 AS VARCHAR) END AS age, label
+FROM filled JOIN total_s USING (row_id) JOIN balance_s USING (row_id)
+""")
+def features_fairness(spark, sf_dir):
+    """Fairness features before one-hot: clamped and scaled numbers, groups of sensitive columns."""
+    done = _prepared(spark, sf_dir, "fairness", ["total", "balance", "race", "age"])
+    return done.withColumns({n: F.round(n, 8) for n in ("total", "balance")})
