@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,36 +23,36 @@ KEEP = 0.5
 _ROUNDS = 300
 _STRENGTH_MOST = 1e6
 _SHIFT_MOST = 2.0
-_STRIP = ".,!?;:\"'()[]{}"
+# Upper case to lower, and ASCII punctuation to blanks, in UTF-8 bytes.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and chr(b) in ".,!?;:\"'()[]{}" else b for b in range(256))
 
 
-def shape(text: str, words: list[str]) -> np.ndarray:
-    """Numbers between 0 and 1 on how the text looks: repetition, symbols, case, tables, word lengths."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    chars = max(1, len(data))
-    kinds = np.bincount(data, minlength=256)
+def shape(data: bytes, counts: Counter, words: list[bytes]) -> list[float]:
+    """Numbers between 0 and 1 on how a text looks: repetition, symbols, case, tables, word lengths."""
+    kinds = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     upper, digits = int(kinds[65:91].sum()), int(kinds[48:58].sum())
     lower = int(kinds[97:123].sum()) + int(kinds[128:].sum())
     blank = int(kinds[9:14].sum() + kinds[32])
     symbols = max(0, len(data) - upper - lower - digits - blank)
     # Shares of short texts are drawn to what is usual, so that a single mark says little.
-    chars, n = chars + 40, len(words) + 5
+    chars, n = max(1, len(data)) + 40, len(words) + 5
     symbols, upper, lower = symbols + 1, upper + 1, lower + 30
-    again = sum(a == b for a, b in zip(words, words[1:])) / n
-    commonest = Counter(words).most_common(1)[0][1] / n if words else 0.0
+    again = sum(map(operator.eq, words, words[1:])) / n
+    commonest = max(counts.values(), default=0) / n
     lengths = (sum(map(len, words)) + 25) / n
-    return np.array([
+    return [
         1.0, min(1.0, 4 * again), min(1.0, 3 * max(0.0, commonest - 0.1)) if n > 20 else 0.0, min(1.0, 5 * symbols / chars),
         min(1.0, max(0.0, symbols / chars - 0.06) * 20), min(1.0, 2 * upper / max(1, upper + lower)), min(1.0, 2 * digits / chars),
         min(1.0, 20 * int(kinds[124]) / chars), min(1.0, lengths / 20), float(not words),
-    ], np.float64)
+    ]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> tuple[list[float], set[int]]:
     """Shape numbers and the hashed set of lower-cased words of a whole text."""
-    words = (text or "").split()
-    seen = {w.lower().strip(_STRIP) for w in set(words)}
-    return shape(text or "", words), np.unique([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in seen]).astype(np.int64)
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
+    plain = Counter(data.translate(_PLAIN).split())
+    return shape(data, Counter(words), words), set(map(zlib.crc32, plain))
 
 
 @dataclass(frozen=True)
@@ -58,13 +60,13 @@ class Head:
     """A logistic classifier on shape numbers and telling words; ``base`` alone if it could not be fitted."""
 
     base: float
-    weights: np.ndarray | None
-    words: np.ndarray
+    shapes: list[float] | None
+    words: dict[int, float]
 
-    def logit(self, shapes: np.ndarray, hashed: np.ndarray) -> float:
-        if self.weights is None:
-            return float(np.log(self.base / (1 - self.base)))
-        return float(shapes @ self.weights[:SHAPES] + self.weights[SHAPES:][np.isin(self.words, hashed)].sum())
+    def logit(self, shapes: list[float], hashed: set[int]) -> float:
+        if self.shapes is None:
+            return math.log(self.base / (1 - self.base))
+        return sum(map(operator.mul, shapes, self.shapes)) + sum(self.words[h] for h in self.words.keys() & hashed)
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,8 @@ class Evidence:
     def good(self, text: str | None) -> float:
         """Probability that a document is neither junk nor toxic, from its text alone."""
         shapes, hashed = features(text)
-        bad = [1 / (1 + np.exp(-np.clip(h.logit(shapes, hashed), -30, 30))) for h in (self.junk, self.toxic)]
-        return float((1 - bad[0]) * (1 - bad[1]))
+        junk, toxic = (1 / (1 + math.exp(min(30.0, max(-30.0, h.logit(shapes, hashed))))) for h in (self.junk, self.toxic))
+        return junk * toxic
 
 
 def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def _fit_head(shapes: np.ndarray, hashed: list[np.ndarray], truth: np.ndarray) -
     known = np.flatnonzero(~np.isnan(truth))
     y = truth[known]
     if not len(y) or y.min() == y.max():
-        return Head(1e-3 if not len(y) or y.max() == 0 else 1 - 1e-3, None, np.empty(0, np.int64))
+        return Head(1e-3 if not len(y) or y.max() == 0 else 1 - 1e-3, None, {})
     x = shapes[known]
     rows = np.repeat(np.arange(len(known)), [len(hashed[i]) for i in known])
     ids, columns = np.unique(np.concatenate([hashed[i] for i in known]), return_inverse=True)
@@ -124,7 +126,7 @@ def _fit_head(shapes: np.ndarray, hashed: list[np.ndarray], truth: np.ndarray) -
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         rate = 0.3 * (1 - step / (_ROUNDS + 1))
         w -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-5)
-    return Head(float(y.mean()), w, ids[telling])
+    return Head(float(y.mean()), w[:SHAPES].tolist(), dict(zip(ids[telling].tolist(), w[SHAPES:].tolist())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Evidence:
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
             found = [features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).cast(pa.float64()), batch.column(2).cast(pa.float64()),
-                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([h for _, h in found], pa.list_(pa.int64()))],
+                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([list(h) for _, h in found], pa.list_(pa.int64()))],
                 names=["quality", "toxic", "shapes", "hashed"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").mapInArrow(
@@ -200,9 +202,14 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return both.withColumn("strength", F.lit(_strength(both, "path_mean", "prior", "n"))).drop("path_mean")
 
 
-def judge(docs: DataFrame, model: Evidence, site: Column, path: Column, own: str = "good") -> DataFrame:
+def judge(
+    docs: DataFrame, model: Evidence, site: Column, path: Column, own: str = "good", keep_text: bool = True
+) -> DataFrame:
     """All columns of ``docs`` with ``good``, ``site_posterior``, ``posterior`` and ``keep``.
 
+    With the text kept, texts are read twice and never travel; without it, once, and the rest of the
+    columns with the evidence are written to the shared folder between the two steps.
+
     ``site`` and ``path`` are expressions over ``docs``; null is a site or path of its own. The
     posterior adds to the document's log-odds how far its path's posterior, the document itself left
     out, lies from the global mean, at most two units either way. Columns of these names in
@@ -210,8 +217,11 @@ def judge(docs: DataFrame, model: Evidence, site: Column, path: Column, own: str
     """
     given = docs.drop("site_posterior", "posterior", "keep", own)
     placed = given.withColumns({"__site": present(site), "__path": present(path)})
-    scored = placed.select("__site", "__path", "text")
-    table = site_posteriors(with_evidence(scored, model, own).select(
+    scored = with_evidence(placed, model, own)
+    if not keep_text:
+        given = given.drop("text")
+        scored = materialise(scored.drop("text"), "quality-evidence")
+    table = site_posteriors(scored.select(
         F.col("__site").alias("site"), F.col("__path").alias("path"), F.col(own).alias("good")))
     table = materialise(table, "quality-sites").select(
         F.col("site").alias("__site"), F.col("path").alias("__path"),
@@ -221,7 +231,7 @@ def judge(docs: DataFrame, model: Evidence, site: Column, path: Column, own: str
     shift = F.least(F.lit(_SHIFT_MOST), F.greatest(F.lit(-_SHIFT_MOST), _logit(others) - _logit(s["overall"])))
     odds = _logit(F.col(own)) + shift
     return (
-        with_evidence(placed, model, own).join(table, ["__site", "__path"])
+        scored.join(table, ["__site", "__path"])
         .withColumn("site_posterior", others).withColumn("posterior", 1 / (1 + F.exp(-odds)))
         .withColumn("keep", F.col("posterior") >= KEEP)
         .select(*given.columns, own, "site_posterior", "posterior", "keep")

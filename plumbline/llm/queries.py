@@ -126,7 +126,7 @@ def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
-    judged = quality.judge(docs, model, F.col("source"), F.col("lang"))
+    judged = quality.judge(docs, model, F.col("source"), F.col("lang"), keep_text=False)
     return judged.select("doc_id", "good", "site_posterior", "posterior", "keep")
 
 
