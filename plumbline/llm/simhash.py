@@ -226,7 +226,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = materialise(near_groups(docs, radius), "simhash-groups")
     kept = groups.where("doc_id = component_id or doc_id is null").groupBy("doc_id").count()
     kept = materialise(kept.withColumnRenamed("doc_id", "__kept_id"), "simhash-kept")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    # The ids grow with the documents: a merge join at every size, so that cost grows evenly.
+    joined = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     if kept.where("__kept_id is not null and count > 1").head(1):
         with_id = joined.where("doc_id is not null").dropDuplicates(["doc_id"])
         return with_id.unionByName(joined.where("doc_id is null"))
