@@ -10,7 +10,7 @@ from plumbline.session import materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 4_000
 SEED = "mix"
 
 
@@ -109,6 +109,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
         F.first("epochs").alias("__mix_epochs"),
         F.min(F.when(F.col("part") < F.col("size"), F.struct(order.alias("at"), "part"))).alias("__mix_cut"),
     ).withColumn("__mix_of", present(F.col("source"))).drop("source")
+    # One row per source: written first, so that its size is known when the join is planned.
+    cuts = materialise(cuts, "mix-cuts")
     size = word_count(F.col("text"))
     here = F.struct(_key(F.col("doc_id")).alias("key"), size.alias("size"), F.xxhash64("text").alias("digest"))
     marked = docs.withColumns({"__mix_of": present(F.col("source")), "__mix_here": here}).join(cuts, "__mix_of")
