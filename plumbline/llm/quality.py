@@ -23,6 +23,7 @@ KEEP = 0.5
 _ROUNDS = 300
 _STRENGTH_MOST = 1e6
 _SHIFT_MOST = 2.0
+_HALF = 1 << 31  # hashes are kept as signed 32-bit numbers
 # Upper case to lower, and ASCII punctuation to blanks, in UTF-8 bytes.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and chr(b) in ".,!?;:\"'()[]{}" else b for b in range(256))
 
@@ -52,7 +53,7 @@ def features(text: str | None) -> tuple[list[float], set[int]]:
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     plain = Counter(data.translate(_PLAIN).split())
-    return shape(data, Counter(words), words), set(map(zlib.crc32, plain))
+    return shape(data, Counter(words), words), {zlib.crc32(w) - _HALF for w in plain}
 
 
 @dataclass(frozen=True)
@@ -99,17 +100,21 @@ def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, words: int) -
     return np.flatnonzero(g > 2 * np.log(max(2, words)))
 
 
-def _fit_head(shapes: np.ndarray, hashed: list[np.ndarray], truth: np.ndarray) -> Head:
-    """Logistic regression with a small ridge on shapes and telling words, by Adam over all sampled rows."""
-    known = np.flatnonzero(~np.isnan(truth))
+def _fit_head(shapes: np.ndarray, rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, truth: np.ndarray) -> Head:
+    """Logistic regression with a small ridge on shapes and telling words, by Adam over all sampled rows.
+
+    ``rows`` and ``columns`` are the entries of the matrix of documents and words; ``ids`` names the words.
+    """
+    known = ~np.isnan(truth)
     y = truth[known]
     if not len(y) or y.min() == y.max():
         return Head(1e-3 if not len(y) or y.max() == 0 else 1 - 1e-3, None, {})
     x = shapes[known]
-    rows = np.repeat(np.arange(len(known)), [len(hashed[i]) for i in known])
-    ids, columns = np.unique(np.concatenate([hashed[i] for i in known]), return_inverse=True)
+    if not known.all():
+        use = known[rows]
+        rows, columns = (np.cumsum(known, dtype=np.int32) - 1)[rows[use]], columns[use]
     telling = _telling(rows, columns, y, len(ids))
-    place = np.full(len(ids), -1)
+    place = np.full(len(ids), -1, np.int32)
     place[telling] = np.arange(len(telling))
     use = place[columns] >= 0
     rows, columns = rows[use], place[columns[use]]
@@ -145,16 +150,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
             found = [features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).cast(pa.float64()), batch.column(2).cast(pa.float64()),
-                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([list(h) for _, h in found], pa.list_(pa.int64()))],
+                 pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([list(h) for _, h in found], pa.list_(pa.int32()))],
                 names=["quality", "toxic", "shapes", "hashed"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").mapInArrow(
-        run, "quality double, toxic double, shapes array<double>, hashed array<long>").toArrow()
+        run, "quality double, toxic double, shapes array<double>, hashed array<int>").toArrow()
     quality, toxic = (rows[name].to_numpy().astype(float) for name in ("quality", "toxic"))
     shapes = rows["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
     lists = rows["hashed"].combine_chunks()
-    hashed = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
-    return Evidence(_fit_head(shapes, hashed, np.where(np.isnan(quality), np.nan, quality == 0)), _fit_head(shapes, hashed, toxic))
+    ids, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    entries = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()), columns.astype(np.int32), ids
+    junk = np.where(np.isnan(quality), np.nan, quality == 0)
+    return Evidence(_fit_head(shapes, *entries, junk), _fit_head(shapes, *entries, toxic))
 
 
 def with_evidence(docs: DataFrame, model: Evidence, out: str) -> DataFrame:

@@ -56,6 +56,15 @@ def test_quality_of_odd_rows(spark):
     assert quality.judge(df.where("false"), untaught, F.col("source"), F.col("path")).collect() == []
 
 
+def test_quality_with_and_without_the_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    args = docs, model, F.col("source"), F.col("lang")
+    whole, narrow = quality.judge(*args), quality.judge(*args, keep_text=False)
+    assert "text" in whole.columns and "text" not in narrow.columns
+    assert sorted(whole.select("doc_id", "posterior").collect()) == sorted(narrow.select("doc_id", "posterior").collect())
+
+
 def plain_nearest(rows, k):
     """rows: (id, vector); per query id divisible by 20 the k best."""
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8
