@@ -27,6 +27,7 @@ from plumbline.llm.common import partitions
 LENGTH = 50
 _GRAM = 16
 _FINE_GRAM = 32
+_ANCHOR_BYTES = 6
 _CHUNK = 1 << 15
 _SHARD_BYTES = (4 << 20, 128 << 20)
 _BUCKET_BYTES = (32 << 20, 512 << 20)
@@ -287,6 +288,18 @@ def _rows(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarra
     return order, np.array([_NOBODY if ids[i] is None else ids[i] for i in order], np.int64), data, starts
 
 
+def _short(anchor: np.ndarray) -> bytes:
+    """The lower six bytes of each anchor. With the bucket, which mixes all eight, that is enough to
+    keep chance meetings rare; a chance meeting costs a comparison and changes no result."""
+    return np.ascontiguousarray(anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_ANCHOR_BYTES]).tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // _ANCHOR_BYTES, 8), np.uint8)
+    out[:, :_ANCHOR_BYTES] = np.frombuffer(short, np.uint8).reshape(-1, _ANCHOR_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((_mix(anchor) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
@@ -320,7 +333,7 @@ def _list_anchors(length: int, buckets: int):
         anchor = anchor[at]
         bucket = _bucket_of(anchor, buckets)
         by = np.argsort(bucket, kind="stable")
-        rows = [(b, shard, a.tobytes(), np.packbits(s).tobytes()) for b, a, s in _split(bucket[by], anchor[by], several[by])]
+        rows = [(b, shard, _short(a), np.packbits(s).tobytes()) for b, a, s in _split(bucket[by], anchor[by], several[by])]
         return _table(rows, names, types)
 
     names, types = ["bucket", "shard", "anchors", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -329,7 +342,7 @@ def _list_anchors(length: int, buckets: int):
 
 def _find_repeated(table: pa.Table) -> pa.Table:
     """Step 2, a bucket: of every shard the anchors that stand in several documents somewhere."""
-    lists = [np.frombuffer(a, "<u8") for a in table["anchors"].to_pylist()]
+    lists = [_long(a) for a in table["anchors"].to_pylist()]
     flags = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(a)).astype(bool) for s, a in zip(table["several"].to_pylist(), lists)]
     every = np.sort(np.concatenate(lists))
     twice = every[1:][every[1:] == every[:-1]]
@@ -339,17 +352,18 @@ def _find_repeated(table: pa.Table) -> pa.Table:
         at = np.searchsorted(repeated, anchors)
         found = anchors[(at < len(repeated)) & (repeated[np.minimum(at, len(repeated) - 1)] == anchors)] if len(repeated) else anchors[:0]
         if len(found):
-            rows.append((shard, found.tobytes()))
+            rows.append((shard, _short(found)))
     return _table(rows, ["shard", "anchors"], [pa.int64(), pa.binary()])
 
 
 def _candidates(table: pa.Table, lists: pa.Table, length: int):
     """Units of a shard whose anchor repeats, grouped by equal strings, in a fixed order."""
     order, ids, data, starts = _rows(table)
-    known = np.sort(np.concatenate([np.frombuffer(a, "<u8") for a in lists["anchors"].to_pylist()] or [np.empty(0, np.uint64)]))
+    known = np.sort(np.concatenate([_long(a) for a in lists["anchors"].to_pylist()] or [np.empty(0, np.uint64)]))
     units = _units(data, starts, length)
-    at = np.minimum(np.searchsorted(known, units.anchor), max(0, len(known) - 1))
-    units = units.take(known[at] == units.anchor if len(known) else np.zeros(len(units.anchor), bool))
+    sent = units.anchor & np.uint64((1 << 8 * _ANCHOR_BYTES) - 1)
+    at = np.minimum(np.searchsorted(known, sent), max(0, len(known) - 1))
+    units = units.take(known[at] == sent if len(known) else np.zeros(len(sent), bool))
     hashed = _hashes(data, units.first, units.count + length - 1, 2 * length - _GRAM) if len(units.first) else units.anchor
     by, groups = _distinct(units.anchor, hashed)
     return order, ids, data, starts, units.take(by), groups
@@ -373,7 +387,7 @@ def _send_units(length: int, buckets: int):
         for b, i in _split(bucket[by], by):
             first, count = one.first[i], one.count[i]
             strings = b"".join(raw[s:e] for s, e in zip(first.tolist(), (first + count + length - 1).tolist()))
-            rows.append((b, key[0].as_py(), one.anchor[i].tobytes(), pack(least[i].tobytes()), pack(i.astype(np.int32).tobytes()),
+            rows.append((b, key[0].as_py(), _short(one.anchor[i]), pack(least[i].tobytes()), pack(i.astype(np.int32).tobytes()),
                          pack(count.astype(np.uint8).tobytes()), pack(strings)))
         return _table(rows, names, types)
 
@@ -392,11 +406,11 @@ def _merge_bucket(length: int):
             return b"".join(map(unpack, table[name].to_pylist()))
 
         lists = table["anchors"].to_pylist()
-        anchor, count = np.frombuffer(b"".join(lists), "<u8"), np.frombuffer(flat("counts"), np.uint8).astype(np.int64)
+        anchor, count = _long(b"".join(lists)), np.frombuffer(flat("counts"), np.uint8).astype(np.int64)
         owner, number = np.frombuffer(flat("owners"), "<i8"), np.frombuffer(flat("numbers"), "<i4")
         raw = flat("strings")
         data = np.frombuffer(raw, np.uint8)
-        source = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in lists])
+        source = np.repeat(np.arange(table.num_rows), [len(x) // _ANCHOR_BYTES for x in lists])
         size = count + length - 1
         first = np.cumsum(size) - size
         by, groups = _distinct(anchor, _hashes(data, first, size, 2 * length - _GRAM))
@@ -530,7 +544,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     neither smaller nor larger than any: such rows stay whole and remove nothing. No rows give
     no rows. ``length`` is 24 to 250.
 
-    Texts are shuffled once, to shards by a hash, so copies spread evenly; anchors travel as eight
+    Texts are shuffled once, to shards by a hash, so copies spread evenly; anchors travel as six
     bytes, candidate units once. Inside a shard equal units are one with their least document, so
     a passage in a third of all documents reaches its bucket as one unit per shard and context.
     """
