@@ -31,6 +31,8 @@ _ANCHOR_BYTES = 6
 _CHUNK = 1 << 15
 _SHARD_BYTES = (4 << 20, 128 << 20)
 _BUCKET_BYTES = (32 << 20, 512 << 20)
+# An anchor that stands in more shards than this is replaced by much longer ones.
+_HOT_SHARDS = 256
 _MERGED_SHARDS = 4
 _SORT_BYTES = 1 << 16
 _MERGE_BYTES = 1 << 19
@@ -340,30 +342,64 @@ def _list_anchors(length: int, buckets: int):
     return run
 
 
-def _find_repeated(table: pa.Table) -> pa.Table:
-    """Step 2, a bucket: of every shard the anchors that stand in several documents somewhere."""
+def _find_repeated(table: pa.Table, hot_shards: int) -> pa.Table:
+    """Step 2, a bucket: of every shard the anchors that stand in several documents, and which are hot."""
+    bucket = table["bucket"][0].as_py()
     lists = [_long(a) for a in table["anchors"].to_pylist()]
     flags = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(a)).astype(bool) for s, a in zip(table["several"].to_pylist(), lists)]
-    every = np.sort(np.concatenate(lists))
-    twice = every[1:][every[1:] == every[:-1]]
-    repeated = np.unique(np.concatenate([twice, *(a[f] for a, f in zip(lists, flags))]))
+    every, times = np.unique(np.concatenate(lists), return_counts=True)
+    flagged = np.concatenate([a[f] for a, f in zip(lists, flags)])
+    repeated = (times > 1) | np.isin(every, flagged)
     rows = []
     for shard, anchors in zip(table["shard"].to_pylist(), lists):
-        at = np.searchsorted(repeated, anchors)
-        found = anchors[(at < len(repeated)) & (repeated[np.minimum(at, len(repeated) - 1)] == anchors)] if len(repeated) else anchors[:0]
-        if len(found):
-            rows.append((shard, _short(found)))
-    return _table(rows, ["shard", "anchors"], [pa.int64(), pa.binary()])
+        at = np.searchsorted(every, anchors)
+        mine = repeated[at]
+        if mine.any():
+            rows.append((shard, bucket, _short(anchors[mine]), np.packbits(times[at[mine]] > hot_shards).tobytes()))
+    return _table(rows, ["shard", "bucket", "anchors", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
 
-def _candidates(table: pa.Table, lists: pa.Table, length: int):
+def _with_longer_anchors(units: Units, hot: np.ndarray, data: np.ndarray, length: int) -> Units:
+    """Units of hot anchors cut again, by the least hash of grams almost as long as a window.
+
+    Equal windows have equal anchors of either length, so they still meet, but a crowd around one
+    short string is dealt out by what stands beside it; its equal windows are equal units.
+    """
+    if not hot.any():
+        return units
+    crowd, rest = units.take(hot), units.take(~hot)
+    raw = data.tobytes()
+    ends = crowd.first + crowd.count + length - 1
+    inner, starts = _lay([raw[s:e] for s, e in zip(crowd.first.tolist(), ends.tolist())])
+    cut = _units(inner, starts, length, length // 8 * 8)
+    cut = Units(crowd.first[cut.row] + cut.first - starts[cut.row], cut.count, cut.anchor, crowd.row[cut.row])
+    return Units(*(np.concatenate([getattr(rest, n), getattr(cut, n)]) for n in ("first", "count", "anchor", "row")))
+
+
+def _listed(anchor: np.ndarray, lists: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors a shard's lists hold, and which of them are hot; compared bucket by bucket, as sent."""
+    found, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
+    bucket = _bucket_of(anchor, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, sent = bucket[order], (anchor & np.uint64((1 << 8 * _ANCHOR_BYTES) - 1))[order]
+    for b, short, flags in zip(lists["bucket"].to_pylist(), lists["anchors"].to_pylist(), lists["hot"].to_pylist()):
+        known = _long(short)
+        by = np.argsort(known, kind="stable")
+        known, crowded = known[by], np.unpackbits(np.frombuffer(flags, np.uint8), count=len(known))[by].astype(bool)
+        lo, hi = np.searchsorted(bucket, [b, b + 1])
+        at = np.minimum(np.searchsorted(known, sent[lo:hi]), len(known) - 1)
+        same = known[at] == sent[lo:hi]
+        found[order[lo:hi]] = same
+        hot[order[lo:hi]] = same & crowded[at]
+    return found, hot
+
+
+def _candidates(table: pa.Table, lists: pa.Table, length: int, buckets: int):
     """Units of a shard whose anchor repeats, grouped by equal strings, in a fixed order."""
     order, ids, data, starts = _rows(table)
-    known = np.sort(np.concatenate([_long(a) for a in lists["anchors"].to_pylist()] or [np.empty(0, np.uint64)]))
     units = _units(data, starts, length)
-    sent = units.anchor & np.uint64((1 << 8 * _ANCHOR_BYTES) - 1)
-    at = np.minimum(np.searchsorted(known, sent), max(0, len(known) - 1))
-    units = units.take(known[at] == sent if len(known) else np.zeros(len(sent), bool))
+    found, hot = _listed(units.anchor, lists, buckets)
+    units = _with_longer_anchors(units.take(found), hot[found], data, length)
     hashed = _hashes(data, units.first, units.count + length - 1, 2 * length - _GRAM) if len(units.first) else units.anchor
     by, groups = _distinct(units.anchor, hashed)
     return order, ids, data, starts, units.take(by), groups
@@ -375,7 +411,7 @@ def _send_units(length: int, buckets: int):
     def run(key, table: pa.Table, lists: pa.Table) -> pa.Table:
         if not table.num_rows or not lists.num_rows:
             return _table([], names, types)
-        _, ids, data, _, units, groups = _candidates(table, lists, length)
+        _, ids, data, _, units, groups = _candidates(table, lists, length, buckets)
         if not len(groups):
             return _table([], names, types)
         least = np.minimum.reduceat(ids[units.row], groups)
@@ -482,14 +518,14 @@ def _spans(length: int, ids: np.ndarray, starts: np.ndarray, units: Units, group
     return np.cumsum(covered)[:size] > 0
 
 
-def _cut(length: int, schema: pa.Schema, whole_characters: bool):
+def _cut(length: int, buckets: int, schema: pa.Schema, whole_characters: bool):
     """Step 5, a shard: the rows with what is left of their bytes and the removed runs."""
 
     def run(key, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
         lists = table_of(told, "anchors")
-        order, ids, data, starts, units, groups = _candidates(table, lists, length)
+        order, ids, data, starts, units, groups = _candidates(table, lists, length, buckets)
         removed = _spans(length, ids, starts, units, groups, table_of(told, "numbers"), len(data))
         raw, texts = data.tobytes(), table["__text"].to_pylist()
         kept, spans, sizes = [None] * len(order), [None] * len(order), [0] * len(order)
@@ -557,9 +593,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     base = docs.select(
         *others, F.col("doc_id").cast("long").alias("__id"), F.encode("text", "UTF-8").alias("__text"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("__shard"))
+    hot_shards = _HOT_SHARDS
+
+    def find(table: pa.Table) -> pa.Table:
+        return _find_repeated(table, hot_shards)
+
     lists = (
         base.groupBy("__shard").applyInArrow(_list_anchors(length, buckets), "bucket long, shard long, anchors binary, several binary")
-        .groupBy("bucket").applyInArrow(_find_repeated, "shard long, anchors binary"))
+        .groupBy("bucket").applyInArrow(find, "shard long, bucket long, anchors binary, hot binary"))
     sent = base.groupBy("__shard").cogroup(lists.groupBy("shard")).applyInArrow(
         _send_units(length, buckets),
         "bucket long, shard long, anchors binary, owners binary, numbers binary, counts binary, strings binary")
@@ -575,4 +616,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                            T.StructField("spans", T.ArrayType(T.StructType(
                                [T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
     return base.groupBy("__shard").cogroup(both.groupBy("shard")).applyInArrow(
-        _cut(length, schema, whole_characters), result)
+        _cut(length, buckets, schema, whole_characters), result)

@@ -68,8 +68,9 @@ def odd_texts(seed=8):
     return rows
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 2000])
-def test_repeats_match_plain_version(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, hot_shards", [(1 << 20, 256), (2000, 256), (2000, 1), (1 << 20, 0)])
+def test_repeats_match_plain_version(spark, monkeypatch, shard_bytes, hot_shards):
+    monkeypatch.setattr(repeats, "_HOT_SHARDS", hot_shards)
     monkeypatch.setattr(repeats, "_SHARD_BYTES", (shard_bytes, shard_bytes))
     monkeypatch.setattr(repeats, "_SORT_BYTES", 3000)
     rows = odd_texts()
