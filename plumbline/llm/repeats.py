@@ -3,10 +3,10 @@
 The texts are cut into shards. Every window of ``length`` bytes has an anchor, the least hash of the
 16-byte strings inside it; equal windows have equal anchors, so neighbouring windows of one anchor
 form a unit, and only units whose anchor stands in several documents can repeat. Those units meet in
-buckets by anchor. In a bucket the units of every shard that share a longer anchor with another unit become a Burrows-Wheeler
-transform; the transforms are merged by refining their interleave one byte at a time, and after
-``length`` rounds the blocks of the interleave are the repeated intervals: all windows of equal bytes
-side by side, whatever document, shard or unit they come from.
+buckets by anchor. In a bucket, the units of every shard that share a longer anchor with another unit
+become a Burrows-Wheeler transform; the transforms are merged by refining their interleave one byte at
+a time, and after ``length`` rounds the blocks of the interleave are the repeated intervals: all windows
+of equal bytes side by side, whatever document, shard or unit they come from.
 """
 
 from __future__ import annotations
@@ -573,7 +573,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     A byte goes if a string of ``length`` bytes over it also starts in a document of smaller doc_id;
     all is judged on the texts as given. Reads doc_id (an integer) and text; the text column gives way
     to kept (binary, the bytes that stay), n_bytes and spans (array of start, length: the removed
-    runs), other columns stay. ``whole_characters`` narrows runs to whole UTF-8 characters, so
+    runs), other columns stay, but for any of these names. ``whole_characters`` narrows runs to whole UTF-8 characters, so
     that kept is text.
 
     Null and short texts stay whole. Rows of one id do not remove from each other, and a null id is
@@ -586,6 +586,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     """
     if not 24 <= length <= 250:
         raise ValueError("length must be 24 to 250")
+    docs = docs.drop("kept", "n_bytes", "spans")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // min(_SHARD_BYTES[1], max(_SHARD_BYTES[0], total // 4096))))
     buckets = max(partitions(docs.sparkSession), -(-total // min(_BUCKET_BYTES[1], max(_BUCKET_BYTES[0], total // 1024))))

@@ -74,7 +74,7 @@ def test_repeats_match_plain_version(spark, monkeypatch, shard_bytes, hot_shards
     monkeypatch.setattr(repeats, "_SHARD_BYTES", (shard_bytes, shard_bytes))
     monkeypatch.setattr(repeats, "_SORT_BYTES", 3000)
     rows = odd_texts()
-    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, shard string, owners int")
+    df = spark.createDataFrame([(i, t, "x", 5, 1) for i, t in rows], "doc_id long, text string, shard string, owners int, spans int")
     want = brute.repeats(rows)
     found = repeats.remove_repeats(df).withColumn("sha", F.sha2("kept", 256)).collect()
     assert len(found) == len(rows)
