@@ -18,7 +18,7 @@ ROWS_PER_LIST = 2_048
 MOST_LISTS = 4_096
 RECALL = 0.98
 # Width of the error bound in standard deviations of the one-bit estimate.
-ERROR_WIDTH = 3.0
+ERROR_WIDTH = 5.0
 _SHARD_ROWS = 8_192
 _SHARD_QUERIES = 2_048
 
@@ -30,6 +30,18 @@ class Index:
     centres: np.ndarray
     rotation: np.ndarray
     probes: int
+    sample_ids: np.ndarray
+    sample: np.ndarray
+
+    def floor(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """For every query a score that its k-th nearest reaches: the k-th best among the sample."""
+        out = np.full(len(queries), -np.inf)
+        if len(self.sample) > k:
+            for at in range(0, len(queries), 256):
+                scores = queries[at:at + 256] @ self.sample.T
+                scores[query_ids[at:at + 256, None] == self.sample_ids[None]] = -np.inf
+                out[at:at + 256] = np.partition(scores, -k, axis=1)[:, -k]
+        return out - 1e-9 * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
 
 
 def usable(vector: Column) -> Column:
@@ -84,7 +96,8 @@ def fit(rows: DataFrame, k: int = K, seed: int = 11) -> Index:
     """
     n = rows.count()
     ranked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, 2 * SAMPLE_ROWS / max(n, 1))))
-    sample = _matrix(ranked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow().column(0).combine_chunks())
+    chosen = ranked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "vector").toArrow()
+    sample_ids, sample = chosen["vec_id"].to_numpy(), _matrix(chosen["vector"].combine_chunks())
     d = sample.shape[1]
     lists = max(1, min(MOST_LISTS, n // ROWS_PER_LIST, len(sample) // 8))
     centres = _centres(sample, lists)
@@ -106,7 +119,7 @@ def fit(rows: DataFrame, k: int = K, seed: int = 11) -> Index:
     true = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "list").toArrow()
     rank = np.argsort(np.argsort(-(queries @ centres.T), axis=1), axis=1)
     needed = np.sort(rank[true.column(0).to_numpy(), true.column(1).to_numpy()])
-    return Index(centres, rotation, int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1)
+    return Index(centres, rotation, int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1, sample_ids, sample)
 
 
 def encode(rows: DataFrame, index: Index) -> DataFrame:
@@ -150,7 +163,8 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
     """The ``k`` rows of largest inner product found for every query, the query's own id left out.
 
     ``queries`` and ``rows`` have vec_id and vector. Queries travel to the lists they probe; lists
-    of many rows or many queries are split into blocks. In a block the codes give an estimate and a
+    of many rows or many queries are split into blocks. The sample of the fit gives every query a score
+    that its k-th nearest must reach, so blocks far away report nothing. In a block the codes give an estimate and a
     bound for every row; rows that may reach the k-th best lower bound are scored exactly, in
     doubles. Blocks report their k best and the best of all blocks are the result: query_id,
     rank, vec_id, score; ties go to the smaller vec_id. No usable rows give no result.
@@ -161,16 +175,18 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
 
     def route(batches):
         for batch in batches:
-            order = np.argsort(-(_matrix(batch.column(1)) @ index.centres.T), axis=1, kind="stable")
+            x = _matrix(batch.column(1))
+            order = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")
+            floor = index.floor(batch.column(0).to_numpy(zero_copy_only=False), x, k)
             enough = (np.cumsum(held[order], axis=1) <= k + 1).sum(axis=1) + 1
             probes = [row[:max(index.probes, n)] for row, n in zip(order, enough)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([p[held[p] > 0] for p in probes], pa.list_(pa.int32()))],
-                names=["query_id", "query", "lists"])
+                [batch.column(0), batch.column(1), pa.array([p[held[p] > 0] for p in probes], pa.list_(pa.int32())), pa.array(floor)],
+                names=["query_id", "query", "lists", "floor"])
 
     key = rows.schema["vec_id"].dataType.simpleString()
-    routed = queries.select("vec_id", "vector").mapInArrow(route, f"query_id {key}, query array<double>, lists array<int>")
-    routed = materialise(routed.select("query_id", "query", F.explode("lists").alias("list")), "routed")
+    routed = queries.select("vec_id", "vector").mapInArrow(route, f"query_id {key}, query array<double>, lists array<int>, floor double")
+    routed = materialise(routed.select("query_id", "query", "floor", F.explode("lists").alias("list")), "routed")
     asked = {r["list"]: r["n"] for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     shards = [(i, -(-sizes[i] // _SHARD_ROWS), -(-n // _SHARD_QUERIES)) for i, n in asked.items()]
 
@@ -182,7 +198,7 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
         F.explode(F.sequence(F.lit(0), F.col("q_shards") - 1)).alias("q"), "vec_id", "vector", "code", "norm", "align")
     right = routed.join(split(), "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("r_shards") - 1)).alias("r"),
-        F.pmod(F.xxhash64("query_id", F.lit(2)), "q_shards").cast("int").alias("q"), "query_id", "query")
+        F.pmod(F.xxhash64("query_id", F.lit(2)), "q_shards").cast("int").alias("q"), "query_id", "query", "floor")
 
     def block(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -192,13 +208,15 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             norm, align = rows["norm"].to_numpy(), rows["align"].to_numpy()
             centre = index.centres[rows["list"][0].as_py()]
-            for query_id, q in zip(asked["query_id"].to_pylist(), _matrix(asked["query"].combine_chunks())):
+            floors = asked["floor"].to_numpy()
+            for query_id, known, q in zip(asked["query_id"].to_pylist(), floors, _matrix(asked["query"].combine_chunks())):
                 guess, bound = estimate(codes, norm, align, index.rotation @ q, float(q @ centre))
                 other = ids != query_id
                 low = np.where(other, guess - bound, -np.inf)
-                floor = np.partition(low, -k)[-k] if len(low) > k else -np.inf
+                floor = max(known, np.partition(low, -k)[-k] if len(low) > k else -np.inf)
                 maybe = np.flatnonzero(other & (guess + bound >= floor))
                 scores = _inner(x[maybe], q)
+                maybe, scores = maybe[scores >= known], scores[scores >= known]
                 for i in _best(scores, ids[maybe], k):
                     out.append((query_id, ids[maybe[i]], scores[i]))
         columns = list(zip(*out)) or [[], [], []]
