@@ -33,13 +33,18 @@ class Index:
     sample_ids: np.ndarray
     sample: np.ndarray
 
-    def floor(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-        """For every query a score that its k-th nearest reaches: the k-th best among the sample."""
+    def floor(self, query_ids: np.ndarray, queries: np.ndarray, probes: list[np.ndarray], k: int) -> np.ndarray:
+        """For every query a score that k rows of its probed lists reach: the k-th best of the sample there."""
         out = np.full(len(queries), -np.inf)
+        where = _nearest_list(self.sample, self.centres)
+        probed = np.zeros((len(queries), len(self.centres)), bool)
+        for i, lists in enumerate(probes):
+            probed[i, lists] = True
         if len(self.sample) > k:
             for at in range(0, len(queries), 256):
                 scores = queries[at:at + 256] @ self.sample.T
                 scores[query_ids[at:at + 256, None] == self.sample_ids[None]] = -np.inf
+                scores[~probed[at:at + 256][:, where]] = -np.inf
                 out[at:at + 256] = np.partition(scores, -k, axis=1)[:, -k]
         return out - 1e-9 * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
 
@@ -177,9 +182,9 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
         for batch in batches:
             x = _matrix(batch.column(1))
             order = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")
-            floor = index.floor(batch.column(0).to_numpy(zero_copy_only=False), x, k)
             enough = (np.cumsum(held[order], axis=1) <= k + 1).sum(axis=1) + 1
             probes = [row[:max(index.probes, n)] for row, n in zip(order, enough)]
+            floor = index.floor(batch.column(0).to_numpy(zero_copy_only=False), x, probes, k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([p[held[p] > 0] for p in probes], pa.list_(pa.int32())), pa.array(floor)],
                 names=["query_id", "query", "lists", "floor"])
@@ -213,7 +218,7 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int = K) -> Dat
                 guess, bound = estimate(codes, norm, align, index.rotation @ q, float(q @ centre))
                 other = ids != query_id
                 low = np.where(other, guess - bound, -np.inf)
-                floor = max(known, np.partition(low, -k)[-k] if len(low) > k else -np.inf)
+                floor = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                 maybe = np.flatnonzero(other & (guess + bound >= floor))
                 scores = _inner(x[maybe], q)
                 maybe, scores = maybe[scores >= known], scores[scores >= known]
