@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Expired
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -23,7 +23,7 @@ from plumbline.operators.split import with_row_id
 from plumbline.operators.target import pick_target
 from plumbline.plans.audits import fairness_audit, profile_audit, quality_audit
 from plumbline.session import materialise
-from plumbline.sources.readers import extension, load_table, pick_file
+from plumbline.sources.readers import extension, load_table, pick_file, table_files
 from plumbline.sources.sinks import tidy
 
 # Defaults of a manifest entry.
@@ -44,15 +44,24 @@ STATUS_SCHEMA = "dataset string, part string, status string, detail string"
 
 @dataclass(frozen=True)
 class Entry:
-    """One dataset of a manifest."""
+    """One dataset of a manifest.
+
+    Without a file number a folder is one table. Entries compare as if they named the first file
+    then; ``place`` is what they compare by.
+    """
 
     location: str
     target: str
-    file_number: int = DEFAULT_FILE
+    file_number: int | None = field(default=None, compare=False)
     model: str = next(iter(MODEL_REGISTRY))
     timeout: int = DEFAULT_TIMEOUT
     platform: str = ""
     row_id: str | None = None
+    place: int = field(init=False, repr=False, default=DEFAULT_FILE)
+
+    def __post_init__(self) -> None:
+        if self.file_number is not None:
+            object.__setattr__(self, "place", self.file_number)
 
 
 def read_manifest(text: str) -> tuple[list[Entry], list[tuple[str, str]]]:
@@ -69,8 +78,9 @@ def read_manifest(text: str) -> tuple[list[Entry], list[tuple[str, str]]]:
         elif model not in MODEL_REGISTRY:
             bad.append((location, f"invalid model {model!r}"))
         else:
+            number = settings.get("no_dataset")
             good.append(Entry(
-                location, target, int(settings.get("no_dataset", DEFAULT_FILE)), model,
+                location, target, None if number is None else int(number), model,
                 int(settings.get("timeout", DEFAULT_TIMEOUT)), str(settings.get("platform", "")),
                 settings.get("row_id"),
             ))
@@ -160,9 +170,10 @@ def audit_dataset(
 
 def _load(spark: SparkSession, entry: Entry) -> DataFrame:
     """The dataset; text formats are parsed once and kept as Parquet for the many passes."""
-    path = pick_file(spark, entry.location, entry.file_number)
-    df = load_table(spark, path)
-    return df if extension(path) == ".parquet" else materialise(df, "input")
+    number = entry.file_number
+    files = table_files(spark, entry.location)[0] if number is None else [pick_file(spark, entry.location, number)]
+    df = load_table(spark, entry.location, number=number)
+    return df if extension(files[0]) == ".parquet" else materialise(df, "input")
 
 
 def _short(error: BaseException) -> str:
