@@ -104,19 +104,28 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "signature") ->
     return with_signature(docs, text, out)
 
 
+def _id_range(docs: DataFrame) -> Column:
+    """Number of the range of ids a row is in: ranges of about equally many rows, null ids last."""
+    n = docs.count()
+    blocks = min(_MOST_BLOCKS, max(4 * partitions(docs.sparkSession), n // _ROWS_PER_BLOCK))
+    shares = [i / blocks for i in range(1, blocks)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 8 * blocks)).first()[0] if n and shares else None
+    cuts = sorted(set(cuts or []))
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>") if cuts else F.array().cast("array<long>")
+    steps = F.array(*[F.lit(1 << j) for j in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array().cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(found).cast("long")
+
+
 def next_document(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Columns of the document that follows in doc_id order, as ``next_<column>``; after the last: the first.
 
-    Null ids come last; rows of equal id are ordered by the text's digest. Ids are cut into equal
-    ranges (at most 65,536), each is sorted on its own, and the first row of every range is also
+    Null ids come last; rows of equal id are ordered by the text's digest. Ids are cut at
+    their quantiles into ranges (at most 65,536), each is sorted on its own, and the first row of every range is also
     lent to the range before it, found in a table of one row per range.
     """
-    spark = docs.sparkSession
-    facts = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    blocks = min(_MOST_BLOCKS, max(4 * partitions(spark), facts["n"] // _ROWS_PER_BLOCK))
-    low, high = facts["lo"] or 0, facts["hi"] or 0
-    width = (high - low) // blocks + 1
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(blocks))
+    block = _id_range(docs)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
     placed = docs.withColumns({"__next_block": block, "__next_at": order})
     ranges = placed.groupBy("__next_block").agg(F.min("__next_at").alias("__next_first"))
