@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    chat, fingerprints, language, mixing, neighbours, packing, quality, repeats, resampling, simhash, tokens)
+    chat, fingerprints, language, mixing, neighbours, packing, quality, repeats, resampling, simhash, tokens,
+    vector_codes)
 from plumbline.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +175,46 @@ FROM placed
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return resampling.resample(docs, table(spark, sf_dir, "benchmark", "text"))
+
+
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """K-means of every part, round by round."""
+
+    def assigned(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, p, entry, d FROM (
+    SELECT vec_id, p.part, p, entry, list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i])))::BIGINT AS d
+    FROM parts p JOIN b{r} b ON p.part = b.part)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)"""
+
+    def means(r: int) -> str:
+        return f"""
+s{r} AS (
+  SELECT part, entry, pos, sum(p[pos])::BIGINT AS s, count(*) AS n
+  FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS pos FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM s{r} GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))"""
+
+    return """
+WITH kept AS (
+  SELECT vec_id, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')),
+comps AS (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM kept),
+parts AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(e) // 8) AS part, list(floor(4096 * e[i]::DOUBLE)::BIGINT ORDER BY i) AS p FROM comps GROUP BY ALL),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p AS c FROM parts
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16),""" + ",".join(
+        [assigned(r) + "," + means(r) for r in range(rounds)] + [assigned(rounds)]) + f""",
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN embeddings USING (vec_id)
+"""
+
+
+@query(_vector_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).drop("label")
