@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    chat, fingerprints, language, mixing, neighbours, packing, quality, repeats, resampling, simhash, tokens,
-    vector_codes)
+    chat, fingerprints, jaccard, language, mixing, neighbours, packing, quality, repeats, resampling, simhash,
+    tokens, vector_codes)
 from plumbline.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,3 +218,8 @@ FROM coded JOIN embeddings USING (vec_id)
 @query(_vector_codes_sql())
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).drop("label")
+
+
+@query()
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents", "doc_id", "text"))

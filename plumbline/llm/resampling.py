@@ -122,7 +122,7 @@ def kth_key(rows: DataFrame, order: list[str], k: int) -> Column:
         turn += 1
         chance = F.xxhash64(F.lit(turn), *order)
         taken = left.select(*order, chance.alias("__chance")).orderBy("__chance", *order).limit(_PIVOTS).collect()
-        pivots = [lit(r) for r in sorted(taken, key=lambda r: [0 if r[c] is None else r[c] for c in order])]
+        pivots = [lit(r) for r in sorted(taken, key=lambda r: [(r[c] is not None, r[c] if r[c] is not None else 0) for c in order])]
         below = F.size(F.filter(F.array(*pivots), lambda p: p < key))
         counts = left.groupBy(below.alias("below"), F.array_contains(F.array(*pivots), key).alias("at")).count().collect()
         ahead, lower, upper = 0, None, None
