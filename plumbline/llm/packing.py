@@ -60,8 +60,9 @@ def plan_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[
     """Windows of pieces (item, start, length) that hold all items, none above ``capacity``.
 
     Whole windows are cut from the front of longer items. The rests are dealt by differencing
-    into as many windows as their sum fills; the count rises until all fits. What is still above
-    capacity in a window is cut off and fills windows that have room.
+    into as many windows as their sum needs. The windows come out near-equal, not equal: the few
+    ids that one has above capacity are cut off and fill windows that have room, and only if none
+    is left the count rises. So a batch leaves less than one window of padding.
     """
     windows = [[(i, at, capacity)] for i, n in enumerate(sizes) for at in range(0, n - capacity + 1, capacity)]
     rests = [(i, n // capacity * capacity, n % capacity) for i, n in enumerate(sizes) if n % capacity]
@@ -104,8 +105,8 @@ def plan_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``capacity`` ids.
 
-    Reads doc_id and text; other columns are ignored. A document is its token ids and the end id 1;
-    null text is the end id alone. Each task packs its rows as they come, in batches of about a
+    Reads doc_id and text; other columns are ignored. A document is its token ids (added tokens of
+    the vocabulary file by their own ids) and the end id 1; null text is the end id alone. Each task packs its rows as they come, in batches of about a
     thousand documents, so nothing is shuffled; at most one window's worth of padding is left per
     batch. Sequence ids are unique: the task's number and a running one. Returns doc_id, start,
     length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset, sequence_length.
@@ -145,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 names.append(doc_id)
-                bodies.append(np.concatenate([encode(path, text.as_py()), end]))
+                bodies.append(np.concatenate([encode(path, text.as_py(), added=True), end]))
                 held += len(bodies[-1])
                 if len(bodies) >= BATCH_DOCS or held >= BATCH_IDS:
                     yield out()

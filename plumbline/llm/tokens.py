@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END_OF_DOCUMENT = 50256
 BLOCK_IDS = 1 << 18
 _BLOCKS_PER_CHUNK = 1024
+# Runs of white space from this length on are cut out of a text before it is encoded.
+_LONG = 100_000
+_LONG_GAP = regex.compile(r"\p{White_Space}{%d,}" % _LONG)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -50,11 +54,44 @@ def encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(path: str, text: str | None) -> np.ndarray:
-    """Ids of a whole text as uint32; null gives none."""
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> tuple[regex.Pattern | None, dict[str, int]]:
+    """The strings that the vocabulary file gives ids of their own, and those ids."""
+    with open(path, encoding="utf-8") as file:
+        found = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+    names = sorted(found, key=len, reverse=True)
+    return (regex.compile("|".join(map(regex.escape, names))) if names else None), found
+
+
+def _plain(path: str, text: str) -> list[np.ndarray]:
+    """Ids of ordinary text. All but the last character of a long run of white space (all, at the
+    text's end) is one piece by the pattern, and is given to the encoder as such: its own search
+    for the end of the run has a limit."""
+    encoder, out, at = encoding(path), [], 0
+    for run in _LONG_GAP.finditer(text) if len(text) >= _LONG else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(encoder.encode_to_numpy(text[at:run.start()], disallowed_special=()))
+        out.append(np.array(encoder._encode_single_piece(text[run.start():end]), np.uint32))
+        at = end
+    out.append(encoder.encode_to_numpy(text[at:], disallowed_special=()))
+    return out
+
+
+def encode(path: str, text: str | None, added: bool = False) -> np.ndarray:
+    """Ids of a whole text as uint32; null gives none.
+
+    The vocabulary file's added tokens are ordinary text, so that no text can hold a separator; with
+    ``added`` they get their own ids, as the tokenizers library does by default.
+    """
     if not text:
         return np.empty(0, np.uint32)
-    return encoding(path).encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+    pattern, ids = _added(path)
+    parts, at = [], 0
+    for found in pattern.finditer(text) if added and pattern else ():
+        parts += [*_plain(path, text[at:found.start()]), np.array([ids[found.group()]], np.uint32)]
+        at = found.end()
+    parts += _plain(path, text[at:])
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype(np.uint32, copy=False)
 
 
 def write_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -63,7 +100,8 @@ def write_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids: int
     Reads doc_id and text. Every document is its ids and then the separator, end to end; blocks of
     ``block_ids`` little-endian uint16 ids cut the stream anywhere. Rows: stream, block, ids
     (binary) and, for naming the counts afterwards, first_document and doc_ids: the documents that
-    end in this block. Null text is a separator alone. A task holds one block and one document.
+    end in this block. Null text is a separator alone. A task holds one block and one document,
+    however long. A vocabulary with ids beyond 65,535 is an error.
     """
     path = vocabulary or vocabulary_path()
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -91,7 +129,10 @@ def write_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids: int
         for batch in batches:
             kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(path, text.as_py()).astype(np.uint16)
+                ids = encode(path, text.as_py())
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("blocks hold 16-bit ids; this vocabulary has larger ones")
+                ids = ids.astype(np.uint16)
                 waiting += [ids, end]
                 held += len(ids) + 1
                 ends.append((written + held, doc_id))

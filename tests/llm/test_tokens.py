@@ -15,6 +15,10 @@ ODD = ["", " ", "a", "  two  spaces \n\n and\tmore ", "it's we're I'll 's", "<|e
        "x" * 3000, "\r\n 　wide", "\x00\x01", "ÄÖ ß ẞ ĳ ǅ ₂ ½ ٣"]
 
 
+LONG = [" " * 1_000_000, "\n" * 300_000 + "a", "a" + " \t\u3000" * 50_000 + " it's", "a\x1c" + "\u00a0" * 150_000 + "b" + " " * 150_000,
+        "x" * 1_500_000, "end" + " " * 100_000, " " * 99_999 + "<|endoftext|>" + " " * 100_001 + "<|endoftext|>"]
+
+
 @pytest.fixture(scope="module")
 def reference():
     from tokenizers import Tokenizer
@@ -24,9 +28,25 @@ def reference():
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ODD)
-def test_ids_of_odd_texts(reference, text):
+@pytest.fixture(scope="module")
+def by_default():
+    """The tokenizers library as it is after loading: added tokens have their own ids."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(tokens.vocabulary_path())
+    return lambda text: found.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ODD + LONG, ids=lambda t: f"{t[:8]!r}-{len(t)}")
+def test_ids_of_odd_texts(reference, by_default, text):
     assert tokens.encode(tokens.vocabulary_path(), text).tolist() == reference(text)
+    assert tokens.encode(tokens.vocabulary_path(), text, added=True).tolist() == by_default(text)
+
+
+def test_added_tokens_have_their_own_ids(by_default):
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>"
+    assert tokens.encode(tokens.vocabulary_path(), "a <|endoftext|> b", added=True).tolist() == [64, 220, 50256, 275]
+    assert tokens.encode(tokens.vocabulary_path(), text, added=True).tolist() == by_default(text)
 
 
 @given(st.text(max_size=80))
@@ -121,10 +141,10 @@ def test_differencing_deals_all_items(sizes, windows):
     assert max(sums) - min(sums) <= max(sizes)
 
 
-def test_packed_pieces(spark, reference):
+def test_packed_pieces(spark, by_default):
     rows = odd_rows()
     pieces = packing.pack(spark.createDataFrame(rows, SCHEMA).coalesce(2)).withColumn("crc", F.crc32("ids")).collect()
-    check_pieces(pieces, [(r[0], [*reference(r[1]), 1]) for r in rows])
+    check_pieces(pieces, [(r[0], [*by_default(r[1]), 1]) for r in rows])
 
 
 def check_pieces(pieces, docs):
