@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Expired
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -27,7 +27,6 @@ from plumbline.sources.readers import extension, load_table, pick_file, table_fi
 from plumbline.sources.sinks import tidy
 
 # Defaults of a manifest entry.
-DEFAULT_FILE = 1
 DEFAULT_TIMEOUT = 3600
 
 # The column that tells the rows of a result apart.
@@ -44,24 +43,15 @@ STATUS_SCHEMA = "dataset string, part string, status string, detail string"
 
 @dataclass(frozen=True)
 class Entry:
-    """One dataset of a manifest.
-
-    Without a file number a folder is one table. Entries compare as if they named the first file
-    then; ``place`` is what they compare by.
-    """
+    """One dataset of a manifest; without a file number a folder is one table."""
 
     location: str
     target: str
-    file_number: int | None = field(default=None, compare=False)
+    file_number: int | None = None
     model: str = next(iter(MODEL_REGISTRY))
     timeout: int = DEFAULT_TIMEOUT
     platform: str = ""
     row_id: str | None = None
-    place: int = field(init=False, repr=False, default=DEFAULT_FILE)
-
-    def __post_init__(self) -> None:
-        if self.file_number is not None:
-            object.__setattr__(self, "place", self.file_number)
 
 
 def read_manifest(text: str) -> tuple[list[Entry], list[tuple[str, str]]]:

@@ -94,7 +94,8 @@ def test_manifest():
         "/data/b": {"platform": "p"}, "/data/c": {"target_column": "y", "model_type": "Forest"},
         "/data/d": {"target_column": "y", "model_type": "Support Vector Machine", "platform": "p"}}""")
     assert good == [Entry("/data/a", "y", 2, "Logistic Regression", 60),
-                    Entry("/data/d", "y", 1, "Support Vector Machine", 3600, "p")]
+                    Entry("/data/d", "y", None, "Support Vector Machine", 3600, "p")]
+    assert Entry("/data/a", "y") != Entry("/data/a", "y", 1)
     assert [b[0] for b in bad] == ["/data/b", "/data/c"]
 
 
@@ -121,7 +122,7 @@ def test_batch_records_failures_and_reports(spark, sf_dir, tmp_path):
     sinks.write_report(report, str(tmp_path / "report"))
     sections = {r.section for r in spark.read.parquet(str(tmp_path / "report")).collect()}
     assert sections == {"overview", "column_types", "columns", "alerts", "f1_report", "outlier_summary",
-                        "top_patterns", "group_fairness", "influence_fairness"}
+                        "top_patterns", "group_fairness", "precision_by_group", "influence_fairness"}
 
 
 def test_timeout_is_recorded(spark, sf_dir):
