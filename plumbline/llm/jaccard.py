@@ -81,6 +81,24 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_mix(found))
 
 
+def map_bits(n: int) -> int:
+    """Bits of a set's wide parity map: a power of two that leaves unrelated sets many differing bits."""
+    return max(64 * _MAP, 1 << max(0, n // 2 - 1).bit_length())
+
+
+def _parity(elements: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide maps; the longer one is folded to the length of the other."""
+    a, b = (np.frombuffer(z, "<u8") for z in sorted((x, y), key=len))
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
     for text in column.cast(pa.binary()):
         yield shingles(text.as_py())
@@ -134,12 +152,13 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row for every row of ``docs``: doc_id, text_key, digest of the set, size, a parity map and elements.
+    """A row for every row of ``docs``: doc_id, text_key, digest of the set, size, two parity maps and elements.
 
     Elements come in one order for all sets, rare slots first; of a large set only the prefix is
     kept. With each comes the number of blocks its list is dealt out to, and the sum of the
-    lengths its lists may have. A parity map has a bit for each of 256 classes of elements, on if
+    lengths its lists may have. A parity map has a bit for each of some classes of elements, on if
     the set has an odd number of them: two maps differ in no more bits than the sets in elements.
+    The short one, of 256 bits, goes into the lists; the wide one has about half a bit an element.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     load = counts.sum() / _SLOTS
@@ -147,13 +166,13 @@ def _sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, size, maps, kept, blocks, scan = [], [], [], [], [], []
+            digest, size, maps, wide, kept, blocks, scan = [], [], [], [], [], [], []
             for found in _texts(batch.column(2)):
                 n = len(found)
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
                 size.append(n)
-                odd = np.bincount((found & np.uint64(64 * _MAP - 1)).astype(np.int64), minlength=64 * _MAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                maps.append(_parity(found, 64 * _MAP).view("<i8"))
+                wide.append(_parity(found, map_bits(n)).tobytes())
                 slot = order[_slots(found)]
                 first = np.lexsort((found, slot))[: n if n <= smallest_of_large() else prefix(n)] if n else np.zeros(0, np.int64)
                 lengths = np.maximum(slot[first] - load, 0)
@@ -163,13 +182,13 @@ def _sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             maps = np.array(maps, np.int64).reshape(len(size), _MAP)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int32()),
-                 *[pa.array(maps[:, i]) for i in range(_MAP)], pa.array(kept, pa.list_(pa.int64())),
+                 *[pa.array(maps[:, i]) for i in range(_MAP)], pa.array(wide, pa.binary()), pa.array(kept, pa.list_(pa.int64())),
                  pa.array(blocks, pa.list_(pa.int32())), pa.array(scan, pa.float64())],
-                names=["doc_id", "text_key", "digest", "size", *_MAPS, "elements", "blocks", "scan"])
+                names=["doc_id", "text_key", "digest", "size", *_MAPS, "wide", "elements", "blocks", "scan"])
 
     fields = ", ".join(f"{m} long" for m in _MAPS)
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_key long, digest binary, size int, {fields}, elements array<long>, blocks array<int>, scan double")
+        run, f"doc_id {kind}, text_key long, digest binary, size int, {fields}, wide binary, elements array<long>, blocks array<int>, scan double")
 
 
 _MAPS = [f"m{i}" for i in range(_MAP)]
@@ -244,11 +263,15 @@ def _arrays(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [rows.column(n).to_numpy() for n in names]
 
 
+_POSTING = ["element", "blocks", "block", "node", "size", *_MAPS]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates within lists, which come sorted; only the last few rows are held.
+    """Candidates (a, b) within lists, which come sorted, and the postings of crowded lists.
 
     The first rows of a list meet all before them. A later one is paired with the likest of the few
-    just before it, and the list is named as crowded.
+    just before it; such a list is crowded, and all its postings are given on. Only the last few
+    rows are held.
     """
     tail, ranked = None, 0
     for batch in batches:
@@ -256,7 +279,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
         old = 0 if tail is None else tail.num_rows
-        element, block, node, size = _arrays(rows, "element", "block", "node", "size")
+        element, block, node, size, blocks = _arrays(rows, "element", "block", "node", "size", "blocks")
         size, maps = size.astype(np.int64), np.stack(_arrays(rows, *_MAPS), axis=1).view(np.uint64)
         at = np.arange(len(element))
         start = np.maximum.accumulate(np.where(np.r_[True, (np.diff(element) != 0) | (np.diff(block) != 0)], at, 0))
@@ -273,12 +296,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best[j[nearer]], partner[j[nearer]] = d[nearer], j[nearer] - lag
         late = np.flatnonzero(best < np.iinfo(np.int64).max)
         a, b = (np.concatenate(x) for x in zip(*pairs, (partner[late], late)))
-        crowded = np.flatnonzero((rank == NEAR + 1) & (at >= old))
-        none = pa.nulls(len(crowded), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(node[a]), none]), pa.concat_arrays([pa.array(node[b]), none]),
-             pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(element[crowded])])], names=["a", "b", "element"])
-        keep = max(0, len(at) - NEAR)
+            [pa.array(node[a]), pa.array(node[b]), *[pa.nulls(len(a), f.type) for f in rows.schema]], names=["a", "b", *_POSTING])
+        # The first row beyond NEAR brings those before it along; all of them are still held.
+        new = np.flatnonzero((rank == NEAR + 1) & (at >= old))
+        member = (blocks > 1) & (at >= old) | (rank > NEAR) & (at >= old)
+        for lag in range(1, NEAR + 2):
+            member[new[blocks[new] == 1] - lag] = True
+        members = rows.filter(pa.array(member)).combine_chunks()
+        none = pa.nulls(len(members), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *[members.column(n).combine_chunks() for n in _POSTING]], names=["a", "b", *_POSTING])
+        keep = max(0, len(at) - NEAR - 1)
         ranked = int(rank[keep])
         tail = rows.slice(keep).to_batches()[0]
 
@@ -329,6 +357,12 @@ def _id(doc_id: str = "doc_id") -> Column:
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of at least LIKE."""
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [_differing(x.as_py(), y.as_py()) <= n + m - 2 * need(n, m) for n, x, m, y in zip(
+                batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([x.tobytes() for x in _texts(batch.column(1))], pa.binary())
@@ -343,6 +377,9 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 good.append(int((both[1:] == both[:-1]).sum()) >= need(len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    maps = nodes.select("node", "size", "wide")
+    both = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
+    pairs = materialise(both.select("a", "b", "n", "x", "m", "y").mapInArrow(possible, "a long, b long"), "jaccard-possible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select("node", _id().alias("__id"), "text_key").join(wanted, "node")
     texts = docs.select(_id().alias("__id"), F.xxhash64("text").alias("text_key"), "text").join(wanted, ["__id", "text_key"])
@@ -357,15 +394,15 @@ def _list_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFram
     """``links`` and those that join all groups of linked sets which have a posting in a common list."""
     posts = _postings(nodes)
     tasks = partitions(docs.sparkSession)
-    met = posts.select("element", "block", "node", "size", *_MAPS).repartition(tasks, "element", "block")
-    found = materialise(met.sortWithinPartitions("element", "block", "size", "node").mapInArrow(
-        _scan, "a long, b long, element long"), "jaccard-found")
+    met = posts.repartition(tasks, "element", "block").sortWithinPartitions("element", "block", "size", "node")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in posts.schema)
+    found = materialise(met.mapInArrow(_scan, f"a long, b long, {fields}"), "jaccard-found")
     pairs = materialise(_ordered(found.where("a is not null").select("a", "b")), "jaccard-pairs")
     links = materialise(links.unionByName(_checked(docs, nodes, pairs)), "jaccard-links")
-    crowded = found.where("element is not null").select("element").unionByName(posts.where("blocks > 1").select("element")).distinct()
+    crowded = found.where("a is null").select(*posts.columns)
     if not crowded.head(1):
         return links
-    inside = posts.join(crowded, "element", "left_semi").join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = crowded.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     inside = materialise(inside, "jaccard-crowded")
     mixed = inside.groupBy("element").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("element")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
