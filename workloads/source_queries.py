@@ -59,6 +59,27 @@ def source_json(spark, sf_dir):
     return _typed(readers.load_table(spark, path))
 
 
+@query("SELECT doc_id, text, lang, source FROM documents")
+def source_csv_one_large_file(spark, sf_dir):
+    """Texts with line breaks in one quoted file, which any number of tasks read."""
+    path = _folder(spark, "documents-one.csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.load_table(spark, path, schema=_schema(spark, "doc_id long, text string, lang string, source string"))
+
+
+@query(_PART)
+def source_json_array(spark, sf_dir):
+    """One file with one array of records, cut into records by the tasks that read it."""
+    path = _folder(spark, "part-array.json")
+    part = _part(spark, sf_dir)
+    first = part.agg(F.min("p_partkey")).first()[0]
+    lines = part.select("p_partkey", F.concat(F.when(F.col("p_partkey") == first, "[").otherwise(","), F.to_json(F.struct(*part.columns))).alias("line"))
+    end = spark.createDataFrame([(None, "]")], "p_partkey long, line string")
+    lines.unionByName(end).orderBy(F.col("p_partkey").asc_nulls_last()).select("line").coalesce(1).write.mode("overwrite").text(path)
+    return _typed(readers.load_table(spark, path))
+
+
 @query(_PART)
 def source_part_files(spark, sf_dir):
     """A folder of part files is one table."""
