@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.missing import normalise_missing
-from plumbline.operators import binning, encoding, impute, scaling, split, target, text
+from plumbline.operators import binning, encoding, impute, knn, scaling, split, target, text
 from plumbline.operators.profile import collect_roles
 from plumbline.operators.quantiles import number
 from plumbline.plans import features
@@ -62,6 +62,42 @@ def impute_neighbours(spark, sf_dir):
     return impute.impute_neighbours_single(rows, "total").select("row_id", F.round("total", 4).alias("total"))
 
 
+def _gappy_orders(spark, sf_dir):
+    return orders_wide(spark, sf_dir).select(
+        "row_id", "total", "balance", F.when(F.col("row_id") % 13 != 0, F.col("age").cast("double")).alias("age"))
+
+
+def _all_pairs_fill(column: str) -> str:
+    return f"""
+{column}_near AS (
+  SELECT row_id, value, dist FROM (SELECT row_id, donor, donor_{column} AS value, dist FROM pairs WHERE {column} IS NULL)
+  WHERE value IS NOT NULL AND dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY dist, donor) <= 5),
+{column}_fill AS (
+  SELECT row_id, CASE WHEN min(dist) = 0 THEN avg(value) FILTER (dist = 0) ELSE
+    sum(value / sqrt(dist)) FILTER (dist > 0) / sum(1 / sqrt(dist)) FILTER (dist > 0) END AS value FROM {column}_near GROUP BY row_id)"""
+
+
+@query(f"""
+WITH r AS (SELECT row_id, total, balance, CASE WHEN row_id % 13 <> 0 THEN age::DOUBLE END AS age FROM orders_wide),
+pairs AS (
+  SELECT g.*, d.row_id AS donor, d.total AS donor_total, d.balance AS donor_balance, d.age AS donor_age,
+    (coalesce((g.total - d.total) * (g.total - d.total), 0) + coalesce((g.balance - d.balance) * (g.balance - d.balance), 0)
+      + coalesce((g.age - d.age) * (g.age - d.age), 0)) / nullif(((g.total - d.total) IS NOT NULL)::INT
+      + ((g.balance - d.balance) IS NOT NULL)::INT + ((g.age - d.age) IS NOT NULL)::INT, 0) AS dist
+  FROM r g JOIN r d ON g.total IS NULL OR g.balance IS NULL OR g.age IS NULL),
+{",".join(_all_pairs_fill(n) for n in ("total", "balance", "age"))},
+means AS (SELECT avg(total) AS total, avg(balance) AS balance, avg(age) AS age FROM r)
+SELECT r.row_id, round(coalesce(r.total, t.value, means.total), 4) AS total, round(coalesce(r.balance, b.value, means.balance), 4) AS balance,
+  round(coalesce(r.age, a.value, means.age), 4) AS age
+FROM r LEFT JOIN total_fill t USING (row_id) LEFT JOIN balance_fill b USING (row_id) LEFT JOIN age_fill a USING (row_id), means
+""")
+def knn_fill(spark, sf_dir):
+    """Gaps of three columns from the five nearest rows, with every row as a possible donor."""
+    names = ["total", "balance", "age"]
+    filled = knn.knn_fill(_gappy_orders(spark, sf_dir), names, "row_id")
+    return filled.select("row_id", *[F.round(n, 4).alias(n) for n in names])
+
+
 @query("""
 WITH ranked AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r,
     count(*) OVER () AS n FROM lineitem),
