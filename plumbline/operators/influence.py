@@ -38,6 +38,10 @@ class Influence(Protocol):
 
     def score(self, direction: Sequence[float]) -> Column: ...
 
+    def factor(self) -> Column: ...
+
+    def whitening(self, width: int) -> np.ndarray: ...
+
 
 def weighted_feature_sum(df: DataFrame, weight: Column, features: str = "features") -> np.ndarray:
     """Sum of weight · features over the rows, as one aggregate on (sparse) vectors."""
@@ -96,6 +100,16 @@ class LogisticInfluence:
             lambda v: self.hessian_times(v) + RIDGE * v, gradient, self.hessian_diagonal() + RIDGE,
             max_steps=10 * len(gradient))
 
+    def factor(self) -> Column:
+        """The gradient of a row's loss is this number times its features."""
+        return self.residual()
+
+    def whitening(self, width: int) -> np.ndarray:
+        """A matrix W with WᵀW the inverse Hessian, so that influence is -(W g)·(W g')."""
+        if width > self.cfg.max_dense_features:
+            raise ValueError(f"{width} features: influence by test row takes at most {self.cfg.max_dense_features}")
+        return np.linalg.inv(np.linalg.cholesky(self.hessian() + RIDGE * np.eye(width)))
+
     def hessian_diagonal(self) -> np.ndarray:
         rows = self.train.select(c(self.features).alias("x"), self.curvature().alias("w"))
         found = rows.agg(Summarizer.metrics("normL2").summary(c("x"), c("w")).alias("s")).first()
@@ -120,6 +134,12 @@ class SvmInfluence:
         y = 2.0 * c(self.label) - 1
         return F.when(y * self.model.margin(self.design) < 1, -y).otherwise(F.lit(0.0))
 
+    def factor(self) -> Column:
+        return self.pull()
+
+    def whitening(self, width: int) -> np.ndarray:
+        return np.eye(width) / np.sqrt(self.strength)
+
     def mean_gradient(self, test: DataFrame) -> np.ndarray:
         rows = test.count()
         if not rows:

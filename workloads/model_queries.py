@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.config import AuditConfig
-from plumbline.operators import density, influence, kernel, models, outliers, scaling, split
+from plumbline.operators import density, influence, kernel, models, outliers, row_influence, scaling, split
 from plumbline.operators.encoding import Design
 from plumbline.operators.impute import impute_median
 from plumbline.operators.models import LinearModel
@@ -89,6 +89,26 @@ def top_influential(spark, sf_dir):
     return best.select("row_id", F.round(F.col("influence") * 1e6, 4).alias("influence_ppm"))
 
 
+@query(f"""
+WITH {SCALED_EVENTS},
+p AS (SELECT *, 1 / (1 + exp(-(0.3::DOUBLE * x1 - 0.2::DOUBLE * x2 - 1.4::DOUBLE))) AS p FROM d),
+h AS (SELECT sum(p * (1 - p) * x1 * x1) + 1e-6 AS a, sum(p * (1 - p) * x1 * x2) AS b, sum(p * (1 - p) * x2 * x2) + 1e-6 AS c
+  FROM p WHERE NOT is_test),
+l AS (SELECT sqrt(a) AS l11, b / sqrt(a) AS l21, sqrt(c - b * b / a) AS l22 FROM h),
+w AS (SELECT row_id, is_test, (p - label) * x1 / l11 AS u1, ((p - label) * x2 - l21 * ((p - label) * x1 / l11)) / l22 AS u2 FROM p, l),
+scored AS (SELECT t.row_id AS test_id, i.row_id AS train_id, -(t.u1 * i.u1 + t.u2 * i.u2) AS influence
+  FROM w t JOIN w i ON t.is_test AND NOT i.is_test)
+SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY influence DESC, train_id)::INTEGER AS rank, round(influence * 1e6, 4) AS influence_ppm
+FROM scored QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY influence DESC, train_id) <= 5
+""")
+def influence_per_test_row(spark, sf_dir):
+    """The five training rows that raise the loss of each test row most, of all training rows."""
+    train, test = _halves(_scaled_events(spark, sf_dir))
+    method = influence.influence_of(_EVENT_MODEL, _DESIGN, train)
+    found = row_influence.most_influential(train, test, method, "row_id", 5)
+    return found.select("test_id", "rank", F.round(F.col("influence") * 1e6, 4).alias("influence_ppm"))
+
+
 @query(f"""
 WITH {SCALED_EVENTS},
 p AS (SELECT *, CASE WHEN (2 * label - 1) * (0.3::DOUBLE * x1 - 0.2::DOUBLE * x2 - 0.4::DOUBLE) < 1 THEN -(2 * label - 1) ELSE 0 END AS pull FROM d),
