@@ -1,32 +1,42 @@
-"""Kernel PCA outliers: rows a radial-basis PCA rebuilds badly.
+"""Kernel PCA outliers: rows a radial-basis PCA rebuilds badly, by the kernel itself and with a certificate.
 
-The kernel is written as an inner product of random Fourier features, so the components come from
-one sum of outer products over every sampled row, added up as a tree; no row is left out of the fit
-and no table of landmarks is broadcast. The number of features sets how close the products are to
-the kernel.
+The kernel is smooth, so few of its columns span it: landmark rows are chosen one after the other
+where the kernel of the rows so far explains least (a pivoted Cholesky factorisation whose pivots are
+searched over all rows), until no row is left with more than a tolerance. What a row keeps
+unexplained is measured exactly for every row, and the mean over all rows bounds the error of every
+component's variance. The number of landmarks follows the kernel and the tolerance, not the number of rows.
+Random Fourier features are an option for designs whose kernel no few landmarks span.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
-from plumbline.operators.gramian import gram_sums
+from plumbline.operators.gramian import gram_sums, matrix
 from plumbline.operators.quantiles import number, quantiles
 from plumbline.operators.split import in_share
 from plumbline.session import materialise
 
-# Fixed value: seed of the sample and of the random features.
+# Seed of the sample and of the random features; what a row may keep unexplained.
 SAMPLE_SEED = 912
 FEATURES = 1024
+TOLERANCE = 1e-8
+# Most landmarks, which tasks and the driver hold with their square; candidates of a task and of a round.
+MOST_LANDMARKS = 2048
+_FROM_TASK = 64
+_POOL = 1024
+_SLAB = 1000
 
 
-def fourier_features(width: int, gamma: float, features: int = FEATURES):
+def fourier_features(width: int, gamma: float, features: int = FEATURES) -> Callable[[np.ndarray], np.ndarray]:
     """A map of rows whose inner products are close to exp(-gamma · squared distance)."""
     rng = np.random.default_rng(SAMPLE_SEED)
     turn = rng.standard_normal((width, features // 2)) * np.sqrt(2 * gamma)
@@ -38,9 +48,157 @@ def fourier_features(width: int, gamma: float, features: int = FEATURES):
     return apply
 
 
+def kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    """exp(-gamma · squared distance) of all rows of ``x`` and ``y``."""
+    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(d, 0))
+
+
+@dataclass(frozen=True)
+class Landmarks:
+    """Rows that span the kernel, and the inverse of their kernel's Cholesky factor."""
+
+    rows: np.ndarray
+    inverse: np.ndarray
+    gamma: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Features whose inner products are the kernel of ``x`` as far as the landmarks explain it."""
+        return kernel(x, self.rows, self.gamma) @ self.inverse.T if len(self.rows) else np.zeros((len(x), 0))
+
+    def unexplained(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(1 - (self(x) ** 2).sum(axis=1), 0)
+
+    def with_rows(self, more: np.ndarray) -> Landmarks:
+        rows = np.concatenate([self.rows, more])
+        k = kernel(rows, rows, self.gamma) + 1e-14 * np.eye(len(rows))
+        return Landmarks(rows, np.linalg.inv(np.linalg.cholesky(k)), self.gamma)
+
+
+def pivots(x: np.ndarray, known: Landmarks, most: int, tolerance: float) -> list[int]:
+    """Rows of ``x`` that explain the others, the least explained one first, until all are within the tolerance."""
+    left = known.unexplained(x)
+    base, steps, chosen = known(x), np.zeros((len(x), 0)), []
+    while len(chosen) < min(most, len(x)):
+        i = int(left.argmax())
+        if left[i] <= tolerance:
+            break
+        column = kernel(x, x[i:i + 1], known.gamma)[:, 0] - base @ base[i] - steps @ steps[i]
+        column /= np.sqrt(left[i])
+        steps = np.column_stack([steps, column])
+        left = np.maximum(left - column**2, 0)
+        left[i] = 0
+        chosen.append(i)
+    return chosen
+
+
+def find_landmarks(rows: DataFrame, width: int, gamma: float, tolerance: float = TOLERANCE, most: int = MOST_LANDMARKS) -> tuple[Landmarks, float, float]:
+    """Landmarks, and the largest and mean share of a row's kernel that they leave unexplained.
+
+    ``rows`` has one column ``x`` of arrays. Each round is one pass: every task factorises the
+    batches it reads and offers its pivots, the driver picks among the least explained ones.
+    """
+    known = Landmarks(np.zeros((0, width)), np.zeros((0, 0)), gamma)
+    while True:
+        room = min(_FROM_TASK, most - len(known.rows))
+
+        def offer(batches: Iterator[pa.RecordBatch], known: Landmarks = known, room: int = room) -> Iterator[pa.RecordBatch]:
+            held, worst, total, n = np.zeros((0, width)), 0.0, 0.0, 0
+            for batch in batches:
+                x = matrix(batch.column(0)) if batch.num_rows else np.zeros((0, width))
+                for at in range(0, len(x), _SLAB):
+                    part = x[at:at + _SLAB]
+                    left = known.unexplained(part)
+                    worst, total, n = max(worst, float(left.max())), total + float(left.sum()), n + len(part)
+                    part = np.unique(np.concatenate([held, part[left > tolerance]]), axis=0)
+                    held = part[pivots(part, known, room, tolerance)]
+            left = known.unexplained(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.tolist() for r in held], pa.list_(pa.float64())), pa.array(left)], names=["x", "left"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([[worst, total, float(n)]], pa.list_(pa.float64())), pa.array([None], pa.float64())], names=["x", "left"])
+
+        offered = materialise(rows.mapInArrow(offer, "x array<double>, left double"), "kernel-offers")
+        sums = offered.where("left IS NULL").agg(
+            F.max(F.get("x", F.lit(0))).alias("worst"), F.sum(F.get("x", F.lit(1))).alias("total"), F.sum(F.get("x", F.lit(2))).alias("n")).first()
+        worst, mean = sums["worst"] or 0.0, (sums["total"] or 0.0) / max(1.0, sums["n"] or 0.0)
+        pool = [r["x"] for r in offered.where("left IS NOT NULL").orderBy(F.col("left").desc(), "x").limit(_POOL).collect()]
+        if worst <= tolerance or room <= 0 or not pool:
+            return known, worst, mean
+        pool = np.array(pool)
+        new = pivots(pool, known, min(_POOL, most - len(known.rows)), tolerance)
+        if not new:
+            return known, worst, mean
+        known = known.with_rows(pool[new])
+
+
+@dataclass(frozen=True)
+class KernelPca:
+    """The embedding, the mean of all rows in it, the components and their variances.
+
+    ``error`` bounds how far each variance is from that of the kernel itself (None for random
+    features, which have no such bound); ``worst`` is the most any row keeps unexplained.
+    """
+
+    embed: Callable[[np.ndarray], np.ndarray]
+    centre: np.ndarray
+    axes: np.ndarray
+    variances: np.ndarray
+    error: float | None
+    worst: float | None
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Squared distance to the mean in feature space, less that along the components."""
+        z = self.embed(x)
+        # A row's kernel with itself is 1, of which the embedding may explain a little less.
+        own = np.ones(len(x)) if self.error is not None else (z**2).sum(axis=1)
+        return own - 2 * z @ self.centre + self.centre @ self.centre - (((z - self.centre) @ self.axes) ** 2).sum(axis=1)
+
+
+def fit_kernel_pca(
+    sample: DataFrame, width: int, components: int = 10, gamma: float | None = None, features: int | None = None,
+    tolerance: float = TOLERANCE,
+) -> KernelPca:
+    """Components of all rows of the column ``x``; ``features`` asks for so many random features instead of landmarks."""
+    gamma = gamma if gamma is not None else 1.0 / width
+    error = worst = None
+    if features:
+        embed: Callable[[np.ndarray], np.ndarray] = fourier_features(width, gamma, features)
+    else:
+        embed, worst, error = find_landmarks(sample.select("x"), width, gamma, tolerance)
+    each = [F.get("x", F.lit(i)) for i in range(width)]
+    n, sums, products = gram_sums(sample, each, np.zeros(width), embed)
+    centre = sums / max(n, 1.0)
+    spread, axes = np.linalg.eigh(products / max(n, 1.0) - np.outer(centre, centre))
+    top = np.argsort(spread)[::-1][:components]
+    top = top[spread[top] > 1e-10]
+    return KernelPca(embed, centre, axes[:, top], spread[top], error, worst)
+
+
+def _sample(df: DataFrame, row_id: str, columns: list[str], frac: float) -> tuple[DataFrame, DataFrame]:
+    picked = df.select(
+        c(row_id).alias("row_id"), F.array(*[number(n) for n in columns]).alias("x"),
+        in_share(c(row_id), frac, SAMPLE_SEED).alias("sampled"),
+    )
+    return picked, picked.where(c("sampled") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
+def kernel_components(
+    df: DataFrame, row_id: str, columns: list[str], frac: float = 1.0, components: int = 10, tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """``(component, variance, error, landmarks)``: variances along the components, and a bound on their error.
+
+    The kernel less what landmarks explain is positive semidefinite, so no variance is off by more
+    than the mean of what rows keep unexplained.
+    """
+    model = fit_kernel_pca(_sample(df, row_id, columns, frac)[1], len(columns), components, tolerance=tolerance)
+    rows = [(i + 1, float(v), float(model.error or 0.0), len(model.embed.rows)) for i, v in enumerate(model.variances)]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, error double, landmarks int")
+
+
 def kernel_pca_outliers(
     df: DataFrame, row_id: str, columns: list[str], frac: float = 1.0,
-    contamination: float = 0.05, components: int = 10, features: int = FEATURES,
+    contamination: float = 0.05, components: int = 10, features: int | None = None,
 ) -> DataFrame:
     """``(row_id, score, is_outlier)``: the worst share of the sampled rows is flagged.
 
@@ -48,27 +206,15 @@ def kernel_pca_outliers(
     are kept, with no score and no flag. The score is the squared distance, in feature space, to
     the mean less that along the components.
     """
-    values = [number(n) for n in columns]
-    picked = df.select(
-        c(row_id).alias("row_id"), F.array(*values).alias("x"),
-        in_share(c(row_id), frac, SAMPLE_SEED).alias("sampled"),
-    )
-    sample = picked.where(c("sampled") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    embed = fourier_features(len(columns), 1.0 / len(columns), features)
-    each = [F.get("x", F.lit(i)) for i in range(len(columns))]
-    n, sums, products = gram_sums(sample, each, np.zeros(len(columns)), embed)
-    centre = sums / max(n, 1.0)
-    spread, axes = np.linalg.eigh(products / max(n, 1.0) - np.outer(centre, centre))
-    top = np.argsort(spread)[::-1][:components]
-    axes = axes[:, top[spread[top] > 1e-10]]
+    picked, sample = _sample(df, row_id, columns, frac)
+    model = fit_kernel_pca(sample, len(columns), components, features=features)
 
     @F.pandas_udf("double")
     def residual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             parts = [np.empty(0)]
-            for at in range(0, len(x), 1000):
-                gap = embed(np.stack(x.to_numpy()[at:at + 1000])) - centre
-                parts.append((gap**2).sum(axis=1) - ((gap @ axes) ** 2).sum(axis=1))
+            for at in range(0, len(x), _SLAB):
+                parts.append(model.score(np.stack(x.to_numpy()[at:at + _SLAB])))
             yield pd.Series(np.concatenate(parts))
 
     scores = materialise(sample.select("row_id", residual("x").alias("score")), "kernel_scores")

@@ -153,21 +153,3 @@ def test_mahalanobis_of_many_columns(spark):
     gap = x - x.mean(0)
     want = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(np.cov(x.T) + 1e-6 * np.eye(60)), gap)
     assert np.allclose(got[:400], want, rtol=1e-6) and got[400] is None
-
-
-def test_kernel_outliers_follow_the_exact_kernel(spark):
-    from plumbline.operators.kernel import kernel_pca_outliers
-
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(280, 2)) * 0.4, rng.uniform(-4, 4, size=(20, 2))])
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(300, None, 1.0)], "id long, a double, b double")
-    rows = {r.row_id: r for r in kernel_pca_outliers(df, "id", ["a", "b"]).collect()}
-    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
-    centred = k - k.mean(0) - k.mean(0)[:, None] + k.mean()
-    spread, axes = np.linalg.eigh(centred)
-    want = np.diag(centred) - ((axes[:, -10:] ** 2) * spread[-10:]).sum(1)
-    got = np.array([rows[i].score for i in range(300)])
-    assert np.corrcoef(got, want)[0, 1] > 0.97
-    worst = set(np.argsort(-want)[:15])
-    assert len(worst & {i for i in range(300) if rows[i].is_outlier}) >= 11
-    assert rows[300].score is None and not rows[300].is_outlier
