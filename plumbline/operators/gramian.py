@@ -19,6 +19,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def tree_sum(parts: DataFrame) -> np.ndarray | None:
+    """The sum of the arrays that tasks give in the one column ``sums``, added up as a tree; None without any."""
+
+    def add(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a + b
+
+    arrays = parts.rdd.map(lambda r: np.frombuffer(r.sums, float))
+    depth = max(2, int(np.ceil(np.log(max(2, arrays.getNumPartitions())) / np.log(_FOLD))))
+    return arrays.treeAggregate(None, add, add, depth)
+
+
 def gram_sums(df: DataFrame, values: list[Column], shift: np.ndarray, transform=None) -> tuple[float, np.ndarray, np.ndarray]:
     """Rows, sums and sums of products of (values - shift), over rows where all values are known.
 
@@ -44,11 +55,10 @@ def gram_sums(df: DataFrame, values: list[Column], shift: np.ndarray, transform=
 
     whole = F.array(*values)
     parts = df.select(whole.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).mapInArrow(add, "sums binary")
-    tree = parts.rdd.map(lambda r: np.frombuffer(r.sums, float))
-    if tree.isEmpty():
+    flat = tree_sum(parts)
+    if flat is None:
         out = width if transform is None else transform(np.zeros((1, width))).shape[1]
         return 0.0, np.zeros(out), np.zeros((out, out))
-    flat = tree.treeReduce(lambda a, b: a + b, depth=max(2, int(np.ceil(np.log(max(2, tree.getNumPartitions())) / np.log(_FOLD)))))
     side = int(np.sqrt(len(flat)))
     sums = flat.reshape(side, side)
     return float(sums[0, 0]), sums[0, 1:], sums[1:, 1:]

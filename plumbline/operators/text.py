@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import threading
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import c
+from plumbline.operators.gramian import tree_sum
+from plumbline.session import materialise
 
 # A token is two or more letters, digits or underscores; at most 3,000 terms
 # enter the vocabulary; texts are reduced to two components.
@@ -21,8 +22,12 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 MAX_TERMS = 3000
 COMPONENTS = 2
 
-# The eigenvalue solver of the driver keeps state between calls: one fit at a time.
-_ONE_SOLVER = threading.Lock()
+# Columns of the random start, what a component may be off by relative to the first, and most passes.
+BLOCK = 32
+TOLERANCE = 1e-10
+MOST_PASSES = 24
+_SEED = 42
+_ENTRIES = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -110,34 +115,100 @@ def tfidf(
         "row_id", F.get(terms, c("e")["indices"]).alias("term"), c("e")["values"].alias("weight"))
 
 
+@dataclass(frozen=True)
+class Components:
+    """Leading right singular vectors of a matrix of rows, squared singular values, what AᵀA v and s² v
+    differ by, and passes over the rows."""
+
+    vectors: np.ndarray
+    squares: np.ndarray
+    residuals: np.ndarray
+    passes: int
+
+
+def product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """AᵀA q in one pass over the sparse rows (indices, values) of A; tasks add up, and a tree adds tasks."""
+    width, count = q.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, count))
+        for batch in batches:
+            entries = batch.column(0).offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                # As many rows as hold some thousands of entries, one at least.
+                end = max(at + 1, int(np.searchsorted(entries, entries[at] + _ENTRIES, side="right")) - 1)
+                part = batch.slice(at, end - at)
+                index, value = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+                row = np.repeat(np.arange(end - at), np.diff(entries[at:end + 1]))
+                along = q[index] * value[:, None]
+                for j in range(count):
+                    images = np.bincount(row, along[:, j], minlength=end - at)
+                    total[:, j] += np.bincount(index, value * images[row], minlength=width)
+                at = end
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    found = tree_sum(rows.select("indices", "values").mapInArrow(run, "sums binary"))
+    return np.zeros((width, count)) if found is None else found.reshape(width, count)
+
+
+def leading_components(
+    rows: DataFrame, width: int, count: int, block: int = BLOCK, tolerance: float = TOLERANCE, most_passes: int = MOST_PASSES,
+) -> Components:
+    """The leading ``count`` right singular vectors by a randomised block Krylov method.
+
+    A random block is multiplied by AᵀA again and again, a pass each; the best vectors in the span of
+    all blocks so far, and their exact residuals, come from products that are already there. It ends
+    once every residual is within ``tolerance`` of the largest squared singular value, usually after
+    three or four passes, and raises an error if it does not. The driver holds a few narrow blocks.
+    """
+    q, _ = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((width, min(block, width))))
+    basis, images = q, np.zeros((width, 0))
+    for passes in range(1, most_passes + 1):
+        y = product(rows, q)
+        images = np.hstack([images, y])
+        small = basis.T @ images
+        squares, turn = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(squares)[::-1][:count]
+        vectors, squares = basis @ turn[:, best], np.maximum(squares[best], 0)
+        residuals = np.linalg.norm(images @ turn[:, best] - vectors * squares, axis=0)
+        if residuals.max(initial=0) <= tolerance * max(squares.max(initial=0), np.finfo(float).tiny):
+            return Components(vectors, squares, residuals, passes)
+        size = np.linalg.norm(y)
+        for _ in range(2):
+            y = y - basis @ (basis.T @ y)
+        q, r = np.linalg.qr(y)
+        q = q[:, np.abs(np.diag(r)) > 1e-14 * size][:, : width - basis.shape[1]]
+        if not q.shape[1]:
+            return Components(vectors, squares, residuals, passes)  # the span holds all there is
+        q, _ = np.linalg.qr(q - basis @ (basis.T @ q))
+        basis = np.hstack([basis, q])
+    raise RuntimeError(f"components not found in {most_passes} passes (residual {residuals.max():.2g})")
+
+
 @dataclass(frozen=True)
 class TextModel:
     vocab: Vocabulary
     loadings: np.ndarray  # terms × components
+    squares: tuple[float, ...] = ()
+    residuals: tuple[float, ...] = ()
 
 
 def fit_text(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> TextModel:
     """Vocabulary and leading right singular vectors of the TF-IDF matrix.
 
-    The sign of a component makes its largest loading positive.
+    The sign of a component makes its largest loading positive. Weights are written once; every pass
+    reads them. Any number of columns can be fitted at the same time.
     """
-    texts = df.select(c(column))
-    terms = top_terms(texts, column, max_terms)
-    if not terms:
-        return TextModel(Vocabulary((), ()), np.zeros((0, COMPONENTS)))
-    counts = count_vectors(texts, column, terms, "n").select("n").persist()
-    try:
-        vocab = _vocabulary(terms, counts, "n")
-        weigh = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol="n", outputCol="w")
-        rows = Normalizer(p=2.0, inputCol="w", outputCol="v").transform(weigh.transform(counts)).select("v")
-        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
-        with _ONE_SOLVER:
-            v = matrix.computeSVD(min(COMPONENTS, len(terms)), computeU=False).V.toArray()
-    finally:
-        counts.unpersist()
+    vocab = fit_vocabulary(df, column, max_terms)
+    if not vocab.terms:
+        return TextModel(vocab, np.zeros((0, COMPONENTS)))
+    weights = materialise(_with_weights(df.select(c(column).alias("text")), "text", vocab, "w").select("w.*"), "text-weights")
+    found = leading_components(weights, len(vocab.terms), min(COMPONENTS, len(vocab.terms)))
+    v = found.vectors
     lead = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
     v = v * np.where(lead < 0, -1.0, 1.0)
-    return TextModel(vocab, np.pad(v, ((0, 0), (0, COMPONENTS - v.shape[1]))))
+    return TextModel(vocab, np.pad(v, ((0, 0), (0, COMPONENTS - v.shape[1]))), tuple(found.squares.tolist()), tuple(found.residuals.tolist()))
 
 
 def text_components(df: DataFrame, column: str, model: TextModel) -> DataFrame:

@@ -117,3 +117,33 @@ def test_empty_texts(spark):
     model = text.fit_text(df, "t")
     assert [(r.t_svd_0, r.t_svd_1) for r in text.text_components(df, "t", model).collect()] == [(0.0, 0.0)] * 2
     assert text.tfidf(df, "id", "t").count() == 0
+
+
+def test_components_have_small_residuals_and_few_passes(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(300, 6)) @ (rng.normal(size=(6, 80)) * np.array([9, 5, 4, 1, 0.5, 0.1])[:, None]) + 0.01 * rng.normal(size=(300, 80))
+    a[rng.random(a.shape) < 0.3] = 0
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in a] + [([], [])], "indices array<int>, values array<double>")
+    found = text.leading_components(rows.repartition(3), 80, 3, block=8)
+    _, s, vt = np.linalg.svd(a)
+    assert np.allclose(found.squares, s[:3] ** 2) and found.passes <= 10
+    assert np.allclose(np.abs((vt[:3] * found.vectors.T).sum(axis=1)), 1)
+    gap = np.linalg.norm(a.T @ (a @ found.vectors) - found.vectors * found.squares, axis=0)
+    assert gap.max() <= 1e-8 * s[0] ** 2 and found.residuals.max() <= text.TOLERANCE * found.squares.max()
+    assert text.leading_components(rows.where("false"), 80, 2).squares.tolist() == [0, 0]
+    with pytest.raises(RuntimeError, match="not found in 1 pass"):
+        text.leading_components(rows, 80, 3, block=4, most_passes=1)
+
+
+def test_two_text_columns_are_fitted_at_the_same_time(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    words = ["red", "green", "blue", "cyan", "pink", "grey"]
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words, 9)), " ".join(rng.choice(words[2:], 5))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, s string, t string")
+    alone = [text.fit_text(df, n) for n in ("s", "t")]
+    with ThreadPoolExecutor(2) as pool:
+        together = list(pool.map(lambda n: text.fit_text(df, n), ("s", "t")))
+    for x, y in zip(alone, together):
+        assert x.vocab == y.vocab and np.allclose(x.loadings, y.loadings, atol=1e-8)

@@ -296,10 +296,37 @@ def text_vocabulary(spark, sf_dir):
     return text.vocabulary_table(table(spark, sf_dir, "documents"), "text").select("term", F.round("idf", 6).alias("idf"))
 
 
-@query()
+def _components_sql(steps: tuple[int, ...]) -> str:
+    """CTEs v0, v1 ... (term, f): right singular vectors of the weights by power iteration, one after the other."""
+    parts = ["""
+u AS MATERIALIZED (SELECT w.doc_id, w.term, raw / length AS x FROM w JOIN len ON w.doc_id = len.doc_id),
+words AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) AS i FROM vocab)"""]
+    for j, count in enumerate(steps):
+        parts.append(f"f{j}_0 AS MATERIALIZED (SELECT term, {'1.0::DOUBLE' if j == 0 else 'sin(i)'} AS f FROM words)")
+        for i in range(count):
+            parts.append(f"""
+c{j}_{i} AS (SELECT doc_id, sum(x * f) AS c FROM u JOIN f{j}_{i} f ON u.term = f.term GROUP BY doc_id),
+g{j}_{i}_0 AS MATERIALIZED (SELECT term, sum(x * c) AS f FROM u JOIN c{j}_{i} c ON u.doc_id = c.doc_id GROUP BY term)""")
+            for before in range(j):
+                parts.append(f"""
+d{j}_{i}_{before} AS (SELECT sum(g.f * v.f) AS d FROM g{j}_{i}_{before} g JOIN v{before} v ON g.term = v.term),
+g{j}_{i}_{before + 1} AS MATERIALIZED (SELECT g.term, g.f - d * v.f AS f FROM g{j}_{i}_{before} g JOIN v{before} v ON g.term = v.term, d{j}_{i}_{before})""")
+            parts.append(f"f{j}_{i + 1} AS MATERIALIZED (SELECT term, f / (SELECT sqrt(sum(f * f)) FROM g{j}_{i}_{j}) AS f FROM g{j}_{i}_{j})")
+        last = f"f{j}_{count}"
+        parts.append(f"v{j} AS MATERIALIZED (SELECT term, f * sign((SELECT arg_max(f, abs(f)) FROM {last})) AS f FROM {last})")
+    return ",".join(parts)
+
+
+@query(_TFIDF + "," + _components_sql((40, 75)) + """,
+p0 AS (SELECT doc_id, sum(x * f) AS p FROM u JOIN v0 ON u.term = v0.term GROUP BY doc_id),
+p1 AS (SELECT doc_id, sum(x * f) AS p FROM u JOIN v1 ON u.term = v1.term GROUP BY doc_id)
+SELECT documents.doc_id, round(coalesce(p0.p, 0), 6) + 0.0::DOUBLE AS text_svd_0, round(coalesce(p1.p, 0), 6) + 0.0::DOUBLE AS text_svd_1
+FROM documents LEFT JOIN p0 ON documents.doc_id = p0.doc_id LEFT JOIN p1 ON documents.doc_id = p1.doc_id
+""")
 def text_svd(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return text.text_components(rows, "text", text.fit_text(rows, "text"))
+    found = text.text_components(rows, "text", text.fit_text(rows, "text"))
+    return found.select("doc_id", *[(F.round(n, 6) + F.lit(0.0)).alias(n) for n in ("text_svd_0", "text_svd_1")])
 
 
 def _prepared(spark, sf_dir, mode: str, columns: list[str]):
