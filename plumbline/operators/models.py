@@ -8,8 +8,10 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.config import AuditConfig
 from plumbline.functions.columns import c
 from plumbline.operators.encoding import Design
+from plumbline.operators.svm import GAP, fit_svm
 
 # Model names as users give them, and their short forms.
 MODEL_REGISTRY = {"Logistic Regression": "logistic", "Support Vector Machine": "svm"}
@@ -54,11 +56,13 @@ def fit(
     design: Design,
     label: str = "label",
     features: str = "features",
+    gap: float = GAP,
 ) -> LinearModel:
     """Fit on ``features`` and ``label``; each iteration is one pass over the rows.
 
     Penalty and loss are weighed as for C = 1: the penalty shrinks with the row count, and
-    features are penalised in the units they come in.
+    features are penalised in the units they come in. The hinge loss is minimised with a certificate
+    (:mod:`plumbline.operators.svm`) down to the duality ``gap``, unless the design is too wide for a matrix of its squared width.
     """
     kind = model_type(kind)
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(c(label).cast("double")).alias("ones")).first()
@@ -70,6 +74,9 @@ def fit(
     )
     if kind == "logistic":
         model = LogisticRegression(elasticNetParam=0.0, family="binomial", **settings).fit(df)
+    elif len(design.names) <= AuditConfig().max_dense_features:
+        found = fit_svm(df, settings["regParam"], features, label, gap=gap)
+        return LinearModel(kind, tuple(float(w) for w in found.weights), found.intercept)
     else:
         model = LinearSVC(**settings).fit(df)
     return LinearModel(kind, tuple(float(w) for w in model.coefficients.toArray()), float(model.intercept))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import models, outliers
+from plumbline.operators import models, outliers, svm
 from plumbline.plans.audits import fairness_audit, fit_audit, flag_outliers, quality_audit
 from plumbline.plans.batch import Entry, batch_audit, roll_up
 from plumbline.session import materialise
@@ -46,10 +46,56 @@ def logistic_fit(spark, sf_dir):
     return _weights(spark, model)
 
 
-@query()
+def _svm_sql(steps: int) -> str:
+    """CTEs t (training rows), p (weights) and fit: the hinge loss rounded off ever less, by Newton steps of the best of some lengths."""
+    loss = "CASE WHEN s >= {w} THEN s - {w} / 2 WHEN s > 0 THEN s * s / (2 * {w}) ELSE 0 END"
+    parts = ["""
+t AS MATERIALIZED (SELECT x1, x2, (2 * label - 1)::DOUBLE AS y FROM d WHERE NOT is_test),
+c AS (SELECT 1.0::DOUBLE / count(*) AS c FROM t),
+p0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b)"""]
+    r = 0
+    for width in svm.WIDTHS:
+        w = f"{width!r}::DOUBLE"
+        for _ in range(steps):
+            parts.append(f"""
+h{r} AS (SELECT any_value(c) * any_value(w1) - avg(a * y * x1) AS g1, any_value(c) * any_value(w2) - avg(a * y * x2) AS g2, -avg(a * y) AS g3,
+    any_value(c) + avg(z * x1 * x1) AS h11, avg(z * x1 * x2) AS h12, avg(z * x1) AS h13, any_value(c) + avg(z * x2 * x2) AS h22, avg(z * x2) AS h23, avg(z) + 1e-6 AS h33
+  FROM (SELECT *, least(greatest(s / {w}, 0), 1) AS a, CASE WHEN s > 0 AND s < {w} THEN 1 / {w} ELSE 0 END AS z
+    FROM (SELECT *, 1 - y * (w1 * x1 + w2 * x2 + b) AS s FROM t, p{r}, c))),
+q{r} AS MATERIALIZED (SELECT
+    -(g1 * (h22 * h33 - h23 * h23) - g2 * (h12 * h33 - h13 * h23) + g3 * (h12 * h23 - h13 * h22)) / e AS d1,
+    -(-g1 * (h12 * h33 - h13 * h23) + g2 * (h11 * h33 - h13 * h13) - g3 * (h11 * h23 - h12 * h13)) / e AS d2,
+    -(g1 * (h12 * h23 - h13 * h22) - g2 * (h11 * h23 - h12 * h13) + g3 * (h11 * h22 - h12 * h12)) / e AS d3
+  FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h13 * h23) + h13 * (h12 * h23 - h13 * h22) AS e FROM h{r})),
+e{r} AS MATERIALIZED (SELECT l, any_value(c) / 2 * (power(any_value(w1 + l * d1), 2) + power(any_value(w2 + l * d2), 2)) + avg({loss.format(w=w)}) AS v
+  FROM (SELECT *, 1 - y * ((w1 + l * d1) * x1 + (w2 + l * d2) * x2 + b + l * d3) AS s
+    FROM t, p{r}, q{r}, c, (SELECT unnest([1, 0.5, 0.25, 0.1, 0.01, 1e-3, 1e-4, 0]::DOUBLE[]) AS l)) GROUP BY l),
+p{r + 1} AS MATERIALIZED (SELECT w1 + l * d1 AS w1, w2 + l * d2 AS w2, b + l * d3 AS b FROM p{r}, q{r}, (SELECT arg_min(l, v) AS l FROM e{r}))""")
+            r += 1
+    parts.append(f"""
+fit AS (SELECT any_value(c) / 2 * (any_value(w1 * w1) + any_value(w2 * w2)) + avg(greatest(s, 0)) AS primal,
+    avg(a) - (power(avg(a * y * x1), 2) + power(avg(a * y * x2), 2)) / (2 * any_value(c)) AS dual
+  FROM (SELECT *, least(greatest(s / {svm.WIDTHS[-1]!r}::DOUBLE, 0), 1) AS a FROM (SELECT *, 1 - y * (w1 * x1 + w2 * x2 + b) AS s FROM t, p{r}, c)))""")
+    return ",".join(parts)
+
+
+@query(f"WITH {SCALED_ORDERS}, {_svm_sql(10)} SELECT round(primal, 5) AS primal, round(dual, 3) AS dual, primal - dual BETWEEN -1e-9 AND 1e-4 AS certified FROM fit")
+def svm_certificate(spark, sf_dir):
+    """Objective of the support vector machine and the dual's value, which bounds it from below."""
+    train, _ = _halves(_scaled_orders(spark, sf_dir))
+    found = svm.fit_svm(train, 1.0 / train.count(), gap=0.0)
+    row = [(found.primal, found.dual, -1e-9 <= found.gap <= 1e-4)]
+    return spark.createDataFrame(row, "primal double, dual double, certified boolean").select(
+        F.round("primal", 5).alias("primal"), F.round("dual", 3).alias("dual"), "certified")
+
+
+@query(f"""
+WITH {SCALED_ORDERS}, {_svm_sql(10)}, last AS (SELECT * FROM p{10 * len(svm.WIDTHS)})
+SELECT 'x1' AS term, round(w1, 3) AS weight FROM last UNION ALL SELECT 'x2', round(w2, 3) FROM last UNION ALL SELECT 'intercept', round(b, 3) FROM last
+""")
 def svm_fit(spark, sf_dir):
     train, _ = _halves(_scaled_orders(spark, sf_dir))
-    return _weights(spark, models.fit(train, "svm", _DESIGN))
+    return _weights(spark, models.fit(train, "svm", _DESIGN, gap=0.0)).select("term", (F.round("weight", 3) + F.lit(0.0)).alias("weight"))
 
 
 def _weights(spark, model):
