@@ -217,22 +217,5 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component: one document of each group.
-
-    All columns stay. Rows without an id stay, as nothing tells them apart from others. Where the
-    same id stands in several rows of a group, one of them stays.
-    """
-    groups = materialise(near_groups(docs, radius), "simhash-groups")
-    kept = groups.where("doc_id = component_id or doc_id is null").groupBy("doc_id").count()
-    kept = materialise(kept.withColumnRenamed("doc_id", "__kept_id"), "simhash-kept")
-    # The ids grow with the documents: a merge join at every size, so that cost grows evenly.
-    joined = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if kept.where("__kept_id is not null and count > 1").head(1):
-        with_id = joined.where("doc_id is not null").dropDuplicates(["doc_id"])
-        return with_id.unionByName(joined.where("doc_id is null"))
-    return joined
-
-
 def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))

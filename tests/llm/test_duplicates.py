@@ -151,10 +151,7 @@ def test_groups_match_plain_version(spark):
             least[r] = min(i, least.get(r, i))
     want = sorted((-1 if i is None else i, p, least.get(r, -1)) for (i, _), p, r in zip(rows, prints, root))
     assert sorted((-1 if r[0] is None else r[0], r[1] & (1 << 64) - 1, -1 if r[2] is None else r[2]) for r in found) == want
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted({-1, *least.values()})
-    assert simhash.near_groups(df.where("false")).collect() == [] and simhash.keep_one(df.where("false")).collect() == []
+    assert simhash.near_groups(df.where("false")).collect() == []
 
 
 def test_groups_of_the_documents(spark, sf_dir):
