@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from plumbline.config import AuditConfig
@@ -7,6 +8,7 @@ from plumbline.operators.encoding import Design, Term
 from plumbline.operators.influence import (
     LogisticInfluence, influence_flags, mean_influence, weighted_feature_sum,
 )
+from plumbline.operators.logit import fit_logistic
 from plumbline.operators.models import LinearModel, fit
 
 
@@ -106,6 +108,24 @@ def test_logistic_fit_solves_its_equations(mixed):
     assert abs((p - y).sum()) < 2e-2
 
 
+def test_logistic_fit_is_as_precise_as_doubles(mixed):
+    design, df, m, y, _ = _prepared(mixed, skip=1)
+    model = fit(df, "logistic", design)
+    p = 1 / (1 + np.exp(-(m @ np.array(model.weights) + model.intercept)))
+    gradient = np.append(m.T @ (p - y) + model.weights, (p - y).sum())
+    assert np.all(np.abs(gradient) <= 1e-10 * np.append(np.abs(m.T) @ np.abs(p - y), np.abs(p - y).sum()))
+
+
+def test_logistic_steps_are_shortened_where_whole_ones_overshoot(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 1)), [[4000.0]]])
+    y = np.append((x[:60, 0] > 0).astype(int), 0)
+    rows = [(Vectors.dense(a), int(b)) for a, b in zip(x, y)]
+    *w, b = fit_logistic(spark.createDataFrame(rows, ["features", "label"]), 1e-6)
+    p = 1 / (1 + np.exp(-(x @ np.array(w) + b)))
+    assert np.allclose(np.append(x.T @ (p - y) / len(y) + 1e-6 * np.array(w), (p - y).mean()), 0, atol=1e-8)
+
+
 def test_svm_fit_is_no_worse_than_its_neighbours(mixed):
     design, df, m, y, _ = _prepared(mixed, skip=1)
     model = fit(df, "svm", design)
