@@ -147,3 +147,11 @@ def test_two_text_columns_are_fitted_at_the_same_time(spark):
         together = list(pool.map(lambda n: text.fit_text(df, n), ("s", "t")))
     for x, y in zip(alone, together):
         assert x.vocab == y.vocab and np.allclose(x.loadings, y.loadings, atol=1e-8)
+
+
+@pytest.mark.parametrize("name", ["sensitive_groups"])
+def test_audited_orders_are_joined_once(spark, sf_dir, name):
+    import __spark_entry__ as entry
+
+    found = entry.queries()[name](spark, sf_dir)
+    assert not any("customer" in f for f in found.inputFiles())

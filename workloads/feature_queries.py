@@ -10,12 +10,13 @@ from plumbline.operators.profile import collect_roles
 from plumbline.operators.quantiles import number
 from plumbline.plans import features
 from plumbline.plans.features import encode_sensitive, one_hot_standardised
+from plumbline.session import materialise
 from workloads.fixtures import events_num, orders_wide, table
 from workloads.registry import query
 
 
 def _clean_orders(spark, sf_dir, *columns):
-    return normalise_missing(orders_wide(spark, sf_dir).select(*columns))
+    return materialise(normalise_missing(orders_wide(spark, sf_dir).select(*columns)), "clean-orders")
 
 
 def _clean(n: str) -> str:
