@@ -149,7 +149,7 @@ def test_two_text_columns_are_fitted_at_the_same_time(spark):
         assert x.vocab == y.vocab and np.allclose(x.loadings, y.loadings, atol=1e-8)
 
 
-@pytest.mark.parametrize("name", ["sensitive_groups"])
+@pytest.mark.parametrize("name", ["sensitive_groups", "features_fairness"])
 def test_audited_orders_are_joined_once(spark, sf_dir, name):
     import __spark_entry__ as entry
 

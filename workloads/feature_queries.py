@@ -331,7 +331,7 @@ def text_svd(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir, mode: str, columns: list[str]):
-    rows = orders_wide(spark, sf_dir).select("row_id", *columns, "signal_label")
+    rows = materialise(orders_wide(spark, sf_dir).select("row_id", *columns, "signal_label"), "orders")
     done = features.build_features(rows, "row_id", "signal_label", mode, one_hot_encode=False)
     spot = features.feature_columns(rows)
     return done.data.select("row_id", *[F.col(spot[n]).alias(n) for n in columns], "label")
