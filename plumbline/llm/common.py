@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +48,27 @@ def running_start(rows: DataFrame, group: list[str], block: str, order: list[Col
         .withColumn(name, F.col("_start") + F.col("_within"))
         .drop("_start", "_within")
     )
+
+
+def joining_links(
+    sets: list[np.ndarray], group: np.ndarray, candidates: Iterable[tuple[int, np.ndarray]],
+    linked: Callable[[int, np.ndarray, np.ndarray], np.ndarray],
+) -> Iterator[tuple[int, int]]:
+    """Of the candidates (i, several j) the links that join groups of ``group``, which keeps up with them.
+
+    ``linked`` decides by the size of set i, those of the sets j and what they have in common.
+    """
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    members = [code[lo:hi] for lo, hi in zip((ends - size).tolist(), ends.tolist())]
+    here = np.zeros(len(kinds), bool)
+    for i, j in candidates:
+        here[members[i]] = True
+        sums = np.concatenate([[0], np.cumsum(here[np.concatenate([members[k] for k in j.tolist()])])])
+        here[members[i]] = False
+        last = np.cumsum(size[j])
+        for k in j[linked(size[i], size[j], sums[last] - sums[last - size[j]])].tolist():
+            if group[k] != group[i]:
+                group[group == group[k]] = group[i]
+                yield i, k

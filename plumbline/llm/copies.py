@@ -1,4 +1,4 @@
-"""One document of every group of near copies: SimHash blocks propose pairs, exact Jaccard decides."""
+"""One document of every group of near copies: BK-trees of SimHash blocks propose pairs, exact Jaccard decides."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions
+from plumbline.llm.common import joining_links, partitions
 from plumbline.llm.components import roots
 from plumbline.llm.simhash import _LOWER
 from plumbline.session import materialise
@@ -28,12 +28,16 @@ _LEAST_BLOCK = 16
 _ROWS_PER_VALUE = 4
 _SIGHT = 4
 _NEAR = 8
+# Rows of a part of a crowded block; rows of a subtree that is not split.
+CROWD = 2048
+_LEAF = 64
 _SLICE = 512
 _MOST_BITS = 1 << 26
 _BLOOM_TASKS = 4
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _FIELDS = ["node", "size", *[f"s{i}" for i in range(_SIGHT)]]
 _MEETING = ["shard", "block", *_FIELDS]
+_PLACE = ["shard", "block", "lo", "hi"]
 
 
 def apart(like: float = LIKE[0] / LIKE[1]) -> float:
@@ -81,6 +85,12 @@ def fingerprint(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(sums * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def _hashes(w: list[bytes]) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of SHINGLE words, ascending."""
+    runs = {b" ".join(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), np.uint64, len(runs)))
+
+
 def _node(w: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(w))
 
@@ -96,13 +106,11 @@ def _prints(docs: DataFrame, longs: int) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             node, size, bits, least = [], [], [], []
             for text in batch.column(2):
                 w = words(text.as_py())
-                runs = {b" ".join(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else ()
-                hashes = np.unique(np.fromiter((digest(s, SEED) for s in runs), np.uint64, len(runs)))
+                hashes = _hashes(w)
                 node.append(_node(w))
                 size.append(len(hashes))
                 bits.append(fingerprint(hashes, longs).tobytes())
@@ -157,6 +165,52 @@ def _close(sight: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return d, (d <= _bounds(small)) & (small * LIKE[1] >= large * LIKE[0])
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+class Tree:
+    """A BK-tree of fingerprints: the children of a row are keyed by their Hamming distance to it.
+
+    Rows are kept in the order of the tree, so a subtree is a stretch of rows. A subtree of a few
+    rows is not split, and neither are equal rows.
+    """
+
+    def __init__(self, bits: np.ndarray):
+        self.order = np.arange(len(bits))
+        self.children: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the row at this place: edges, and where children begin and the last one ends
+        stack = [(0, len(bits))]
+        while stack:
+            lo, hi = stack.pop()
+            if hi - lo <= _LEAF:
+                continue
+            rest = self.order[lo + 1:hi]
+            edge = _distance(bits[rest], bits[self.order[lo]])
+            by = np.argsort(edge, kind="stable")
+            self.order[lo + 1:hi] = rest[by]
+            edges, first = np.unique(edge[by], return_index=True)
+            starts = np.append(lo + 1 + first, hi)
+            self.children[lo] = edges, starts
+            stack += [(a, b) for e, a, b in zip(edges.tolist(), starts.tolist(), starts[1:].tolist()) if e]
+        self.bits = bits[self.order]
+
+    def within(self, bits: np.ndarray, radius: float) -> np.ndarray:
+        """The rows that differ from ``bits`` in at most ``radius`` of them."""
+        seen, stack = [], [(0, len(self.order))]
+        while stack:
+            lo, hi = stack.pop()
+            if lo not in self.children:
+                seen.append(np.arange(lo, hi))
+                continue
+            edges, starts = self.children[lo]
+            seen.append(np.array([lo]))
+            d = int(np.bitwise_count(self.bits[lo] ^ bits).sum(dtype=np.int64))
+            first, end = np.searchsorted(edges, d - radius), np.searchsorted(edges, d + radius, side="right")
+            stack += zip(starts[first:end].tolist(), starts[first + 1:end + 1].tolist())
+        at = np.concatenate(seen)
+        return self.order[at[_distance(self.bits[at], bits) <= radius]]
+
+
 def _pairs(node: pa.Array, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
     return [node.take(pa.array(i)), node.take(pa.array(j))]
 
@@ -168,11 +222,13 @@ def _columns(table: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) within the blocks, which come sorted, and the rows of crowded blocks.
 
-    The first rows of a block meet all before them; a later one is paired with the nearest of the
-    rows just before it. Such a block is crowded, and all its rows are given on, so that nobody has
+    The first row of a block is the root of its BK-tree, with the others as children: rows whose edges
+    differ by more than the bound are not compared. The first rows of a block meet all before them; a
+    later one is paired with the nearest of the rows just before it. Such a block is crowded, and all its rows are given on, so that nobody has
     to look for them again. Only a few rows are held, however large a block is.
     """
-    tail, first_rank = None, 0
+    tail, first_rank, first_root = None, 0, np.zeros(_SIGHT, np.uint64)
+    most = _bounds(np.zeros(1))[0]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -184,10 +240,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (np.diff(shard) != 0) | (np.diff(block) != 0)])
         start = np.maximum.accumulate(np.where(new, at, 0))
         rank = at - start + np.where(start == 0, first_rank, 0)
+        top = sight[start]
+        if first_rank:
+            top[start == 0] = first_root
+        edge = _distance(sight, top)
         a, b, best = [], [], np.full(len(at), 1 << 30)
         partner = np.zeros(len(at), np.int64)
         for lag in range(1, _NEAR + 1):
             j = at[(at >= max(old, lag)) & (at - lag >= start)]
+            j = j[np.abs(edge[j] - edge[j - lag]) <= most]
             d, ok = _close(sight, size, j - lag, j)
             j, d = j[ok], d[ok]
             few = rank[j] <= _NEAR
@@ -211,46 +272,109 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(members), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, *[members.column(n).combine_chunks() for n in _MEETING]], names=["a", "b", *_MEETING])
         keep = max(0, len(at) - _NEAR - 1)
-        first_rank = int(rank[keep])
+        first_rank, first_root = int(rank[keep]), top[keep]
         tail = rows.slice(keep).to_batches()[0]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a crowded block whose nodes are in different groups so far; sorted by block and root."""
-
-    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        root = rows.column("root").to_pylist()
-        group = np.cumsum([False, *[x != y for x, y in zip(root, root[1:])]])
-        if group[-1] == 0:
-            return
-        (size,) = _columns(rows, "size")
-        sight = np.stack(_columns(rows, *_FIELDS[2:]), axis=1).view(np.uint64)  # bits of negative numbers are counted otherwise
-        node = rows.column("node").combine_chunks()
-        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
-        ends = np.searchsorted(group, group, side="right")
-        for i in range(len(group)):
-            j = np.arange(ends[i], len(group))
-            if len(j):
-                j = j[_close(sight, size, np.full(len(j), i), j)[1]]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays(_pairs(node, np.full(len(j), i), j), names=["a", "b"])
+def _candidates(sight: np.ndarray, size: np.ndarray, group: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a crowded block, each with the rows of other groups that its BK-tree and the sizes allow.
 
+    ``group`` may change on the way. Every pair comes once, from a row outside the largest group; of
+    two parts of a block only pairs across them.
+    """
+    tree, done, two = Tree(sight), np.zeros(len(group), bool), part.min() != part.max()
+    reach = _bounds(size * LIKE[0] // LIKE[1])
+    for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+        j = tree.within(sight[i], reach[i])
+        j = j[(group[j] != group[i]) & ~done[j]]
+        j = j[part[j] != part[i]] if two else j
+        j = j[_close(sight, size, np.full(len(j), i), j)[1]]
+        done[i] = True
+        if len(j):
+            yield i, j
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one pair of parts of a block at a time; they come sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        shard, block = _columns(batch, "shard", "block")
-        edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0)) + 1
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-            if held and (shard[lo], block[lo]) != last:
-                yield from out(held)
+        keys = np.stack(_columns(batch, *_PLACE), axis=1)
+        edges = (np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist()
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+            key = tuple(keys[lo].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            last = (shard[lo], block[lo])
+            last = key
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from out(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _facts(rows: pa.Table) -> list[np.ndarray]:
+    """Bits of sight, sizes, groups by number and parts."""
+    size, root, part = _columns(rows, "size", "root", "part")
+    sight = np.stack(_columns(rows, *_FIELDS[2:]), axis=1).view(np.uint64)  # bits of negative numbers are counted otherwise
+    return [sight, size.astype(np.int64), np.unique(root, return_inverse=True)[1], part]
+
+
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of crowded blocks that may link with a row of another group."""
+    for rows in _crowds(batches):
+        found = np.zeros(len(rows), bool)
+        for i, j in _candidates(*_facts(rows)):
+            found[i] = found[j] = True
+        yield from rows.filter(pa.array(found)).to_batches()
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the groups of each crowded block, by the rows' whole sets."""
+
+    def linked(n: int, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return both * LIKE[1] >= (n + m - both) * LIKE[0]
+
+    for rows in _crowds(batches):
+        sight, size, group, part = _facts(rows)
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("found")]
+        (node,) = _columns(rows, "node")
+        links = list(joining_links(sets, group, _candidates(sight, size, group, part), linked))
+        a, b = ([x[i] for x in links] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], names=["a", "b"])
+
+
+def _crowded_links(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, rooted: DataFrame, tasks: int) -> DataFrame:
+    """Links (a, b) that join all groups of linked texts which meet in a crowded block.
+
+    Blocks whose rows are one group already are left out. Of the others a BK-tree each finds the rows
+    that may have a partner in another group; only these get their sets of shingles, by which the
+    same trees then decide on the spot, so that links leave a task and not candidates. Large blocks
+    are parts, and every pair of parts is a task's.
+    """
+    inside = _with_roots(crowded, rooted)
+    counted = inside.groupBy("shard", "block").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed"))
+    parts = counted.where("mixed").select("shard", "block", (F.floor(F.col("n") / CROWD) + 1).cast("int").alias("parts"))
+    inside = inside.join(parts, ["shard", "block"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    inside = inside.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    inside = inside.select(*_PLACE, "part", *_FIELDS, "root")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, *_PLACE).sortWithinPartitions(*_PLACE, "node")
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.schema)
+    some = materialise(dealt(inside).mapInArrow(_undecided, fields), "copies-undecided")
+    texts = _texts(docs, nodes, some.select(F.col("node").alias("id")).distinct())
+    rows = some.join(texts.select("id", "text").mapInArrow(_sets, "node long, found binary"), "node")
+    return dealt(rows.select(*some.columns, "found")).mapInArrow(_joining, "a long, b long")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([_hashes(words(x.as_py())).tobytes() for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "found"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -278,12 +402,11 @@ def _bloom(wanted: DataFrame) -> np.ndarray:
     return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in parts])).astype(bool)
 
 
-def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids of nodes whose texts have a Jaccard similarity of at least LIKE.
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the nodes of these ids.
 
     A Bloom filter of the wanted nodes keeps most other texts out of the exchange; the join decides.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = materialise(nodes.select("id", "node").join(ids, "id"), "copies-wanted")
     bloom = _bloom(wanted)
 
@@ -294,13 +417,19 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 some = pa.array(bloom[_places(found, len(bloom))].all(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0)], names=["node", "text"]).filter(some)
 
+    named = docs.select("text").mapInArrow(name, "node binary, text string").join(wanted, "node")
+    return materialise(named.groupBy("id").agg(F.min("text").alias("text")), "copies-texts")
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids of nodes whose texts have a Jaccard similarity of at least LIKE."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    named = docs.select("text").mapInArrow(name, "node binary, text string").join(wanted, "node")
-    texts = materialise(named.groupBy("id").agg(F.min("text").alias("text")), "copies-texts")
+    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -315,9 +444,10 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
     Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more;
     groups are what links connect. Texts of equal words are one node; blank and null texts are one.
-    Fingerprints that agree on a block of bits meet; a pair is linked only after an exact check.
-    Crowded blocks are joined in two steps: each row with one neighbour, and then, in full, the rows
-    that are not in one group yet. A large group thus costs links for its rows, not for its pairs.
+    Fingerprints that agree on a block of bits meet in its BK-tree; a pair is linked only after an
+    exact check. Crowded blocks are joined in two steps: each row with one neighbour, and then, in
+    full, the rows that are not in one group yet. A large group thus gives links for its rows, not
+    for its pairs, also if its rows are alike but not linked.
     """
     n = docs.count()
     width, count = blocks(n)
@@ -333,11 +463,8 @@ def near_rows(docs: DataFrame) -> DataFrame:
     rooted = roots(links)
     crowded = found.where("a is null").select(*_MEETING)
     if crowded.head(1):
-        inside = _with_roots(crowded, rooted)
-        inside = inside.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "root", "node")
-        more = _ordered(inside.select("shard", "block", *_FIELDS, "root").mapInArrow(_across, "a long, b long"))
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "copies-pairs")
-        rooted = roots(links.unionByName(materialise(_checked(docs, nodes, more), "copies-links")))
+        more = materialise(_crowded_links(docs, nodes, crowded, rooted, tasks), "copies-links")
+        rooted = roots(links.unionByName(more))
     named = _with_roots(nodes.select(F.col("id").alias("node"), F.col("node").alias("digest")), rooted)
     rows = prints.select("doc_id", "row_text", F.col("node").alias("digest"))
     return rows.join(named, "digest").select("doc_id", "row_text", "root")

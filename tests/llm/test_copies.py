@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from plumbline.llm import copies
@@ -71,3 +72,48 @@ def test_rows_of_one_id_are_told_apart(spark):
 def test_blocks_meet_at_the_least_similarity(n):
     bits, count = copies.blocks(n)
     assert n / 2**bits <= 4 and (1 - (1 - copies.apart()) ** bits) ** count <= 0.01
+
+
+def test_tree_finds_all_within_a_radius(monkeypatch):
+    monkeypatch.setattr(copies, "_LEAF", 4)
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    bits[100:200] = bits[0] ^ (np.uint64(1) << rng.integers(0, 60, (100, 4), dtype=np.uint64))
+    bits[200:240] = bits[7]
+    tree = copies.Tree(bits)
+    assert sorted(tree.order) == list(range(300)) and len(tree.children) > 5
+    for i in (0, 7, 120, 299):
+        for radius in (0, 3, 8, 61.7, 125):
+            d = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
+            assert sorted(tree.within(bits[i], radius)) == np.flatnonzero(d <= radius).tolist()
+
+
+def counted(monkeypatch, module):
+    """Rows of every table the module writes from here on."""
+    rows, write = {}, module.materialise
+
+    def count(df, name):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialise", count)
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [40, 2048])
+def test_a_large_group_without_links_costs_rows_not_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(copies, "CROWD", crowd)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(400):  # four words of 200 differ: some 0.66 alike; every tenth has one like it, with four more words
+        w = list(base)
+        for at in rng.sample(range(1, 39), 4):
+            w[5 * at] = f"v{rng.randrange(10**6)}"
+        texts += [" ".join(w)] + [" ".join([*w, "and", "so", "it", "ends"])] * (i % 10 == 0)
+    rows = counted(monkeypatch, copies)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in copies.keep_one(df).collect()}
+    assert kept == set(plain_roots(texts)) and len(kept) >= 395
+    assert rows["copies-pairs"] <= 80 * len(texts) and rows["copies-links"] <= 2 * len(texts), rows
