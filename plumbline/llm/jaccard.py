@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions
+from plumbline.llm.common import joining_links, partitions
 from plumbline.llm.components import roots
 from plumbline.session import materialise
 
@@ -311,39 +311,75 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = rows.slice(keep).to_batches()[0]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates between sets of different groups in one pair of blocks of a list; sorted by list, pair, root."""
+_PLACE = ["element", "lo", "hi"]
+_MEMBER = [*_PLACE, "block", "node", "size", "root", *_MAPS]
 
-    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        block, node, size, root = _arrays(rows, "block", "node", "size", "root")
-        size, maps = size.astype(np.int64), np.stack(_arrays(rows, *_MAPS), axis=1).view(np.uint64)
-        two = block.min() != block.max()
-        ends = np.searchsorted(root, root, side="right")
-        for i in range(len(root)):
-            j = np.arange(ends[i], len(root))
-            j = j[block[j] != block[i]] if two else j
-            if len(j):
-                j = j[_could(maps, size, np.full(len(j), i), j)[1]]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), node[i])), pa.array(node[j])], names=["a", "b"])
 
+def _candidates(block: np.ndarray, size: np.ndarray, group: np.ndarray, maps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a pair of blocks, each with the rows of other groups that parity maps and sizes allow.
+
+    ``group`` may change on the way. Every pair comes once, from a row outside the largest group; of
+    two blocks only pairs across them.
+    """
+    done, two = np.zeros(len(group), bool), block.min() != block.max()
+    for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+        j = np.flatnonzero((group != group[i]) & ~done)
+        j = j[block[j] != block[i]] if two else j
+        j = j[_could(maps, size, np.full(len(j), i), j)[1]]
+        done[i] = True
+        if len(j):
+            yield i, j
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one pair of blocks of a list at a time; they come sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in ("element", "lo", "hi")], axis=1)
+        keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in _PLACE], axis=1)
         edges = (np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist()
         for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
             key = tuple(keys[lo].tolist())
             if held and key != last:
-                yield from out(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             last = key
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from out(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _facts(rows: pa.Table) -> list[np.ndarray]:
+    """Blocks, sizes, groups by number and parity maps."""
+    block, size, root = _arrays(rows, "block", "size", "root")
+    maps = np.stack(_arrays(rows, *_MAPS), axis=1).view(np.uint64)
+    return [block, size.astype(np.int64), np.unique(root, return_inverse=True)[1], maps]
+
+
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of crowded lists that may link with a row of another group."""
+    for rows in _lists(batches):
+        found = np.zeros(len(rows), bool)
+        for i, j in _candidates(*_facts(rows)):
+            found[i] = found[j] = True
+        yield from rows.filter(pa.array(found)).to_batches()
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the groups in each pair of blocks of a list, by whole sets."""
+
+    def linked(n: int, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return both >= need(n, m)
+
+    for rows in _lists(batches):
+        block, size, group, maps = _facts(rows)
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("found")]
+        node = rows.column("node").to_numpy()
+        links = list(joining_links(sets, group, _candidates(block, size, group, maps), linked))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(node[np.array([x[k] for x in links], np.int64)]) for k in (0, 1)], names=["a", "b"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -354,6 +390,20 @@ def _id(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
 
+def _whole(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and found (its whole set) of the nodes in ``wanted``."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([x.tobytes() for x in _texts(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "found"])
+
+    wanted = nodes.select("node", _id().alias("__id"), "text_key").join(wanted, "node")
+    texts = docs.select(_id().alias("__id"), F.xxhash64("text").alias("text_key"), "text").join(wanted, ["__id", "text_key"])
+    found = texts.select("node", "text").mapInArrow(whole, "node long, found binary")
+    return materialise(found.groupBy("node").agg(F.min("found").alias("found")), "jaccard-whole")
+
+
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of at least LIKE."""
 
@@ -363,11 +413,6 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([x.tobytes() for x in _texts(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "found"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -380,11 +425,7 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     maps = nodes.select("node", "size", "wide")
     both = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
     pairs = materialise(both.select("a", "b", "n", "x", "m", "y").mapInArrow(possible, "a long, b long"), "jaccard-possible")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", _id().alias("__id"), "text_key").join(wanted, "node")
-    texts = docs.select(_id().alias("__id"), F.xxhash64("text").alias("text_key"), "text").join(wanted, ["__id", "text_key"])
-    found = texts.select("node", "text").mapInArrow(whole, "node long, found binary")
-    found = materialise(found.groupBy("node").agg(F.min("found").alias("found")), "jaccard-whole")
+    found = _whole(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(
         found.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -408,10 +449,15 @@ def _list_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFram
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     inside = inside.join(mixed, "element", "left_semi").withColumn("other", other).withColumns(
         {"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    inside = inside.repartition(tasks, "element", "lo", "hi").sortWithinPartitions("element", "lo", "hi", "root", "node")
-    more = inside.select("element", "lo", "hi", "block", "node", "size", "root", *_MAPS).mapInArrow(_across, "a long, b long")
-    more = materialise(_ordered(more).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-    return links.unionByName(_checked(docs, nodes, more))
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, *_PLACE).sortWithinPartitions(*_PLACE, "node")
+
+    inside = inside.select(*_MEMBER)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.schema)
+    some = materialise(dealt(inside).mapInArrow(_undecided, fields), "jaccard-undecided")
+    rows = some.join(_whole(docs, nodes, some.select("node").distinct()), "node").select(*_MEMBER, "found")
+    more = materialise(dealt(rows).mapInArrow(_joining, "a long, b long"), "jaccard-joining")
+    return links.unionByName(more)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -425,7 +471,8 @@ def groups(docs: DataFrame) -> DataFrame:
     large ones, and small ones that can link with them, through inverted lists of their rarest
     elements, after which candidates are held against each other in full. The boundary is where both
     cost least. Links join groups but are not listed in full: in a crowded list every set meets its
-    likest neighbour, and then only sets of different groups meet, block by block.
+    likest neighbour, and then only sets of different groups meet, block by block, where their whole
+    sets decide on the spot: links leave a task, not candidates.
 
     Null ids never name a component of others; repeated rows get a row each; an empty table gives
     none. Texts are read a stretch at a time, at any length.

@@ -136,3 +136,29 @@ def test_subset_links_join_every_pair_of_small_sets(spark):
     for a, b in links:
         x, y = plain_sets(texts[a]), plain_sets(texts[b])
         assert 100 * len(x & y) >= 90 * len(x | y)
+
+
+@pytest.mark.parametrize("crowd", [60, 4096])
+def test_a_large_group_without_links_costs_rows_not_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    texts = []
+    for i in range(300):  # eight words of 600 differ: some 0.88 alike, by parity maps perhaps 0.9; every tenth has a copy with one more word
+        w = list(base)
+        for at in [0, 599, *(3 * x for x in rng.sample(range(1, 199), 6))]:
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts += [" ".join(w)] + [" ".join([*w, "end"])] * (i % 10 == 0)
+    counts, write = {}, jaccard.materialise
+
+    def count(df, name):
+        out = write(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", count)
+    rows = list(enumerate(texts))
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain_groups(rows))
+    assert len({r["component_id"] for r in found}) >= 280
+    assert max(counts.get(n, 0) for n in ("jaccard-pairs", "jaccard-links", "jaccard-joining")) <= 12 * len(texts), counts
