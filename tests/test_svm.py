@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from plumbline.operators.logit import fit_logistic
 from plumbline.operators.svm import fit_svm
 
 
@@ -42,3 +44,29 @@ def test_separable_and_one_sided_rows(spark):
     assert still.primal == pytest.approx(2 / 3, abs=2e-4) and still.gap <= 1e-4
     with pytest.raises(ValueError, match="no training rows"):
         fit_svm(table(spark, x, np.array([0, 0, 1, 1])).where("label > 5"), 0.1)
+
+
+@pytest.mark.parametrize("fit", [lambda df: fit_svm(df, 0.01).passes, lambda df: len(fit_logistic(df, 0.01))])
+def test_rows_are_prepared_once(spark, fit):
+    rng = np.random.default_rng(5)
+    places = rng.integers(0, 8, 200)
+    rows = [(Vectors.sparse(9, [int(p), 8], [1.0, float(v)]), int(v + (p > 3) > 0.5)) for p, v in zip(places, rng.normal(size=200))]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def label(y):
+        seen.add(1)
+        return y
+
+    df = spark.createDataFrame(rows, ["features", "y"]).repartition(3)
+    assert fit(df.withColumn("label", label("y"))) > 5
+    assert seen.value <= 400  # passes read what was written, not the source
+
+
+def test_sparse_and_dense_rows_fit_alike(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)) * (rng.random((120, 5)) < 0.4)
+    y = (x[:, 0] + rng.normal(size=120) > 0).astype(int)
+    mixed = [(Vectors.dense(a) if i % 3 else Vectors.sparse(5, {int(j): float(a[j]) for j in np.flatnonzero(a)}), int(b)) for i, (a, b) in enumerate(zip(x, y))]
+    one, two = fit_logistic(table(spark, x, y), 0.1), fit_logistic(spark.createDataFrame(mixed, ["features", "label"]), 0.1)
+    assert one == pytest.approx(two, abs=1e-9)
