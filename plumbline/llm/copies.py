@@ -223,9 +223,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) within the blocks, which come sorted, and the rows of crowded blocks.
 
     The first row of a block is the root of its BK-tree, with the others as children: rows whose edges
-    differ by more than the bound are not compared. The first rows of a block meet all before them; a
-    later one is paired with the nearest of the rows just before it. Such a block is crowded, and all its rows are given on, so that nobody has
-    to look for them again. Only a few rows are held, however large a block is.
+    differ by more than the bound are not compared. The rows of a small block meet all before them. A
+    block of more rows is crowded: a row is paired with the nearest of the rows just before it, and all its rows are
+    given on, each with its pair, so that nobody has to look for them again. A crowded block thus gives
+    no more rows than it has, and the few pairs of its first if a batch ends there. Only a few rows are held, however large a block is.
     """
     tail, first_rank, first_root = None, 0, np.zeros(_SIGHT, np.uint64)
     most = _bounds(np.zeros(1))[0]
@@ -244,6 +245,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first_rank:
             top[start == 0] = first_root
         edge = _distance(sight, top)
+        crowded = np.zeros(len(at), bool)
+        crowded[start[rank > _NEAR]] = True
+        crowded = crowded[start]
         a, b, best = [], [], np.full(len(at), 1 << 30)
         partner = np.zeros(len(at), np.int64)
         for lag in range(1, _NEAR + 1):
@@ -251,14 +255,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = j[np.abs(edge[j] - edge[j - lag]) <= most]
             d, ok = _close(sight, size, j - lag, j)
             j, d = j[ok], d[ok]
-            few = rank[j] <= _NEAR
+            few = ~crowded[j]
             a.append(j[few] - lag)
             b.append(j[few])
             j, d = j[~few], d[~few]
             nearer = d < best[j]
             best[j[nearer]], partner[j[nearer]] = d[nearer], j[nearer] - lag
-        many = np.flatnonzero(best < 1 << 30)
-        left, right = np.concatenate([*a, partner[many]]), np.concatenate([*b, many])
+        left, right = np.concatenate(a), np.concatenate(b)
         node = rows.column("node").combine_chunks()
         node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
         yield pa.RecordBatch.from_arrays(
@@ -269,8 +272,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lag in range(1, _NEAR + 2):
             member[first - lag] = True
         members = rows.filter(pa.array(member)).combine_chunks()
-        none = pa.nulls(len(members), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, *[members.column(n).combine_chunks() for n in _MEETING]], names=["a", "b", *_MEETING])
+        chosen, lone = np.flatnonzero(member), best[member] == 1 << 30
+        pair = [pa.array(node.to_numpy(zero_copy_only=False)[x], mask=lone) for x in (partner[chosen], chosen)]
+        yield pa.RecordBatch.from_arrays([*pair, *[members.column(n).combine_chunks() for n in _MEETING]], names=["a", "b", *_MEETING])
         keep = max(0, len(at) - _NEAR - 1)
         first_rank, first_root = int(rank[keep]), top[keep]
         tail = rows.slice(keep).to_batches()[0]
@@ -461,7 +465,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
     pairs = materialise(_ordered(found.where("a is not null").select("a", "b")), "copies-pairs")
     links = materialise(_checked(docs, nodes, pairs), "copies-links")
     rooted = roots(links)
-    crowded = found.where("a is null").select(*_MEETING)
+    crowded = found.where("shard is not null").select(*_MEETING)
     if crowded.head(1):
         more = materialise(_crowded_links(docs, nodes, crowded, rooted, tasks), "copies-links")
         rooted = roots(links.unionByName(more))

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import copies
@@ -117,3 +118,17 @@ def test_a_large_group_without_links_costs_rows_not_pairs(spark, monkeypatch, cr
     kept = {r["doc_id"] for r in copies.keep_one(df).collect()}
     assert kept == set(plain_roots(texts)) and len(kept) >= 395
     assert rows["copies-pairs"] <= 80 * len(texts) and rows["copies-links"] <= 2 * len(texts), rows
+
+
+@pytest.mark.parametrize("batch", [7, 64, 400])
+def test_a_crowded_block_gives_its_rows_once(batch):
+    rng = np.random.default_rng(8)
+    sight = np.repeat(rng.integers(0, 1 << 62, (1, copies._SIGHT)), 300, axis=0) ^ (1 << rng.integers(0, 60, (300, copies._SIGHT)))
+    columns = [np.zeros(300, np.int32), np.zeros(300, np.int64), np.arange(300), np.full(300, 50, np.int32), *sight.T]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=copies._MEETING)
+    found = pa.Table.from_batches(copies._neighbours(rows.slice(at, batch) for at in range(0, 300, batch))).to_pylist()
+    assert len(found) <= 300 + (copies._NEAR * (copies._NEAR + 1) / 2 if batch <= copies._NEAR else 0)
+    assert sorted(r["node"] for r in found if r["shard"] is not None) == list(range(300))
+    # Pairs connect the whole block, and a row that carries one is its second node.
+    assert {r["b"] for r in found if r["a"] is not None} == set(range(1, 300))
+    assert all(r["node"] in (None, r["b"]) for r in found if r["a"] is not None)
