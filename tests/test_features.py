@@ -155,3 +155,17 @@ def test_audited_orders_are_joined_once(spark, sf_dir, name):
 
     found = entry.queries()[name](spark, sf_dir)
     assert not any("customer" in f for f in found.inputFiles())
+
+
+def test_texts_are_searched_for_tokens_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def given(text):
+        seen.add(1)
+        return text
+
+    df = spark.createDataFrame([(f"word{i % 7} and word{i % 3} more",) for i in range(60)], "t string").repartition(3)
+    model = text.fit_text(df.select(given("t").alias("t")), "t")
+    assert seen.value <= 60 and "word6" in model.vocab.terms
+    assert model.vocab == text.fit_vocabulary(df, "t")
