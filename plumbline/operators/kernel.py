@@ -2,9 +2,10 @@
 
 The kernel is smooth, so few of its columns span it: landmark rows are chosen one after the other
 where the kernel of the rows so far explains least (a pivoted Cholesky factorisation whose pivots are
-searched over all rows), until no row is left with more than a tolerance. What a row keeps
-unexplained is measured exactly for every row, and the mean over all rows bounds the error of every
-component's variance. The number of landmarks follows the kernel and the tolerance, not the number of rows.
+searched over all rows), until no row is left with more than a tolerance. Thinned rows propose most
+landmarks, one pass over all rows finds what these leave, and only such rows are read again. What rows
+keep unexplained is summed over every row, and the mean bounds the error of every component's variance.
+The number of landmarks follows the kernel and the tolerance, not the number of rows.
 Random Fourier features are an option for designs whose kernel no few landmarks span.
 """
 
@@ -14,10 +15,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.functions.columns import c
 from plumbline.operators.gramian import gram_sums, matrix
@@ -34,6 +35,8 @@ MOST_LANDMARKS = 2048
 _FROM_TASK = 64
 _POOL = 1024
 _SLAB = 1000
+# One point in so many, by hash, proposes the first landmarks.
+_THIN = 16
 
 
 def fourier_features(width: int, gamma: float, features: int = FEATURES) -> Callable[[np.ndarray], np.ndarray]:
@@ -50,8 +53,27 @@ def fourier_features(width: int, gamma: float, features: int = FEATURES) -> Call
 
 def kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     """exp(-gamma · squared distance) of all rows of ``x`` and ``y``."""
-    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
-    return np.exp(-gamma * np.maximum(d, 0))
+    d = 2 * x @ y.T
+    d -= (x * x).sum(axis=1)[:, None]
+    d -= (y * y).sum(axis=1)
+    np.minimum(d, 0, out=d)
+    d *= gamma
+    return np.exp(d, out=d)
+
+
+def lower_inverse(low: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by halves.
+
+    It takes products only: ``np.linalg.inv`` of some 110 to 126 rows never returned in a process that
+    had forked, as a driver does to start its JVM, where OpenBLAS has several threads.
+    """
+    n, out = len(low), np.zeros_like(low)
+    if n < 2:
+        return 1 / low
+    h = n // 2
+    out[:h, :h], out[h:, h:] = lower_inverse(low[:h, :h]), lower_inverse(low[h:, h:])
+    out[h:, :h] = -out[h:, h:] @ (low[h:, :h] @ out[:h, :h])
+    return out
 
 
 @dataclass(frozen=True)
@@ -66,13 +88,17 @@ class Landmarks:
         """Features whose inner products are the kernel of ``x`` as far as the landmarks explain it."""
         return kernel(x, self.rows, self.gamma) @ self.inverse.T if len(self.rows) else np.zeros((len(x), 0))
 
+    def along(self, x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+        """The features along the columns of ``axes`` only, which spares the others."""
+        return kernel(x, self.rows, self.gamma) @ (self.inverse.T @ axes) if len(self.rows) else np.zeros((len(x), axes.shape[1]))
+
     def unexplained(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(1 - (self(x) ** 2).sum(axis=1), 0)
 
     def with_rows(self, more: np.ndarray) -> Landmarks:
         rows = np.concatenate([self.rows, more])
         k = kernel(rows, rows, self.gamma) + 1e-14 * np.eye(len(rows))
-        return Landmarks(rows, np.linalg.inv(np.linalg.cholesky(k)), self.gamma)
+        return Landmarks(rows, lower_inverse(np.linalg.cholesky(k)), self.gamma)
 
 
 def pivots(x: np.ndarray, known: Landmarks, most: int, tolerance: float) -> list[int]:
@@ -92,52 +118,70 @@ def pivots(x: np.ndarray, known: Landmarks, most: int, tolerance: float) -> list
     return chosen
 
 
-def find_landmarks(rows: DataFrame, width: int, gamma: float, tolerance: float = TOLERANCE, most: int = MOST_LANDMARKS) -> tuple[Landmarks, float, float]:
-    """Landmarks, and the largest and mean share of a row's kernel that they leave unexplained.
+def _left(rows: DataFrame, known: Landmarks, tolerance: float) -> DataFrame:
+    """``(x, left)``: rows of which the landmarks leave more than the tolerance."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0)) if batch.num_rows else np.zeros((0, known.rows.shape[1]))
+            left = np.concatenate([np.empty(0), *[known.unexplained(x[at:at + _SLAB]) for at in range(0, len(x), _SLAB)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left)], names=["x", "left"]).filter(pa.array(left > tolerance))
+
+    return materialise(rows.select("x").mapInArrow(keep, "x array<double>, left double"), "kernel-left")
+
+
+def _offers(rows: DataFrame, known: Landmarks, room: int, tolerance: float) -> np.ndarray:
+    """Pivots that the tasks find among ``rows``, the least explained ones."""
+    width = known.rows.shape[1]
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, width))
+        for batch in batches:
+            x = matrix(batch.column(0)) if batch.num_rows else held[:0]
+            for at in range(0, len(x), _SLAB):
+                part = np.unique(np.concatenate([held, x[at:at + _SLAB]]), axis=0)
+                held = part[pivots(part, known, room, tolerance)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r.tolist() for r in held], pa.list_(pa.float64())), pa.array(known.unexplained(held))], names=["x", "left"])
+
+    offered = rows.select("x").mapInArrow(offer, "x array<double>, left double")
+    return np.array([r["x"] for r in offered.orderBy(F.col("left").desc(), "x").limit(_POOL).collect()]).reshape(-1, width)
+
+
+def _explain(rows: DataFrame, known: Landmarks, tolerance: float, most: int) -> tuple[Landmarks, float]:
+    """More landmarks, until no row is left or there are ``most``, and what any row keeps unexplained at most.
 
-    ``rows`` has one column ``x`` of arrays. Each round is one pass: every task factorises the
-    batches it reads and offers its pivots, the driver picks among the least explained ones.
+    What is within the tolerance stays so, thus each round reads only the rows that the last one left.
     """
-    known = Landmarks(np.zeros((0, width)), np.zeros((0, 0)), gamma)
     while True:
-        room = min(_FROM_TASK, most - len(known.rows))
-
-        def offer(batches: Iterator[pa.RecordBatch], known: Landmarks = known, room: int = room) -> Iterator[pa.RecordBatch]:
-            held, worst, total, n = np.zeros((0, width)), 0.0, 0.0, 0
-            for batch in batches:
-                x = matrix(batch.column(0)) if batch.num_rows else np.zeros((0, width))
-                for at in range(0, len(x), _SLAB):
-                    part = x[at:at + _SLAB]
-                    left = known.unexplained(part)
-                    worst, total, n = max(worst, float(left.max())), total + float(left.sum()), n + len(part)
-                    part = np.unique(np.concatenate([held, part[left > tolerance]]), axis=0)
-                    held = part[pivots(part, known, room, tolerance)]
-            left = known.unexplained(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tolist() for r in held], pa.list_(pa.float64())), pa.array(left)], names=["x", "left"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([[worst, total, float(n)]], pa.list_(pa.float64())), pa.array([None], pa.float64())], names=["x", "left"])
-
-        offered = materialise(rows.mapInArrow(offer, "x array<double>, left double"), "kernel-offers")
-        sums = offered.where("left IS NULL").agg(
-            F.max(F.get("x", F.lit(0))).alias("worst"), F.sum(F.get("x", F.lit(1))).alias("total"), F.sum(F.get("x", F.lit(2))).alias("n")).first()
-        worst, mean = sums["worst"] or 0.0, (sums["total"] or 0.0) / max(1.0, sums["n"] or 0.0)
-        pool = [r["x"] for r in offered.where("left IS NOT NULL").orderBy(F.col("left").desc(), "x").limit(_POOL).collect()]
-        if worst <= tolerance or room <= 0 or not pool:
-            return known, worst, mean
-        pool = np.array(pool)
-        new = pivots(pool, known, min(_POOL, most - len(known.rows)), tolerance)
+        rows = _left(rows, known, tolerance)
+        worst = rows.agg(F.max("left")).first()[0] or 0.0
+        pool = _offers(rows, known, min(_FROM_TASK, most - len(known.rows)), tolerance) if worst and len(known.rows) < most else []
+        new = pivots(pool, known, min(_POOL, most - len(known.rows)), tolerance) if len(pool) else []
         if not new:
-            return known, worst, mean
+            return known, max(worst, tolerance)
         known = known.with_rows(pool[new])
 
 
+def find_landmarks(rows: DataFrame, width: int, gamma: float, tolerance: float = TOLERANCE, most: int = MOST_LANDMARKS) -> tuple[Landmarks, float]:
+    """Landmarks, and a bound on the share of a row's kernel that they leave unexplained.
+
+    ``rows`` has one column ``x`` of arrays. In each round every task factorises the batches it
+    reads and offers its pivots, the driver picks among the least explained ones. Thinned rows choose up to
+    half of the landmarks there may be; all rows decide when it is enough.
+    """
+    known = Landmarks(np.zeros((0, width)), np.zeros((0, 0)), gamma)
+    thinned = rows.where(F.pmod(F.xxhash64("x"), F.lit(_THIN)) == 0)
+    known, _ = _explain(thinned, known, tolerance, most // 2)
+    return _explain(rows, known, tolerance, most)
+
+
 @dataclass(frozen=True)
 class KernelPca:
     """The embedding, the mean of all rows in it, the components and their variances.
 
     ``error`` bounds how far each variance is from that of the kernel itself (None for random
-    features, which have no such bound); ``worst`` is the most any row keeps unexplained.
+    features, which have no such bound); no row keeps more than ``worst`` unexplained.
     """
 
     embed: Callable[[np.ndarray], np.ndarray]
@@ -149,10 +193,13 @@ class KernelPca:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Squared distance to the mean in feature space, less that along the components."""
-        z = self.embed(x)
-        # A row's kernel with itself is 1, of which the embedding may explain a little less.
-        own = np.ones(len(x)) if self.error is not None else (z**2).sum(axis=1)
-        return own - 2 * z @ self.centre + self.centre @ self.centre - (((z - self.centre) @ self.axes) ** 2).sum(axis=1)
+        if isinstance(self.embed, Landmarks):
+            # A row's kernel with itself is 1, of which the embedding may explain a little less.
+            own, along = 1.0, self.embed.along(x, np.column_stack([self.centre, self.axes]))
+        else:
+            z = self.embed(x)
+            own, along = (z**2).sum(axis=1), z @ np.column_stack([self.centre, self.axes])
+        return own - 2 * along[:, 0] + self.centre @ self.centre - ((along[:, 1:] - self.centre @ self.axes) ** 2).sum(axis=1)
 
 
 def fit_kernel_pca(
@@ -165,9 +212,12 @@ def fit_kernel_pca(
     if features:
         embed: Callable[[np.ndarray], np.ndarray] = fourier_features(width, gamma, features)
     else:
-        embed, worst, error = find_landmarks(sample.select("x"), width, gamma, tolerance)
+        embed, worst = find_landmarks(sample.select("x"), width, gamma, tolerance)
     each = [F.get("x", F.lit(i)) for i in range(width)]
     n, sums, products = gram_sums(sample, each, np.zeros(width), embed)
+    if not features:
+        # A row's kernel with itself is 1, its share of the trace is what the landmarks explain.
+        error = max(0.0, 1 - float(np.trace(products)) / n) if n else 0.0
     centre = sums / max(n, 1.0)
     spread, axes = np.linalg.eigh(products / max(n, 1.0) - np.outer(centre, centre))
     top = np.argsort(spread)[::-1][:components]
@@ -176,11 +226,11 @@ def fit_kernel_pca(
 
 
 def _sample(df: DataFrame, row_id: str, columns: list[str], frac: float) -> tuple[DataFrame, DataFrame]:
-    picked = df.select(
-        c(row_id).alias("row_id"), F.array(*[number(n) for n in columns]).alias("x"),
-        in_share(c(row_id), frac, SAMPLE_SEED).alias("sampled"),
-    )
-    return picked, picked.where(c("sampled") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    """``(row_id, x)`` of all rows, ``x`` null where not sampled or with a gap, and those with ``x``; written once, as every pass reads them."""
+    x = F.array(*[number(n) for n in columns])
+    taken = in_share(c(row_id), frac, SAMPLE_SEED) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    picked = materialise(df.select(c(row_id).alias("row_id"), F.when(taken, x).alias("x")), "kernel-rows")
+    return picked, picked.where(c("x").isNotNull())
 
 
 def kernel_components(
@@ -209,16 +259,16 @@ def kernel_pca_outliers(
     picked, sample = _sample(df, row_id, columns, frac)
     model = fit_kernel_pca(sample, len(columns), components, features=features)
 
-    @F.pandas_udf("double")
-    def residual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            parts = [np.empty(0)]
-            for at in range(0, len(x), _SLAB):
-                parts.append(model.score(np.stack(x.to_numpy()[at:at + _SLAB])))
-            yield pd.Series(np.concatenate(parts))
-
-    scores = materialise(sample.select("row_id", residual("x").alias("score")), "kernel_scores")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            scores = np.zeros(len(known))
+            if known.any():
+                x = matrix(batch.column(1).drop_null())
+                scores[known] = np.concatenate([model.score(x[at:at + _SLAB]) for at in range(0, len(x), _SLAB)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, mask=~known)], names=["row_id", "score"])
+
+    schema = StructType([picked.schema["row_id"], StructField("score", DoubleType())])
+    scores = materialise(picked.mapInArrow(score, schema), "kernel_scores")
     cut = quantiles(scores, ["score"], [1 - contamination])["score"][0]
-    flagged = scores.withColumn("is_outlier", c("score") > F.lit(cut))
-    return picked.select("row_id").join(flagged, "row_id", "left").withColumn(
-        "is_outlier", F.coalesce(c("is_outlier"), F.lit(False)))
+    return scores.withColumn("is_outlier", F.coalesce(c("score") > F.lit(cut), F.lit(False)))

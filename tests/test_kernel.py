@@ -1,5 +1,9 @@
 """Kernel PCA against the whole kernel matrix."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -75,3 +79,57 @@ def test_few_and_equal_rows(spark, x):
     assert len(rows) == len(x) + 2
     scored = [r.score for r in rows if r.score is not None]
     assert scored == pytest.approx(exact(x, 10)[0].tolist() if len(x) else [], abs=1e-7)
+
+
+def test_the_source_is_read_once_and_settled_rows_are_not_searched_again(spark, monkeypatch):
+    """Every round used to read all rows of the source, and so did the score and the join after it."""
+    x, seen, left = points(), spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "kernel-left":
+            left.append(out.count())
+        return out
+
+    written = kernel.materialise
+    monkeypatch.setattr(kernel, "materialise", kept)
+    monkeypatch.setattr(kernel, "_FROM_TASK", 8)
+    rows = table(spark, x)
+    found = kernel.kernel_pca_outliers(rows.mapInArrow(count, rows.schema), "id", ["a", "b"]).collect()
+    assert len(found) == 302 and seen.value == 302
+    thinned = left.index(0) + 1
+    for part in (left[:thinned], left[thinned:]):
+        assert part == sorted(part, reverse=True) and part[-1] == 0
+    assert left[0] < 60 and left[thinned] < 300
+
+
+def test_repeated_ids_give_each_row_once(spark):
+    rows = table(spark, points()).selectExpr("id % 3 AS id", "a", "b")
+    assert kernel.kernel_pca_outliers(rows, "id", ["a", "b"]).count() == 302
+
+
+def test_landmarks_of_a_process_that_forked():
+    """``np.linalg.inv`` waited for ever at 110 to 126 rows, once a driver had started its JVM."""
+    code = """
+import subprocess
+import numpy as np
+from plumbline.operators import kernel
+subprocess.Popen(["true"], preexec_fn=lambda: None).wait()
+rows = np.random.default_rng(1).uniform(-20, 20, size=(126, 2))
+known = kernel.Landmarks(rows[:0], np.zeros((0, 0)), 0.5).with_rows(rows)
+assert known.unexplained(rows).max() < 1e-9
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"OMP_NUM_THREADS": "8", "PYTHONPATH": root}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=60)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 64])
+def test_lower_inverse(n):
+    low = np.tril(np.random.default_rng(n).normal(size=(n, n))) + 3 * np.eye(n)
+    assert kernel.lower_inverse(low) @ low == pytest.approx(np.eye(n), abs=1e-9)
