@@ -1,7 +1,8 @@
 """Removal of passages that repeat across documents, by merging Burrows-Wheeler transforms.
 
-The texts are cut into shards. Every window of ``length`` bytes has an anchor, the least hash of the
-16-byte strings inside it; equal windows have equal anchors, so neighbouring windows of one anchor
+The texts are cut into shards, equal texts in one shard, where the least document settles the others.
+Every window of ``length`` bytes has an anchor, the least hash of the 24-byte strings inside it (shorter
+ones would meet by chance more and more often as texts grow); equal windows have equal anchors, so neighbouring windows of one anchor
 form a unit, and only units whose anchor stands in several documents can repeat. Those units meet in
 buckets by anchor. In a bucket, the units of every shard that share a longer anchor with another unit
 become a Burrows-Wheeler transform; the transforms are merged by refining their interleave one byte at
@@ -23,13 +24,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.common import partitions
+from plumbline.session import materialise_and_clear
 
 LENGTH = 50
-_GRAM = 16
+_GRAM = 24
 _FINE_GRAM = 32
-_ANCHOR_BYTES = 6
+_ANCHOR_BYTES = 5
 _CHUNK = 1 << 15
 _SHARD_BYTES = (4 << 20, 128 << 20)
+# A group of equal texts with more than one in so many of a shard's bytes or rows is shared out.
+_CROWD = 4
 _BUCKET_BYTES = (32 << 20, 512 << 20)
 # An anchor that stands in more shards than this is replaced by much longer ones.
 _HOT_SHARDS = 256
@@ -89,6 +93,11 @@ class Units:
         return Units(self.first[which], self.count[which], self.anchor[which], self.row[which])
 
 
+def _gram(length: int) -> int:
+    """Bytes of the strings whose least hash is a window's anchor; short windows have shorter ones."""
+    return _GRAM if length >= 2 * _GRAM else 16
+
+
 def _units(data: np.ndarray, starts: np.ndarray, length: int, gram: int = _GRAM) -> Units:
     """Units of texts laid end to end; ``starts`` has one more entry than there are texts.
 
@@ -120,7 +129,7 @@ def _units(data: np.ndarray, starts: np.ndarray, length: int, gram: int = _GRAM)
 def _hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray, longest: int) -> np.ndarray:
     """A hash of every string data[first:first + size] of at least eight and at most ``longest`` bytes."""
     words = _words(data)
-    out = size.astype(np.uint64)
+    out = _mix(size.astype(np.uint64))  # mixed first, as a size and a first byte could make up for each other
     for j in range(0, longest, 8):
         out = _mix(out ^ words[np.minimum(first + j, first + size - 8)])
     return out
@@ -282,16 +291,37 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 # --- the three steps that Spark deals out ----------------------------------------------------------
 
 
-def _rows(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a shard in a fixed order with their ids, laid out; rows without an id have no text here."""
+@dataclass
+class Rows:
+    """Rows of a shard in a fixed order: their places in the table, ids, which are copies, and the texts laid out."""
+
+    order: list[int]
+    ids: np.ndarray
+    copies: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+
+
+def _rows(table: pa.Table, length: int) -> Rows:
+    """Rows without an id have no text here, nor have copies: texts that a smaller id of the shard has as well.
+
+    All windows of a copy start in a smaller document, and it owns none.
+    """
     ids, texts = table["__id"].to_pylist(), table["__text"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-    data, starts = _lay([(texts[i] or b"") if ids[i] is not None else b"" for i in order])
-    return order, np.array([_NOBODY if ids[i] is None else ids[i] for i in order], np.int64), data, starts
+    least: dict[bytes, int] = {}
+    copies = np.zeros(len(order), bool)
+    laid = []
+    for place, i in enumerate(order):
+        text = (texts[i] or b"") if ids[i] is not None else b""
+        copies[place] = len(text) >= length and least.setdefault(text, ids[i]) < ids[i]
+        laid.append(b"" if copies[place] else text)
+    data, starts = _lay(laid)
+    return Rows(order, np.array([_NOBODY if ids[i] is None else ids[i] for i in order], np.int64), copies, data, starts)
 
 
 def _short(anchor: np.ndarray) -> bytes:
-    """The lower six bytes of each anchor. With the bucket, which mixes all eight, that is enough to
+    """The lower bytes of each anchor. With the bucket, which mixes all eight, that is enough to
     keep chance meetings rare; a chance meeting costs a comparison and changes no result."""
     return np.ascontiguousarray(anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_ANCHOR_BYTES]).tobytes()
 
@@ -324,10 +354,10 @@ def _list_anchors(length: int, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["__shard"][0].as_py()
-        _, ids, data, starts = _rows(table)
-        units = _units(data, starts, length)
-        order = np.lexsort((ids[units.row], units.anchor))
-        anchor, owner = units.anchor[order], ids[units.row][order]
+        rows = _rows(table, length)
+        units = _units(rows.data, rows.starts, length, _gram(length))
+        order = np.lexsort((rows.ids[units.row], units.anchor))
+        anchor, owner = units.anchor[order], rows.ids[units.row][order]
         if not len(anchor):
             return _table([], names, types)
         at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -335,8 +365,7 @@ def _list_anchors(length: int, buckets: int):
         anchor = anchor[at]
         bucket = _bucket_of(anchor, buckets)
         by = np.argsort(bucket, kind="stable")
-        rows = [(b, shard, _short(a), np.packbits(s).tobytes()) for b, a, s in _split(bucket[by], anchor[by], several[by])]
-        return _table(rows, names, types)
+        return _table([(b, shard, _short(a), np.packbits(s).tobytes()) for b, a, s in _split(bucket[by], anchor[by], several[by])], names, types)
 
     names, types = ["bucket", "shard", "anchors", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return run
@@ -396,13 +425,13 @@ def _listed(anchor: np.ndarray, lists: pa.Table, buckets: int) -> tuple[np.ndarr
 
 def _candidates(table: pa.Table, lists: pa.Table, length: int, buckets: int):
     """Units of a shard whose anchor repeats, grouped by equal strings, in a fixed order."""
-    order, ids, data, starts = _rows(table)
-    units = _units(data, starts, length)
+    rows = _rows(table, length)
+    units = _units(rows.data, rows.starts, length, _gram(length))
     found, hot = _listed(units.anchor, lists, buckets)
-    units = _with_longer_anchors(units.take(found), hot[found], data, length)
-    hashed = _hashes(data, units.first, units.count + length - 1, 2 * length - _GRAM) if len(units.first) else units.anchor
+    units = _with_longer_anchors(units.take(found), hot[found], rows.data, length)
+    hashed = _hashes(rows.data, units.first, units.count + length - 1, 2 * length - _gram(length)) if len(units.first) else units.anchor
     by, groups = _distinct(units.anchor, hashed)
-    return order, ids, data, starts, units.take(by), groups
+    return rows, units.take(by), groups
 
 
 def _send_units(length: int, buckets: int):
@@ -411,19 +440,19 @@ def _send_units(length: int, buckets: int):
     def run(key, table: pa.Table, lists: pa.Table) -> pa.Table:
         if not table.num_rows or not lists.num_rows:
             return _table([], names, types)
-        _, ids, data, _, units, groups = _candidates(table, lists, length, buckets)
+        laid, units, groups = _candidates(table, lists, length, buckets)
         if not len(groups):
             return _table([], names, types)
-        least = np.minimum.reduceat(ids[units.row], groups)
+        least = np.minimum.reduceat(laid.ids[units.row], groups)
         one = units.take(groups)
         bucket = _bucket_of(one.anchor, buckets)
         by = np.argsort(bucket, kind="stable")
-        raw, pack = data.tobytes(), zstandard.ZstdCompressor(level=1).compress
+        raw, pack = laid.data.tobytes(), zstandard.ZstdCompressor(level=3).compress
         rows = []
         for b, i in _split(bucket[by], by):
             first, count = one.first[i], one.count[i]
             strings = b"".join(raw[s:e] for s, e in zip(first.tolist(), (first + count + length - 1).tolist()))
-            rows.append((b, key[0].as_py(), _short(one.anchor[i]), pack(least[i].tobytes()), pack(i.astype(np.int32).tobytes()),
+            rows.append((b, key[0].as_py(), _short(one.anchor[i]), pack(least[i].tobytes()), pack(np.diff(i, prepend=0).astype(np.int32).tobytes()),
                          pack(count.astype(np.uint8).tobytes()), pack(strings)))
         return _table(rows, names, types)
 
@@ -443,13 +472,14 @@ def _merge_bucket(length: int):
 
         lists = table["anchors"].to_pylist()
         anchor, count = _long(b"".join(lists)), np.frombuffer(flat("counts"), np.uint8).astype(np.int64)
-        owner, number = np.frombuffer(flat("owners"), "<i8"), np.frombuffer(flat("numbers"), "<i4")
+        owner = np.frombuffer(flat("owners"), "<i8")
+        number = np.concatenate([np.cumsum(np.frombuffer(unpack(x), "<i4")) for x in table["numbers"].to_pylist()])
         raw = flat("strings")
         data = np.frombuffer(raw, np.uint8)
         source = np.repeat(np.arange(table.num_rows), [len(x) // _ANCHOR_BYTES for x in lists])
         size = count + length - 1
         first = np.cumsum(size) - size
-        by, groups = _distinct(anchor, _hashes(data, first, size, 2 * length - _GRAM))
+        by, groups = _distinct(anchor, _hashes(data, first, size, 2 * length - _gram(length)))
         which = np.empty(len(anchor), np.int64)
         which[by] = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(by))))
         least = np.minimum.reduceat(owner[by], groups)
@@ -525,16 +555,16 @@ def _cut(length: int, buckets: int, schema: pa.Schema, whole_characters: bool):
         if not table.num_rows:
             return schema.empty_table()
         lists = table_of(told, "anchors")
-        order, ids, data, starts, units, groups = _candidates(table, lists, length, buckets)
-        removed = _spans(length, ids, starts, units, groups, table_of(told, "numbers"), len(data))
-        raw, texts = data.tobytes(), table["__text"].to_pylist()
+        laid, units, groups = _candidates(table, lists, length, buckets)
+        order, starts = laid.order, laid.starts
+        removed = _spans(length, laid.ids, starts, units, groups, table_of(told, "numbers"), len(laid.data))
+        texts = table["__text"].to_pylist()
         kept, spans, sizes = [None] * len(order), [None] * len(order), [0] * len(order)
         for place, i in enumerate(order):
-            s, e = int(starts[place]), int(starts[place + 1])
-            flags = removed[s:e]
+            text = texts[i] or b""
+            flags = removed[int(starts[place]):int(starts[place + 1])]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-            runs = [(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2])]
-            text = raw[s:e] if ids[place] != _NOBODY else texts[i] or b""
+            runs = [(0, len(text))] if laid.copies[place] else [(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2])]
             if whole_characters:
                 runs = _whole_characters(runs, text)
             parts, at = [], 0
@@ -580,33 +610,42 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     neither smaller nor larger than any: such rows stay whole and remove nothing. No rows give
     no rows. ``length`` is 24 to 250.
 
-    Texts are shuffled once, to shards by a hash, so copies spread evenly; anchors travel as six
-    bytes, candidate units once. Inside a shard equal units are one with their least document, so
-    a passage in a third of all documents reaches its bucket as one unit per shard and context.
+    Texts go to shards by a hash, equal texts to one shard unless there are very many of them; anchors
+    travel as five bytes, candidate units once. Inside a shard equal units are one with their least
+    document, so a passage in a third of all documents reaches its bucket as one unit per shard and
+    context. The lists of repeated anchors and the merged owners are written, and what was shuffled for
+    them is deleted, so that the texts stand beside one step's exchange at a time.
     """
     if not 24 <= length <= 250:
         raise ValueError("length must be 24 to 250")
     docs = docs.drop("kept", "n_bytes", "spans")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // min(_SHARD_BYTES[1], max(_SHARD_BYTES[0], total // 4096))))
+    size = F.octet_length("text")
+    sums = docs.agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).first()
+    total = sums["bytes"] or 0
+    shards = max(1, -(-total // min(_SHARD_BYTES[1], max(_SHARD_BYTES[0], min(2 * _SHARD_BYTES[0], total // 1024), total // 4096))))
     buckets = max(partitions(docs.sparkSession), -(-total // min(_BUCKET_BYTES[1], max(_BUCKET_BYTES[0], total // 1024))))
+    # At most 2 * _CROWD for each shard.
+    alike = docs.where(size >= length).groupBy(F.xxhash64("text").alias("key")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    crowds = [r["key"] for r in alike.where(F.col("rows") > 1).where(
+        (F.col("bytes") * shards * _CROWD > total) | (F.col("rows") * shards * _CROWD > sums["rows"])).select("key").collect()]
     others = [c for c in docs.columns if c != "text"]
     base = docs.select(
         *others, F.col("doc_id").cast("long").alias("__id"), F.encode("text", "UTF-8").alias("__text"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("__shard"))
+        F.pmod(F.when((size >= length) & ~F.xxhash64("text").isin(crowds), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text")),
+               F.lit(shards)).cast("long").alias("__shard"))
     hot_shards = _HOT_SHARDS
 
     def find(table: pa.Table) -> pa.Table:
         return _find_repeated(table, hot_shards)
 
-    lists = (
+    lists = materialise_and_clear(
         base.groupBy("__shard").applyInArrow(_list_anchors(length, buckets), "bucket long, shard long, anchors binary, several binary")
-        .groupBy("bucket").applyInArrow(find, "shard long, bucket long, anchors binary, hot binary"))
+        .groupBy("bucket").applyInArrow(find, "shard long, bucket long, anchors binary, hot binary"), "repeats-lists")
     sent = base.groupBy("__shard").cogroup(lists.groupBy("shard")).applyInArrow(
         _send_units(length, buckets),
         "bucket long, shard long, anchors binary, owners binary, numbers binary, counts binary, strings binary")
-    told = sent.groupBy("bucket").applyInArrow(
-        _merge_bucket(length), "shard long, numbers binary, firsts binary, counts binary, owners binary")
+    told = materialise_and_clear(sent.groupBy("bucket").applyInArrow(
+        _merge_bucket(length), "shard long, numbers binary, firsts binary, counts binary, owners binary"), "repeats-told")
     both = lists.unionByName(told, allowMissingColumns=True)
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     fields = [f for f in docs.schema.fields if f.name != "text"]
