@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialise
+from plumbline.session import materialise_and_clear as materialise
 
 
 def _with_least(links: DataFrame) -> DataFrame:

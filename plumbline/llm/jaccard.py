@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import joining_links, partitions
 from plumbline.llm.components import roots
-from plumbline.session import materialise
+from plumbline.session import materialise_and_clear as materialise
 
 # Words per shingle, least Jaccard similarity of a link (as a fraction).
 SHINGLE = 3
@@ -146,7 +146,8 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
     chunks = _SLOTS // _CHUNK
     counted = docs.select("text").mapInArrow(count, kind).repartition(chunks * _SALTS, "chunk", "salt").mapInArrow(add, kind)
     out = np.zeros(_SLOTS, np.int64)
-    for r in counted.repartition(chunks, "chunk").mapInArrow(add, kind).collect():
+    added = materialise(counted.repartition(chunks, "chunk").mapInArrow(add, kind), "jaccard-counts")
+    for r in added.collect():
         out[r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], "<u4")
     return out
 
@@ -358,13 +359,40 @@ def _facts(rows: pa.Table) -> list[np.ndarray]:
     return [block, size.astype(np.int64), np.unique(root, return_inverse=True)[1], maps]
 
 
+class _WideMaps:
+    """Wide parity maps of the rows of a list, those of one length as a matrix."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        maps = [np.frombuffer(x.as_py(), "<u8") for x in column]
+        self.length = np.array([len(x) for x in maps])
+        self.place, self.matrix = np.zeros(len(maps), np.int64), {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.matrix[n] = np.stack([maps[k] for k in at.tolist()])
+
+    def differing(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Differing bits of the maps of a row and of several; longer ones are folded."""
+        mine, out = self.matrix[int(self.length[i])][self.place[i]], np.zeros(len(j), np.int64)
+        for n in np.unique(self.length[j]).tolist():
+            at, k = np.flatnonzero(self.length[j] == n), min(n, len(mine))
+            others = np.bitwise_xor.reduce(self.matrix[n][self.place[j[at]]].reshape(len(at), -1, k), axis=1)
+            out[at] = np.bitwise_count(others ^ np.bitwise_xor.reduce(mine.reshape(-1, k), axis=0)).sum(axis=1)
+        return out
+
+
 def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of crowded lists that may link with a row of another group."""
+    """The rows of crowded lists that may link with a row of another group, by short maps, or by wide ones if they come along."""
     for rows in _lists(batches):
+        block, size, group, maps = _facts(rows)
+        wide = _WideMaps(rows.column("wide")) if "wide" in rows.column_names else None
         found = np.zeros(len(rows), bool)
-        for i, j in _candidates(*_facts(rows)):
-            found[i] = found[j] = True
-        yield from rows.filter(pa.array(found)).to_batches()
+        for i, j in _candidates(block, size, group, maps):
+            if wide:
+                j = j[wide.differing(i, j) <= size[i] + size[j] - 2 * need(size[i], size[j])]
+            found[i] |= len(j) > 0
+            found[j] = True
+        yield from rows.select(_MEMBER).filter(pa.array(found)).to_batches()
 
 
 def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,6 +483,9 @@ def _list_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFram
     inside = inside.select(*_MEMBER)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.schema)
     some = materialise(dealt(inside).mapInArrow(_undecided, fields), "jaccard-undecided")
+    # The short maps of large sets say little; wide ones spare most of what is left its whole set.
+    some = some.join(nodes.select("node", "wide"), "node").select(*_MEMBER, "wide")
+    some = materialise(dealt(some).mapInArrow(_undecided, fields), "jaccard-open")
     rows = some.join(_whole(docs, nodes, some.select("node").distinct()), "node").select(*_MEMBER, "found")
     more = materialise(dealt(rows).mapInArrow(_joining, "a long, b long"), "jaccard-joining")
     return links.unionByName(more)

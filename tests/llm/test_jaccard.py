@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,32 @@ def test_a_large_group_without_links_costs_rows_not_pairs(spark, monkeypatch, cr
     assert sorted(tuple(r) for r in found) == sorted(plain_groups(rows))
     assert len({r["component_id"] for r in found}) >= 280
     assert max(counts.get(n, 0) for n in ("jaccard-pairs", "jaccard-links", "jaccard-joining")) <= 12 * len(texts), counts
+
+
+def test_wide_maps_of_several_rows_differ_as_those_of_pairs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (3, 200, 700, 900, 2500, 2700, 5000)]
+    maps = [jaccard._parity(s, jaccard.map_bits(len(s))).tobytes() for s in sets]
+    wide = jaccard._WideMaps(pa.chunked_array([pa.array(maps, pa.binary())]))
+    for i, x in enumerate(maps):
+        assert wide.differing(i, np.arange(len(maps))).tolist() == [jaccard._differing(x, y) for y in maps]
+
+
+def test_large_sets_that_cannot_link_ask_for_no_whole_set():
+    """The short maps of large sets allow any link; wide ones leave only rows that may have one."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+    base = draw(2000)
+    sets = [base, np.unique(np.concatenate([base[:1960], draw(30)]))]
+    sets += [np.unique(np.concatenate([base[:400], draw(1600)])) for _ in range(6)]
+    maps = np.array([jaccard._parity(s, 64 * jaccard._MAP).view("<i8") for s in sets])
+    n = len(sets)
+    rows = {"element": [1] * n, "lo": [0] * n, "hi": [0] * n, "block": [0] * n, "node": list(range(n)),
+            "size": [len(s) for s in sets], "root": list(range(n)), **{m: maps[:, i] for i, m in enumerate(jaccard._MAPS)}}
+    wide = pa.array([jaccard._parity(s, jaccard.map_bits(len(s))).tobytes() for s in sets], pa.binary())
+
+    def left(table):
+        return sorted(x for b in jaccard._undecided(iter(table.to_batches())) for x in b.column("node").to_pylist())
+
+    assert left(pa.table(rows)) == list(range(n))
+    assert left(pa.table({**rows, "wide": wide})) == [0, 1]
