@@ -70,3 +70,15 @@ def test_sparse_and_dense_rows_fit_alike(spark):
     mixed = [(Vectors.dense(a) if i % 3 else Vectors.sparse(5, {int(j): float(a[j]) for j in np.flatnonzero(a)}), int(b)) for i, (a, b) in enumerate(zip(x, y))]
     one, two = fit_logistic(table(spark, x, y), 0.1), fit_logistic(spark.createDataFrame(mixed, ["features", "label"]), 0.1)
     assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_a_small_penalty_takes_no_more_steps(spark):
+    """Of many rows the penalty is small, and along one-hot columns it alone bends the loss."""
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, 300), rng.integers(0, 3, 300)
+    x = np.column_stack([rng.normal(size=300), np.eye(4)[a], np.eye(3)[b]])
+    y = (x[:, 0] + 0.5 * (a > 1) - 0.4 * b + rng.normal(size=300) > 0).astype(int)
+    df = table(spark, x, y)
+    few, many = fit_svm(df, 1.0 / 300), fit_svm(df, 1.0 / 3e8)
+    assert many.gap <= 1e-4 and many.passes <= 2 * few.passes
+    assert many.primal == pytest.approx(objective(many.weights, many.intercept, x, y, 1.0 / 3e8))
